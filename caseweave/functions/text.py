@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +119,14 @@ def matching_features(*pairs: tuple[Column, str]) -> Column:
     return F.filter(F.array(*[F.when(cond, F.lit(label)) for cond, label in pairs]), lambda x: x.isNotNull())
 
 
+def fill_template(template: str, values: dict[str, Column]) -> Column:
+    """A ``{name}`` template as one concatenation; null values read as empty text."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[
+        F.coalesce(values[part].cast("string"), F.lit("")) if i % 2 else F.lit(part) for i, part in enumerate(parts) if part
+    ])
+
+
 def percent(value: Column, digits: int = 0) -> Column:
     return F.format_string(f"%.{digits}f%%", value * 100)
 

@@ -118,49 +118,38 @@ def shortest_paths(arcs: DataFrame, pairs: DataFrame, max_hops: int | None = Non
 
     ``arcs`` (id, other) are directed; pass ``both_ways(edges)`` for an undirected
     graph. All searches advance together from their targets, one join per hop, until
-    every source is met or nothing new is reached. Among equal paths the one with
-    the smallest next node at each hop is returned.
+    every source is met or nothing new is reached. A reached node keeps its path to
+    the target; among equal paths the one with the smallest next node at each hop.
     """
     pairs = materialise(pairs.select("source", "target").distinct(), "pathpairs")
     known = arcs.select("id").unionByName(arcs.select(F.col("other").alias("id"))).distinct()
     askable = pairs.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
-    level = materialise(askable.select("target", F.col("target").alias("id"), F.lit(0).alias("dist")).distinct(), "bfs")
-    levels, hop = [level], 0
-    waiting = askable.where(F.col("source") != F.col("target"))
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        active = waiting.select("target").distinct()
+    waiting = materialise(askable, "waiting")
+    level = waiting.select("target", F.col("target").alias("id"), F.array("target").alias("path")).distinct()
+    level, visited, answers = materialise(level, "bfs"), None, []
+    while True:
+        here = waiting.join(level.withColumnRenamed("id", "source"), ["target", "source"])
+        answers.append(materialise(here.select("source", "target", "path"), "answers"))
+        waiting = materialise(waiting.join(answers[-1], ["source", "target"], "left_anti"), "waiting")
+        hops = len(answers) - 1
+        if waiting.isEmpty() or (max_hops is not None and hops >= max_hops):
+            break
+        seen = level.select("target", "id")
+        visited = seen if visited is None else visited.unionByName(seen)
         step = (
-            levels[-1].join(active, "target", "left_semi").join(arcs.withColumnRenamed("id", "prev"), F.col("id") == F.col("other"))
-            .select("target", F.col("prev").alias("id")).distinct()
+            level.join(waiting.select("target").distinct(), "target", "left_semi")
+            .join(arcs.select(F.col("id").alias("prev"), "other"), F.col("id") == F.col("other"))
+            .groupBy("target", "prev").agg(F.min_by("path", "id").alias("path"))
+            .select("target", F.col("prev").alias("id"), F.concat(F.array("prev"), "path").alias("path"))
         )
-        for older in levels:
-            step = step.join(older, ["target", "id"], "left_anti")
-        level = materialise(step.withColumn("dist", F.lit(hop)), "bfs")
+        level = materialise(step.join(visited, ["target", "id"], "left_anti"), "bfs")
         if level.isEmpty():
             break
-        levels.append(level)
-        waiting = materialise(waiting.join(level.select("target", F.col("id").alias("source")), ["target", "source"], "left_anti"), "waiting")
-        if waiting.isEmpty():
-            break
-    reached = levels[0]
-    for level in levels[1:]:
-        reached = reached.unionByName(level)
-    reached = materialise(reached, "reached")
-    hops = askable.join(reached.withColumnRenamed("id", "source"), ["target", "source"]).withColumnRenamed("dist", "hops")
-    walk = hops.select("source", "target", "hops", F.col("source").alias("at"), F.array("source").alias("path"))
-    for step_no in range(1, len(levels)):
-        done = walk.where(F.col("hops") < step_no)
-        going = walk.where(F.col("hops") >= step_no)
-        onward = (
-            going.join(arcs, F.col("at") == F.col("id")).drop("id")
-            .join(reached.withColumnRenamed("id", "other"), ["target", "other"])
-            .where(F.col("dist") == F.col("hops") - step_no)
-            .groupBy("source", "target", "hops", "path").agg(F.min("other").alias("at"))
-            .select("source", "target", "hops", "at", F.concat("path", F.array("at")).alias("path"))
-        )
-        walk = materialise(done.unionByName(onward), "walk")
-    return pairs.join(walk.select("source", "target", "hops", "path"), ["source", "target"], "left").withColumn("found", F.col("hops").isNotNull())
+    found = answers[0]
+    for answer in answers[1:]:
+        found = found.unionByName(answer)
+    found = found.withColumn("hops", F.size("path") - 1)
+    return pairs.join(found, ["source", "target"], "left").select("source", "target", "hops", "path", F.col("hops").isNotNull().alias("found"))
 
 
 def path_hops(paths: DataFrame) -> DataFrame:
@@ -226,21 +215,20 @@ def _dependencies(sources: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
-    """Weighted modularity of a partition (id, community)."""
-    m = edges.agg(F.sum("weight")).first()[0]
-    if not m:
-        return 0.0
-    inside = (
+    """Weighted modularity of a partition (id, community); a loop (a = b) counts inside."""
+    half = edges.agg(F.sum("weight").cast("double")).scalar()
+    strength = both_ways(edges, "weight").join(labels, "id").groupBy("community").agg(F.sum("weight").cast("double").alias("k"))
+    squares = strength.agg(F.sum(F.col("k") * F.col("k"))).scalar()
+    value = (
         edges.join(labels.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a")
         .join(labels.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
-        .agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")))).first()[0] or 0
+        .agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0)).alias("inside"))
+        .select((F.col("inside") / half - squares / (half * half * 4)).alias("q"))
     )
-    strength = degrees(edges).join(labels, "id").groupBy("community").agg(F.sum("weighted_degree").alias("k"))
-    squares = strength.agg(F.sum(F.pow(F.col("k") / F.lit(2.0 * m), 2))).first()[0]
-    return inside / m - squares
+    return value.first()["q"] or 0.0
 
 
-def communities(edges: DataFrame, max_rounds: int = 12, max_levels: int = 6, min_gain: float = 1e-6) -> DataFrame:
+def communities(edges: DataFrame, max_rounds: int = 10, max_levels: int = 4, min_gain: float = 1e-3) -> DataFrame:
     """(id, community): weighted modularity communities, named by their smallest node.
 
     Louvain's two phases with synchronous moves: in each round a hash-chosen half of
@@ -253,17 +241,17 @@ def communities(edges: DataFrame, max_rounds: int = 12, max_levels: int = 6, min
     two_m = 2.0 * (level_edges.agg(F.sum("weight")).first()[0] or 0.0)
     if two_m == 0:
         return mapping
-    best = modularity(edges, mapping)
-    for _ in range(max_levels):
-        labels = _local_moves(level_edges, two_m, max_rounds, min_gain)
-        if labels is None:
-            break
-        renamed = mapping.join(labels.select(F.col("id").alias("community"), F.col("community").alias("to")), "community").select("id", F.col("to").alias("community"))
-        renamed = materialise(renamed, "louvainmap")
-        quality = modularity(edges, renamed)
-        if quality <= best + min_gain:
+    best = None
+    for depth in range(max_levels):
+        labels = _local_moves(level_edges, two_m, max_rounds if depth == 0 else max(4, max_rounds // 2 + 1))
+        quality = modularity(level_edges, labels)
+        if best is not None and quality <= best + min_gain:
             break
-        best, mapping = quality, renamed
+        best = quality
+        mapping = materialise(
+            mapping.join(labels.select(F.col("id").alias("community"), F.col("community").alias("to")), "community").select("id", F.col("to").alias("community")),
+            "louvainmap",
+        )
         level_edges = materialise(
             level_edges.join(labels.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a")
             .join(labels.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
@@ -274,50 +262,39 @@ def communities(edges: DataFrame, max_rounds: int = 12, max_levels: int = 6, min
     return mapping.join(names, "community").select("id", F.col("name").alias("community"))
 
 
-def _local_moves(edges: DataFrame, two_m: float, max_rounds: int, min_gain: float) -> DataFrame | None:
-    """One Louvain level. Self loops (a = b) are the inner weight of contracted communities."""
-    loops_twice = F.when(F.col("a") == F.col("b"), F.col("weight") * 2).otherwise(F.col("weight"))
-    ends = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
-    strength = materialise(edges.select(F.explode(ends).alias("id"), loops_twice.alias("w")).groupBy("id").agg(F.sum("w").alias("k")), "strength")
+def _local_moves(edges: DataFrame, two_m: float, max_rounds: int) -> DataFrame:
+    """One Louvain level as (id, community). Loops (a = b) hold the inner weight of
+    contracted communities. Ends when two rounds, one per half, move next to nothing."""
+    state = materialise(
+        both_ways(edges, "weight").groupBy("id").agg(F.sum("weight").alias("k")).withColumn("community", F.col("id")).withColumn("moved", F.lit(0)), "state"
+    )
     around = materialise(both_ways(edges.where(F.col("a") != F.col("b")), "weight"), "around")
-    inner = edges.where(F.col("a") == F.col("b")).agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-    state = materialise(strength.select("id", F.col("id").alias("community"), "k"), "state")
-    best_state, best_quality, quiet = None, _level_quality(around, inner, state, two_m), 0
+    n, recent = state.count(), []
     for round_no in range(max_rounds):
         sizes = state.groupBy("community").agg(F.sum("k").alias("tot"))
-        towards = (
-            around.join(state.select(F.col("id").alias("other"), "community"), "other")
-            .groupBy("id", "community").agg(F.sum("weight").alias("w"))
-        )
-        mine = state.where(F.pmod(F.xxhash64("id", F.lit(round_no // 2)), F.lit(2)) == round_no % 2).select("id", F.col("community").alias("home"), "k")
+        mine = state.where(F.pmod(F.xxhash64("id", F.lit(round_no // 2)), F.lit(2)) == round_no % 2)
+        # links of the moving half to each community around it; staying is always an option
+        links = around.join(mine.select("id"), "id", "left_semi").join(state.select(F.col("id").alias("other"), "community"), "other")
         options = (
-            mine.join(towards.unionByName(mine.select("id", F.col("home").alias("community"), F.lit(0.0).alias("w"))), "id")
-            .groupBy("id", "home", "k", "community").agg(F.sum("w").alias("w")).join(sizes, "community")
+            links.select("id", "community", "weight").unionByName(mine.select("id", "community", F.lit(0.0).alias("weight")))
+            .groupBy("id", "community").agg(F.sum("weight").alias("w"))
+            .join(sizes, "community").join(mine.select("id", F.col("community").alias("home"), "k"), "id")
         )
-        rest = F.when(F.col("community") == F.col("home"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
+        at_home = F.col("community") == F.col("home")
+        rest = F.col("tot") - F.when(at_home, F.col("k")).otherwise(0.0)
         # staying wins ties, then the smaller community id
-        scored = options.withColumn("gain", F.col("w") - F.col("k") * rest / two_m + F.when(F.col("community") == F.col("home"), 1e-9).otherwise(0.0))
-        choice = scored.groupBy("id").agg(F.min_by("community", F.struct(-F.col("gain"), F.col("community"))).alias("to"))
-        moved = state.join(choice, "id", "left").select("id", F.coalesce("to", "community").alias("next"), "k", "community")
-        moved = materialise(moved, "state")
-        changes = moved.where(F.col("next") != F.col("community")).count()
-        state = moved.select("id", F.col("next").alias("community"), "k")
-        quality = _level_quality(around, inner, state, two_m)
-        if quality > best_quality + min_gain:
-            best_state, best_quality = state, quality
-        quiet = quiet + 1 if changes == 0 else 0
-        if quiet == 2:
+        gain = F.col("w") - F.col("k") * rest / two_m + F.when(at_home, 1e-9).otherwise(0.0)
+        choice = options.groupBy("id").agg(F.min_by("community", F.struct(-gain, F.col("community"))).alias("to"))
+        state = materialise(
+            state.join(choice, "id", "left").select(
+                "id", "k", F.coalesce("to", "community").alias("community"), (F.coalesce("to", "community") != F.col("community")).cast("int").alias("moved")
+            ),
+            "state",
+        )
+        recent.append(state.agg(F.sum("moved")).first()[0] or 0)
+        if len(recent) > 1 and sum(recent[-2:]) <= n * 0.002:
             break
-    return best_state.select("id", "community") if best_state is not None else None
-
-
-def _level_quality(around: DataFrame, inner: float, state: DataFrame, two_m: float) -> float:
-    crossing = (
-        around.join(state.select("id", F.col("community").alias("c")), "id").join(state.select(F.col("id").alias("other"), F.col("community").alias("d")), "other")
-        .agg(F.sum(F.when(F.col("c") == F.col("d"), F.col("weight")))).first()[0] or 0.0
-    )
-    squares = state.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(F.pow(F.col("t") / two_m, 2))).first()[0]
-    return (crossing + 2.0 * inner) / two_m - squares
+    return state.select("id", "community")
 
 
 def community_summary(edges: DataFrame, labels: DataFrame, min_size: int = 3) -> DataFrame:

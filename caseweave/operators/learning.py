@@ -227,18 +227,15 @@ def risk_tiers(scored: DataFrame, probability: str) -> DataFrame:
 
 # ---- exact attributions ----------------------------------------------------
 
-class _Leaf:
-    __slots__ = ("value", "features", "low", "high", "share")
+# A leaf is (value, {feature: (interval low, interval high, weight share)}).
+Leaf = tuple[float, dict[int, tuple[float, float, float]]]
+# A packed tree is (features, low, high) as leaf x slot arrays and its table of Shapley values.
+Packed = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+MAX_SLOTS = 10
+ROWS_AT_ONCE = 1024
 
-    def __init__(self, value: float, box: dict[int, tuple[float, float, float]]):
-        self.value = value
-        self.features = sorted(box)
-        self.low = np.array([box[f][0] for f in self.features])
-        self.high = np.array([box[f][1] for f in self.features])
-        self.share = np.array([box[f][2] for f in self.features])
 
-
-def forest_leaves(model: PipelineModel, spark) -> tuple[list[list[_Leaf]], float]:
+def forest_leaves(model: PipelineModel, spark) -> tuple[list[list[Leaf]], float]:
     """Per tree, each leaf as a box over the features on its path; and the base value.
 
     A box keeps, per feature, the open-closed interval that leads to the leaf and the
@@ -264,7 +261,7 @@ def forest_leaves(model: PipelineModel, spark) -> tuple[list[list[_Leaf]], float
             i, box = stack.pop()
             node = nodes[i]
             if node["leftChild"] < 0:
-                leaves.append(_Leaf(positive(i), box))
+                leaves.append((positive(i), box))
                 continue
             f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
             low, high, share = box.get(f, (-np.inf, np.inf, 1.0))
@@ -272,36 +269,57 @@ def forest_leaves(model: PipelineModel, spark) -> tuple[list[list[_Leaf]], float
             stack.append((left, {**box, f: (low, min(high, cut), share * weight(left) / weight(i))}))
             stack.append((right, {**box, f: (max(low, cut), high, share * weight(right) / weight(i))}))
         forest.append(leaves)
-        base += sum(leaf.value * float(np.prod(leaf.share)) for leaf in leaves)
+        base += sum(value * float(np.prod([cell[2] for cell in box.values()])) for value, box in leaves)
     return forest, base / len(forest)
 
 
-def _attribute(x: np.ndarray, forest: list[list[_Leaf]]) -> np.ndarray:
-    """Shapley values of every row of x under path-dependent expectations.
+def pack_tree(leaves: list[Leaf]) -> Packed:
+    """Leaf boxes as arrays, with Shapley values for every pattern of followed splits.
 
-    A leaf contributes value * prod_j (follows_j or share_j), a product game over the
-    features of its path, so its Shapley values follow from the coefficients of
-    prod_{j != i} (share_j + follows_j t) and the usual size weights.
+    A leaf contributes value * prod_j (follows_j or share_j): a product game over the
+    features of its path. Its Shapley values depend on the row only through the bits
+    follows_j, so they are tabulated for all bit patterns, from the coefficients of
+    prod_{j != i} (share_j + follows_j t) and the usual size weights. Leaves with fewer
+    features are filled up with slots that are always followed and change nothing.
     """
+    slots = max(1, max(len(box) for _, box in leaves))
+    if slots > MAX_SLOTS:
+        raise ValueError(f"paths over {slots} features: train with a depth of at most {MAX_SLOTS}")
+    features = np.zeros((len(leaves), slots), dtype=np.int64)
+    low, high, share = np.full(features.shape, -np.inf), np.full(features.shape, np.inf), np.ones(features.shape)
+    for row, (_, box) in enumerate(leaves):
+        for slot, feature in enumerate(sorted(box)):
+            features[row, slot] = feature
+            low[row, slot], high[row, slot], share[row, slot] = box[feature]
+    values = np.array([value for value, _ in leaves])[:, None]
+    bits = ((np.arange(2**slots)[:, None] >> np.arange(slots)) & 1).astype(float)
+    sizes = np.array([factorial(k) * factorial(slots - k - 1) / factorial(slots) for k in range(slots)])
+    table = np.empty((len(leaves), 2**slots, slots))
+    for i in range(slots):
+        poly = np.zeros((len(leaves), 2**slots, slots))
+        poly[:, :, 0] = 1.0
+        for j in range(slots):
+            if j != i:
+                grown = poly * share[:, None, j:j + 1]
+                grown[:, :, 1:] += poly[:, :, :-1] * bits[None, :, j:j + 1]
+                poly = grown
+        table[:, :, i] = values * (bits[None, :, i] - share[:, None, i]) * (poly @ sizes)
+    return features, low, high, table
+
+
+def attribute_rows(x: np.ndarray, trees: list[Packed]) -> np.ndarray:
+    """Shapley values of every row, averaged over the trees."""
     phi = np.zeros_like(x)
-    for leaves in forest:
-        for leaf in leaves:
-            m = len(leaf.features)
-            if m == 0:
-                continue
-            cols = x[:, leaf.features]
-            follows = ((cols > leaf.low) & (cols <= leaf.high)).astype(float)
-            sizes = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
-            for i in range(m):
-                poly = np.ones((x.shape[0], 1))
-                for j in range(m):
-                    if j != i:
-                        grown = np.zeros((x.shape[0], poly.shape[1] + 1))
-                        grown[:, :-1] += poly * leaf.share[j]
-                        grown[:, 1:] += poly * follows[:, j:j + 1]
-                        poly = grown
-                phi[:, leaf.features[i]] += leaf.value * (follows[:, i] - leaf.share[i]) * (poly @ sizes)
-    return phi / len(forest)
+    for features, low, high, table in trees:
+        leaf = np.arange(len(features))
+        powers = 1 << np.arange(features.shape[1])
+        target = np.zeros((features.size, x.shape[1]))
+        target[np.arange(features.size), features.ravel()] = 1.0
+        for start in range(0, len(x), ROWS_AT_ONCE):
+            cells = x[start:start + ROWS_AT_ONCE][:, features]
+            pattern = ((cells > low) & (cells <= high)) @ powers
+            phi[start:start + ROWS_AT_ONCE] += table[leaf, pattern].reshape(len(cells), -1) @ target
+    return phi / len(trees)
 
 
 def attributions(model: PipelineModel, rows: DataFrame, entity: str) -> DataFrame:
@@ -312,7 +330,7 @@ def attributions(model: PipelineModel, rows: DataFrame, entity: str) -> DataFram
     """
     spark = rows.sparkSession
     forest, base = forest_leaves(model, spark)
-    shipped = spark.sparkContext.broadcast(forest)
+    shipped = spark.sparkContext.broadcast([pack_tree(leaves) for leaves in forest])
     scored = model.transform(rows).select(entity, vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("probability"))
     schema = T.StructType([scored.schema[entity], T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("probability", T.DoubleType()),
                            T.StructField("phi", T.ArrayType(T.DoubleType()))])
@@ -320,7 +338,7 @@ def attributions(model: PipelineModel, rows: DataFrame, entity: str) -> DataFram
     def explain(batches):
         for pdf in batches:
             if len(pdf):
-                phi = _attribute(np.stack(pdf["x"].to_numpy()).astype(float), shipped.value)
+                phi = attribute_rows(np.stack(pdf["x"].to_numpy()).astype(float), shipped.value)
                 yield pdf.assign(phi=list(phi))
 
     out = scored.mapInPandas(explain, schema)

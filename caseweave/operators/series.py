@@ -65,11 +65,15 @@ def backtest(df: DataFrame, keys: list[str], t: str, value: str, train_end: int,
 
 
 def select_model(tested: DataFrame) -> DataFrame:
-    """Lowest MAE; on ties the earlier model of ``MODELS``."""
-    best = F.least(*[F.col(f"mae_{m.lower()}") for m in MODELS])
+    """Lowest MAE; on ties the earlier model of ``MODELS``.
+
+    Errors are compared at nine decimals, so that equal errors tie whatever the
+    order of summation.
+    """
+    best = F.least(*[F.round(f"mae_{m.lower()}", 9) for m in MODELS])
     chosen, mape = F.lit(None), F.lit(None)
     for model in reversed(MODELS):
-        hit = F.col(f"mae_{model.lower()}") == best
+        hit = F.round(f"mae_{model.lower()}", 9) == best
         chosen = F.when(hit, F.lit(model)).otherwise(chosen)
         mape = F.when(hit, F.col(f"mape_{model.lower()}")).otherwise(mape)
     return tested.withColumns({"selected_model": chosen, "backtest_mae": best, "backtest_mape": mape})

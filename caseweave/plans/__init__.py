@@ -25,4 +25,4 @@ def queries() -> dict:
 
 def oracles() -> dict[str, str]:
     _load()
-    return dict(registry.ORACLES)
+    return {name: registry.with_ctes(*parts) for name, parts in registry.ORACLES.items()}

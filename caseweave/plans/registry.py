@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[tuple[str, ...], str, str]] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -26,7 +26,9 @@ def with_ctes(names: tuple[str, ...], select: str, recursive: str = "") -> str:
 
     for name in names:
         add(name)
-    parts = [f"{name} AS ({CTES[name][1].strip()})" for name in order]
+    # a recursive query reads its inputs once per step, so they are computed up front
+    keep = "MATERIALIZED " if recursive else ""
+    parts = [f"{name} AS {keep}({CTES[name][1].strip()})" for name in order]
     if recursive:
         parts.append(recursive.strip())
     if not parts:
@@ -40,7 +42,7 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = (), recursi
             raise KeyError(name)
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(uses, sql, recursive)
+            ORACLES[name] = (uses, sql, recursive)
         return fn
 
     return register

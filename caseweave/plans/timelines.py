@@ -128,7 +128,7 @@ cte("refit", """SELECT super_place, place, series, arg_max(value, t) AS naive, A
 cte("tested", """SELECT super_place, place, series, AVG(ABS(value - naive)) AS mae_naive, AVG(ABS(value - moving)) AS mae_moving, AVG(ABS(value - greatest(0, slope * t + intercept))) AS mae_linear,
     AVG(ABS(value - naive) / NULLIF(value, 0)) * 100 AS mape_naive, AVG(ABS(value - moving) / NULLIF(value, 0)) * 100 AS mape_moving,
     AVG(ABS(value - greatest(0, slope * t + intercept)) / NULLIF(value, 0)) * 100 AS mape_linear FROM whole JOIN trained USING (super_place, place, series) WHERE t > 1998 GROUP BY ALL""", "whole", "trained")
-cte("picked", """SELECT *, CASE WHEN mae_naive <= mae_moving AND mae_naive <= mae_linear THEN 'NAIVE' WHEN mae_moving <= mae_linear THEN 'MOVING_AVERAGE' ELSE 'LINEAR_TREND' END AS selected_model FROM tested""", "tested")
+cte("picked", """SELECT *, CASE WHEN ROUND(mae_naive, 9) <= ROUND(mae_moving, 9) AND ROUND(mae_naive, 9) <= ROUND(mae_linear, 9) THEN 'NAIVE' WHEN ROUND(mae_moving, 9) <= ROUND(mae_linear, 9) THEN 'MOVING_AVERAGE' ELSE 'LINEAR_TREND' END AS selected_model FROM tested""", "tested")
 _AT = "CASE selected_model WHEN 'NAIVE' THEN naive WHEN 'MOVING_AVERAGE' THEN moving ELSE greatest(0, slope * {y} + intercept) END"
 cte("fcast", f"""SELECT super_place, place, series, selected_model, ROUND(least(mae_naive, mae_moving, mae_linear), 2) AS backtest_mae,
     CASE selected_model WHEN 'NAIVE' THEN mape_naive WHEN 'MOVING_AVERAGE' THEN mape_moving ELSE mape_linear END AS backtest_mape,
@@ -194,11 +194,11 @@ def _(spark, sf):
     return chunk_running_sum(msgs, ["conv_id"], "turn", "starts", "block").drop("starts")
 
 
-# A mention is the first capitalised word of at least nine letters (person) and the
-# first number (place): the text is invented, so the rules are parameters.
-PERSON_RULE = r"\b[A-Z][a-z]{8,}\b"
-PLACE_RULE = r"\b[0-9]{1,6}\b"
-cte("mention", r"""SELECT conv_id, turn, role, text, NULLIF(regexp_extract(text, '\b[A-Z][a-z]{8,}\b', 0), '') AS person, NULLIF(regexp_extract(text, '\b[0-9]{1,6}\b', 0), '') AS place FROM conversations""")
+# A mention is the first capital followed by at least eight plain letters (person) and
+# the first number (place): the text is invented, so the rules are parameters.
+PERSON_RULE = "[A-Z][a-z]{8,}"
+PLACE_RULE = "[0-9]{1,6}"
+cte("mention", r"""SELECT conv_id, turn, role, text, NULLIF(regexp_extract(text, '[A-Z][a-z]{8,}', 0), '') AS person, NULLIF(regexp_extract(text, '[0-9]{1,6}', 0), '') AS place FROM conversations""")
 cte("carried", """SELECT *, last_value(person IGNORE NULLS) OVER w AS prev_person, last_value(place IGNORE NULLS) OVER w AS prev_place FROM mention
     WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "mention")
 
