@@ -12,8 +12,8 @@ KEEP = 1_000  # fixed value: entries the newest-first view keeps
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str, lateness: str) -> DataFrame:
     """Counts per tumbling window and key; rows later than ``lateness`` are left out of closed windows."""
     return (
-        events.withWatermark(ts, lateness).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("window_start"), *keys, "n")
+        events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n"))
+        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys, "n")
     )
 
 
@@ -24,6 +24,8 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         .outputMode(mode).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if query.exception():
+        raise query.exception()
     return query
 
 

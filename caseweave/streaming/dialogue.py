@@ -11,13 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "conv_id long, turn long, person string, place string, prev_person string, prev_place string"
 STATE = "person string, place string"
-IDLE_MS = 24 * 3600 * 1000
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     person, place = state.get if state.exists else (None, None)
     rows = pd.concat(list(batches)).sort_values("turn")
     before = []
@@ -26,7 +22,6 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         person = new_person if isinstance(new_person, str) else person
         place = new_place if isinstance(new_place, str) else place
     state.update((person, place))
-    state.setTimeoutDuration(IDLE_MS)
     rows["prev_person"], rows["prev_place"] = zip(*before)
     yield rows[["conv_id", "turn", "person", "place", "prev_person", "prev_place"]]
 
@@ -39,7 +34,7 @@ def carry_context_stream(messages: DataFrame) -> DataFrame:
     session can bring to a task; turns of later triggers must be later turns.
     """
     keyed = messages.select("conv_id", "turn", "person", "place").groupBy("conv_id")
-    return keyed.applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def resolve_reference(text: str, own: str, previous: str, pronoun_pattern: str):
