@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseweave.operators.filters import require_allowed, share
 from caseweave.operators.scale import top_per_group, total
@@ -204,7 +205,7 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def pearson_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of r under Student's t with n-2 degrees of freedom."""
     return pd.Series([

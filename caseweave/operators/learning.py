@@ -24,6 +24,7 @@ from caseweave.session import materialise, scratch_path
 TEST_PERCENT = 20  # fixed values
 TOP_CATEGORIES = 12
 TREES, DEPTH, SEED = 200, 6, 42
+STARTS = 10
 TIER_QUANTILES = (0.65, 0.90)
 TOLERANCE = 1e-6
 
@@ -47,12 +48,13 @@ def severity_tiers(groups: DataFrame, key: list[str], volume: str, ratio: str, f
         VectorAssembler(inputCols=columns, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
         PCA(k=2, inputCol="_scaled", outputCol="_pca"),
-        KMeans(k=k, seed=SEED, featuresCol="_scaled", predictionCol="_cluster"),
     ]).fit(groups)
     loadings = model.stages[2].pc.toArray()
     signs = [float(np.sign(loadings[np.argmax(np.abs(loadings[:, j])), j])) for j in range(2)]
     scored = severity_scores(groups, volume, ratio)
-    placed = materialise(model.transform(scored), "tiers")
+    scaled = materialise(model.transform(scored), "scaled")
+    starts = [KMeans(k=k, seed=SEED + i, featuresCol="_scaled", predictionCol="_cluster").fit(scaled) for i in range(STARTS)]
+    placed = materialise(min(starts, key=lambda m: m.summary.trainingCost).transform(scaled), "tiers")
     ranked = [r["_cluster"] for r in placed.groupBy("_cluster").agg(F.avg("severity_score").alias("m")).orderBy("m", "_cluster").collect()]
     label = F.lit(names[0])
     for rank, cluster in enumerate(ranked):

@@ -39,12 +39,15 @@ def _(spark, sf):
     return nodes.select("id", "degree", edges.agg(F.count("*").alias("n")).scalar().alias("n_edges"))
 
 
-# seeds and path ends: the first and last part of each brand that has edges
+# seeds: the first part of each brand that has edges; path ends: first and last part of each type
 cte("brand_ends", "SELECT p_brand, MIN(p_partkey) AS lo, MAX(p_partkey) AS hi FROM part JOIN (SELECT DISTINCT id FROM arcs) ON id = p_partkey GROUP BY p_brand", "arcs")
 
 
-def brand_ends(spark, sf, edges):
-    return table(spark, sf, "part").join(gr.node_set(edges), F.col("p_partkey") == F.col("id")).groupBy("p_brand").agg(
+cte("type_ends", "SELECT p_type, MIN(p_partkey) AS lo, MAX(p_partkey) AS hi FROM part JOIN (SELECT DISTINCT id FROM arcs) ON id = p_partkey GROUP BY p_type", "arcs")
+
+
+def ends_by(spark, sf, edges, kind):
+    return table(spark, sf, "part").join(gr.node_set(edges), F.col("p_partkey") == F.col("id")).groupBy(kind).agg(
         F.min("p_partkey").alias("lo"), F.max("p_partkey").alias("hi")
     )
 
@@ -55,13 +58,13 @@ _EGO = """ego(seed, id, hops) AS (SELECT DISTINCT lo, lo, 0 FROM brand_ends UNIO
 @query("gr4_ego_nodes", "SELECT seed, id, MIN(hops) AS hops FROM ego GROUP BY ALL", ("brand_ends",), _EGO)
 def _(spark, sf):
     edges = graph_edges(spark, sf)
-    return gr.ego_nodes(edges, brand_ends(spark, sf, edges).select(F.col("lo").alias("id")), 3)
+    return gr.ego_nodes(edges, ends_by(spark, sf, edges, "p_brand").select(F.col("lo").alias("id")), 3)
 
 
 @query("gr4_ego_edges", "SELECT DISTINCT x.seed, a, b, weight FROM edges JOIN ego x ON x.id = a JOIN ego y ON y.id = b AND y.seed = x.seed", ("brand_ends", "edges"), _EGO)
 def _(spark, sf):
     edges = graph_edges(spark, sf)
-    members = materialise(gr.ego_nodes(edges, brand_ends(spark, sf, edges).select(F.col("lo").alias("id")), 3), "ego")
+    members = materialise(gr.ego_nodes(edges, ends_by(spark, sf, edges, "p_brand").select(F.col("lo").alias("id")), 3), "ego")
     return gr.ego_edges(edges, members)
 
 
@@ -107,29 +110,29 @@ def _(spark, sf):
     )
 
 
-_BFS = """bfs(target, id, dist) USING KEY (target, id) AS (SELECT DISTINCT hi, hi, 0 FROM brand_ends
+_BFS = """bfs(target, id, dist) USING KEY (target, id) AS (SELECT DISTINCT hi, hi, 0 FROM type_ends
   UNION SELECT b.target, x.other, MIN(b.dist + 1) FROM bfs b JOIN arcs x ON x.id = b.id LEFT JOIN recurring.bfs r ON r.target = b.target AND r.id = x.other WHERE r.id IS NULL GROUP BY b.target, x.other),
 dists AS (SELECT target, id, MIN(dist) AS dist FROM bfs GROUP BY ALL),
 step AS (SELECT d.target, d.id, d.dist, MIN(n.id) AS onward FROM dists d JOIN arcs x ON x.id = d.id JOIN dists n ON n.target = d.target AND n.id = x.other AND n.dist = d.dist - 1 GROUP BY ALL),
-walk(source, target, pos, path) AS (SELECT lo, hi, lo, CAST(lo AS VARCHAR) FROM brand_ends JOIN dists ON target = hi AND id = lo
+walk(source, target, pos, path) AS (SELECT lo, hi, lo, CAST(lo AS VARCHAR) FROM type_ends JOIN dists ON target = hi AND id = lo
   UNION ALL SELECT source, w.target, onward, path || '>' || onward FROM walk w JOIN step s ON s.target = w.target AND s.id = w.pos)"""
 
 
-@query("gr7_shortest_paths", """SELECT lo AS source, hi AS target, dist AS hops, path FROM brand_ends LEFT JOIN dists ON dists.target = hi AND id = lo LEFT JOIN (SELECT source, target, path FROM walk WHERE pos = target) w ON w.source = lo AND w.target = hi""",
-       ("brand_ends",), _BFS)
+@query("gr7_shortest_paths", """SELECT lo AS source, hi AS target, dist AS hops, path FROM type_ends LEFT JOIN dists ON dists.target = hi AND id = lo LEFT JOIN (SELECT source, target, path FROM walk WHERE pos = target) w ON w.source = lo AND w.target = hi""",
+       ("type_ends",), _BFS)
 def _(spark, sf):
     edges = graph_edges(spark, sf)
-    ends = brand_ends(spark, sf, edges).select(F.col("lo").alias("source"), F.col("hi").alias("target"))
+    ends = ends_by(spark, sf, edges, "p_type").select(F.col("lo").alias("source"), F.col("hi").alias("target"))
     paths = gr.shortest_paths(materialise(gr.both_ways(edges), "arcs"), ends)
     return paths.select("source", "target", "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query("gr7_path_hops", """SELECT w.source, w.target, CAST(hop AS INT) AS hop, CAST(p[hop + 1] AS BIGINT) AS from_id, CAST(p[hop + 2] AS BIGINT) AS to_id, weight
     FROM (SELECT source, target, string_split(path, '>') AS p, unnest(range(len(string_split(path, '>')) - 1)) AS hop FROM walk WHERE pos = target) w
-    JOIN edges ON a = least(CAST(p[hop + 1] AS BIGINT), CAST(p[hop + 2] AS BIGINT)) AND b = greatest(CAST(p[hop + 1] AS BIGINT), CAST(p[hop + 2] AS BIGINT))""", ("brand_ends", "edges"), _BFS)
+    JOIN edges ON a = least(CAST(p[hop + 1] AS BIGINT), CAST(p[hop + 2] AS BIGINT)) AND b = greatest(CAST(p[hop + 1] AS BIGINT), CAST(p[hop + 2] AS BIGINT))""", ("type_ends", "edges"), _BFS)
 def _(spark, sf):
     edges = graph_edges(spark, sf)
-    ends = brand_ends(spark, sf, edges).select(F.col("lo").alias("source"), F.col("hi").alias("target"))
+    ends = ends_by(spark, sf, edges, "p_type").select(F.col("lo").alias("source"), F.col("hi").alias("target"))
     hops = gr.path_hops(gr.shortest_paths(materialise(gr.both_ways(edges), "arcs"), ends))
     joined = hops.withColumns({"a": F.least("from_id", "to_id"), "b": F.greatest("from_id", "to_id")}).join(edges, ["a", "b"])
     return joined.select("source", "target", "hop", "from_id", "to_id", "weight")
