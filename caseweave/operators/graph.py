@@ -17,7 +17,7 @@ def cooccurrence(links: DataFrame, group: str, item: str, min_weight: int = 1, h
     meet in a smaller one. Those groups are added back by membership look-ups for
     the pairs found, so weights stay exact and a hot group is not expanded.
     """
-    members = links.select(group, item).distinct()
+    members = materialise(links.select(group, item).distinct(), "members")
     if min_weight <= 1:
         return group_pairs(members, group, item).groupBy("a", "b").agg(F.count("*").alias("weight"))
     big = members.groupBy(group).agg(F.count("*").alias("_size")).where(F.col("_size") > hot)
