@@ -54,4 +54,5 @@ def locate(df: DataFrame, place: str, super_place: str, gazetteer: DataFrame, ce
         F.coalesce(hit["lon"], F.round(F.coalesce(F.col("_c.lon"), F.lit(FALLBACK_CENTRE[1])) + hash_offset(seed, 9), 5)).alias("lon"),
         hit.isNotNull().alias("precise"),
     )
-    return df.join(placed, [place, super_place])
+    # a row without a place name keeps its place in the result, without coordinates
+    return df.join(placed, [place, super_place], "left")

@@ -14,21 +14,24 @@ def history_features(df: DataFrame, entity: str, case: str, date: str, category:
 
     Every feature is a running sum. A category counts as newly seen on its first
     row, found by one aggregation per (entity, category), so the number of distinct
-    prior categories is a running sum as well.
+    prior categories is a running sum as well. Rows without a category count as
+    cases, not as a category.
     """
-    firsts = df.groupBy(entity, category).agg(F.min_by(case, F.struct(date, case)).alias("_first"))
-    marked = df.join(firsts, [entity, category]).withColumn("_new", (F.col(case) == F.col("_first")).cast("int")).drop("_first")
-    violent_now, property_now = F.col(category).isin(violent), F.col(category).isin(prop)
+    firsts = df.where(F.col(category).isNotNull()).groupBy(entity, category).agg(F.min_by(case, F.struct(date, case)).alias("_first"))
+    is_first = F.coalesce(F.col(case) == F.col("_first"), F.lit(False)).cast("int")
+    marked = df.join(firsts, [entity, category], "left").withColumn("_new", is_first).drop("_first")
+    violent_now = F.coalesce(F.col(category).isin(violent), F.lit(False))
+    property_now = F.coalesce(F.col(category).isin(prop), F.lit(False))
     run = day_running_sums(
         marked, [entity], date, [case],
         {
             "prior_case_count": F.lit(1), "distinct_prior_categories": F.col("_new"),
             "prior_violent_count": violent_now.cast("int"), "prior_property_count": property_now.cast("int"),
         },
+        first_day="_start",
     )
-    starts = df.groupBy(entity).agg(F.min(date).alias("_start"))
     return (
-        run.join(starts, entity)
+        run
         .withColumn("days_since_first_case", F.date_diff(date, "_start"))
         .withColumn("current_is_violent", violent_now.cast("int"))
         .withColumn("current_is_property", property_now.cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.functions.similarity import similar_text_pairs
+from caseweave.functions.similarity import block_ratio, similar_text_pairs
 from caseweave.functions.text import normalise_name
 from caseweave.operators.components import connected_components
 from caseweave.operators.scale import global_rank, top_per_group
@@ -33,8 +33,6 @@ def match_names(left: DataFrame, right: DataFrame, cutoff: float = MATCH_CUTOFF,
     )
     best = top_per_group(pairs, ["block", "b"], [F.col("score").desc(), F.col("a").desc()], 1, "_rk")
     if measure == "block":
-        from caseweave.functions.similarity import block_ratio
-
         best = best.withColumn("score", block_ratio("b", "a"))
     fuzzy = (
         open_rows.join(best.select("block", F.col("b").alias("name"), F.col("a").alias("right_name"), "score"), ["block", "name"])
@@ -64,6 +62,15 @@ def _units(appearances: DataFrame) -> DataFrame:
     )
 
 
+def _back_to_rows(appearances: DataFrame, named: DataFrame) -> DataFrame:
+    """Appearances with the columns found for their unit; missing keys equal missing keys."""
+    unit = ["block", "norm", "birth_year"]
+    keyed = named.select(*[F.col(c).alias(f"_{c}") for c in unit], *[c for c in named.columns if c not in unit])
+    rows = appearances.withColumn("norm", normalise_name(F.col("name")))
+    same = F.col("block").eqNullSafe(F.col("_block")) & F.col("norm").eqNullSafe(F.col("_norm")) & F.col("birth_year").eqNullSafe(F.col("_birth_year"))
+    return rows.join(keyed, same).drop("norm", *[f"_{c}" for c in unit])
+
+
 def _links(units: DataFrame, cutoff: float, band: int, measure: str) -> DataFrame:
     """(earlier, later) unit pairs of a block with similar names and close birth years.
 
@@ -123,10 +130,7 @@ def resolve_greedy(appearances: DataFrame, prefix: str = "ACC", cutoff: float =
     numbered = global_rank(
         founders.select("unit", F.col("unit.case_year").alias("y"), F.col("unit.appearance_id").alias("i")), [F.col("y"), F.col("i")], "n"
     ).select(F.col("unit").alias("owner"), F.format_string(f"{prefix}-%06d", "n").alias("entity_id"))
-    return (
-        appearances.withColumn("norm", normalise_name(F.col("name")))
-        .join(owner, ["block", "norm", "birth_year"]).join(numbered, "owner").drop("owner", "norm")
-    )
+    return _back_to_rows(appearances, owner.join(numbered, "owner").drop("owner"))
 
 
 def resolve_components(appearances: DataFrame, cutoff: float = MATCH_CUTOFF, band: int = BIRTH_YEAR_BAND, measure: str = "block") -> DataFrame:
@@ -140,7 +144,7 @@ def resolve_components(appearances: DataFrame, cutoff: float = MATCH_CUTOFF, ban
         units.select(F.col("first").alias("id")), links.select(F.col("earlier").alias("a"), F.col("later").alias("b"))
     )
     named = units.join(labels, F.col("first") == F.col("id")).select("block", "norm", "birth_year", F.col("component.appearance_id").alias("entity_id"))
-    return appearances.withColumn("norm", normalise_name(F.col("name"))).join(named, ["block", "norm", "birth_year"]).drop("norm")
+    return _back_to_rows(appearances, named)
 
 
 def resolution_summary(resolved: DataFrame) -> DataFrame:

@@ -68,17 +68,17 @@ def suspicious_edges(tx: DataFrame, scored: DataFrame, limit: int = EDGE_LIMIT)
 def case_priority(cases: DataFrame, links: DataFrame, tiers: DataFrame, case: str, place: str, category: str, status: str, date: str,
                   entity: str, violent: list[str], unresolved: list[str], stale_days: int, entity_tier: str = "risk_tier") -> DataFrame:
     """Score 0-8 for each unresolved case: violent 3, entity risk 0/1/2, hotspot 2, stale 1."""
-    volumes = cases.groupBy(place).agg(F.count("*").alias("_volume"))
+    volumes = cases.where(F.col(place).isNotNull()).groupBy(place).agg(F.count("*").alias("_volume"))
     p75 = exact_quantiles(volumes, "_volume", [HOTSPOT_PERCENTILE])[0]
     open_cases = with_age(cases.where(F.col(status).isin(unresolved)), date, stale_days, total(cases, F.max(date)))
     entity_risk = highest_tier(
         links.select(case, entity).join(tiers.select(entity, F.col(entity_tier).alias("_tier")), entity, "left"), [case], "_tier"
     )
     scored = (
-        open_cases.join(volumes, place).join(entity_risk, case, "left")
+        open_cases.join(volumes, place, "left").join(entity_risk, case, "left")
         .withColumns({
             "violent_points": F.col(category).isin(violent).cast("int") * 3,
-            "hotspot_points": (F.col("_volume") >= p75).cast("int") * 2,
+            "hotspot_points": (F.coalesce("_volume", F.lit(0)) >= p75).cast("int") * 2,
             "entity_points": F.coalesce("risk_points", F.lit(0)),
             "highest_tier": F.coalesce("highest_tier", F.lit("LOW")),
         })

@@ -72,8 +72,8 @@ def _order_statistic(values: DataFrame, n: int, rank: int, limit: int) -> float:
     return steps.where(F.col("upto") > rank).agg(F.min("v")).first()[0]
 
 
-def day_running_sums(df: DataFrame, key: list[str], day: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Running sums over the rows strictly before each row of its key.
+def day_running_sums(df: DataFrame, key: list[str], day: str, order: list[str], sums: dict[str, Column], first_day: str | None = None) -> DataFrame:
+    """Running sums over the rows strictly before each row of its key; optionally the key's first day.
 
     Rows are ordered by (day, *order). The window over a whole key only sees one
     row per day, and the row-level window only sees one day of one key, so a key
@@ -82,8 +82,9 @@ def day_running_sums(df: DataFrame, key: list[str], day: str, order: list[str],
     tagged = df.select("*", *[expr.cast("long").alias(f"_v_{name}") for name, expr in sums.items()])
     daily = tagged.groupBy(*key, day).agg(*[F.sum(f"_v_{name}").alias(f"_d_{name}") for name in sums])
     before = W.partitionBy(*key).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
+    extra = [F.min(day).over(W.partitionBy(*key)).alias(first_day)] if first_day else []
     offsets = daily.select(
-        *key, day, *[F.coalesce(F.sum(f"_d_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums]
+        *key, day, *extra, *[F.coalesce(F.sum(f"_d_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums]
     )
     inside = W.partitionBy(*key, day).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = tagged.select(
@@ -91,7 +92,7 @@ def day_running_sums(df: DataFrame, key: list[str], day: str, order: list[str],
     )
     joined = local.join(offsets, [*key, day])
     return joined.select(
-        *df.columns, *[(F.col(f"_l_{name}") + F.col(f"_o_{name}")).alias(name) for name in sums]
+        *df.columns, *([first_day] if first_day else []), *[(F.col(f"_l_{name}") + F.col(f"_o_{name}")).alias(name) for name in sums]
     )
 
 

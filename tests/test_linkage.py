@@ -54,6 +54,7 @@ def test_greedy_resolution_matches_first_come_clustering(spark):
     rng = random.Random(5)
     names = _names(60, 9)
     rows = [(i, rng.choice("MF"), rng.choice(names), rng.randrange(1960, 1985), rng.randrange(2015, 2020)) for i in range(300)]
+    rows += [(300, None, names[0], 1970, 2020), (301, None, names[0], 1970, 2021)]
     clusters, want, count = {}, {}, 0
     for i, block, name, year, _ in sorted(rows, key=lambda r: (r[4], r[0])):
         norm = " ".join(name.lower().split())

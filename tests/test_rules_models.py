@@ -28,6 +28,9 @@ def test_history_uses_only_the_past_and_breaks_day_ties_by_case(spark):
     assert [h[i].prior_case_count for i in (1, 2, 3)] == [0, 1, 2]
     assert [h[i].distinct_prior_categories for i in (1, 2, 3)] == [0, 1, 2]
     assert [h[i].prior_violent_count for i in (1, 2, 3)] == [0, 1, 1] and h[3].days_since_first_case == 60
+    blank = df.unionByName(spark.createDataFrame([("q", 5, d("2021-01-05"), None)], df.schema))
+    kept = {r.fir: r for r in hs.history_features(blank, "person", "fir", "day", "kind", ["MURDER"], ["THEFT"]).collect()}
+    assert len(kept) == 5 and kept[5].prior_case_count == 1 and kept[5].distinct_prior_categories == 1 and kept[5].current_is_violent == 0
     labels = {r.fir: r.label for r in hs.horizon_label(df, "person", "day", 59).collect()}
     assert labels == {1: 0, 2: 0, 3: 0, 4: 0}
     assert {r.fir: r.label for r in hs.horizon_label(df, "person", "day", 60).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
