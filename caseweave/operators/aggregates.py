@@ -213,12 +213,20 @@ def pearson_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     ], dtype="float64")
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson r over the rows where both are present; null if either is constant."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0)))
+
+
 def interpret_correlation(r: Column, p: Column) -> Column:
     strength = F.when(F.abs(r) >= 0.5, "strong").when(F.abs(r) >= 0.3, "moderate").otherwise("weak")
     direction = F.when(r > 0, "positive").otherwise("negative")
-    return F.when(p >= 0.05, "not statistically significant (p >= 0.05)").otherwise(
+    text = F.when(p >= 0.05, "not statistically significant (p >= 0.05)").otherwise(
         F.concat(strength, F.lit(" "), direction, F.lit(" correlation (p < 0.05)"))
     )
+    return F.when(r.isNotNull() & p.isNotNull(), text)
 
 
 def correlation_grid(df: DataFrame, indicators: list[str], metrics: list[str], allowed_indicators: list[str] = ALLOWED_INDICATORS,
@@ -228,7 +236,7 @@ def correlation_grid(df: DataFrame, indicators: list[str], metrics: list[str], a
     require_allowed(metrics, allowed_metrics, CONTEXT_ONLY)
     pairs = [(i, m) for i in indicators for m in metrics]
     cells = df.agg(*[
-        F.struct(F.corr(i, m).alias("r"), F.regr_count(m, i).alias("n")).alias(f"c{k}") for k, (i, m) in enumerate(pairs)
+        F.struct(correlation(i, m).alias("r"), F.regr_count(m, i).alias("n")).alias(f"c{k}") for k, (i, m) in enumerate(pairs)
     ])
     rows = F.array(*[
         F.struct(F.lit(i).alias("indicator"), F.lit(m).alias("metric"), F.col(f"c{k}.r").alias("r"), F.col(f"c{k}.n").alias("n"))
@@ -244,7 +252,7 @@ def rank_agreement(df: DataFrame, x: Column, y: Column) -> DataFrame:
     ranked = df.select(
         F.row_number().over(W.orderBy(x.desc(), "feature")).alias("rx"), F.row_number().over(W.orderBy(y.desc(), "feature")).alias("ry")
     )
-    return ranked.agg(F.corr("rx", "ry").alias("spearman"), F.count("*").alias("n"))
+    return ranked.agg(correlation("rx", "ry").alias("spearman"), F.count("*").alias("n"))
 
 
 def mean_absolute(df: DataFrame, columns: list[str]) -> DataFrame:

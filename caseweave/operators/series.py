@@ -6,7 +6,6 @@ Input is long: (group..., series, t, value), one row per period.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # fixed order, used to break ties in the back-test error

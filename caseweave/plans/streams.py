@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from caseweave.plans.base import table
 from caseweave.plans.registry import query
 from caseweave.plans.timelines import mentions

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from caseweave.operators import aggregates as ag
 from caseweave.operators import graph as gr
-from caseweave.operators.filters import filter_cases, require_allowed
+from caseweave.operators.filters import require_allowed
 from caseweave.operators.linkage import match_names, match_summary, resolution_summary, resolve_components
-from caseweave.operators.learning import bucket_rare, one_hot, top_categories
-from caseweave.operators.risk import apply_rules, evaluate_rules, rule_thresholds, suspicious_edges
-from caseweave.operators.scale import exact_quantiles, top_per_group
-from caseweave.operators.series import backtest_summary, rank_by_change, with_change
+from caseweave.operators.learning import bucket_rare, top_categories
+from caseweave.operators.risk import apply_rules, rule_thresholds, suspicious_edges
+from caseweave.operators.scale import exact_quantiles
 from caseweave.plans.base import PROPERTY, UNRESOLVED, VIOLENT, cases, memberships, part_graph, table, transactions, yearly_series
 from caseweave.plans.registry import cte, query
 from caseweave.session import materialise
@@ -164,7 +163,7 @@ def place_indicators(spark, sf):
 
 
 _GRID = " UNION ALL ".join(
-    f"SELECT '{i}' AS indicator, '{m}' AS metric, ROUND(corr({m}, {i}), 4) AS r, COUNT(*) AS n FROM places_wide" for i in INDICATORS for m in METRICS
+    f"SELECT '{i}' AS indicator, '{m}' AS metric, CASE WHEN stddev_pop({m}) > 0 AND stddev_pop({i}) > 0 THEN ROUND(corr({m}, {i}), 4) END AS r, COUNT(*) AS n FROM places_wide" for i in INDICATORS for m in METRICS
 )
 
 

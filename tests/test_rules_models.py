@@ -85,6 +85,12 @@ def test_guards(spark):
         flt.role_view(df, "GUEST", [])
 
 
+def test_constant_indicator_has_no_correlation(spark):
+    df = spark.createDataFrame([(float(i), 1.0, float(i % 7)) for i in range(20)], "literacy_rate double, urbanization_rate double, violent_ratio double")
+    grid = {r.indicator: r for r in ag.correlation_grid(df, ["literacy_rate", "urbanization_rate"], ["violent_ratio"]).collect()}
+    assert grid["urbanization_rate"].r is None and grid["urbanization_rate"].interpretation is None and grid["literacy_rate"].interpretation
+
+
 def test_small_expressions(spark):
     one = spark.range(1)
     p = one.select(ag.pearson_p_value(F.lit(0.5), F.lit(20)).alias("p"), ag.pearson_p_value(F.lit(0.2), F.lit(500)).alias("q")).first()
