@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, OrderedDict
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,22 +42,28 @@ def grams(word: str, order: int) -> list[str]:
 class Model:
     """Log frequencies by language; tables are bounded, so it may be broadcast."""
 
-    def __init__(self, languages: list[str], word_counts: dict[str, np.ndarray], gram_counts: dict[str, np.ndarray]):
-        self.languages = languages
-        self.word_rows = {w: i for i, w in enumerate(word_counts)}
-        self.word_logs = self._logs(np.array(list(word_counts.values()), dtype=float).reshape(-1, len(languages)))
-        self.gram_rows: dict[str, int] = {}
-        logs = [np.zeros((0, len(languages)))]
+    def __init__(self, languages: list[str], word_rows: dict[str, int], word_logs: np.ndarray, gram_rows: dict[str, int], gram_logs: np.ndarray):
+        self.languages, self.word_rows, self.word_logs, self.gram_rows, self.gram_logs = languages, word_rows, word_logs, gram_rows, gram_logs
+        self.cache: dict[str, np.ndarray] = {}
+
+    @classmethod
+    def of_counts(cls, languages: list[str], word_counts: dict[str, np.ndarray], gram_counts: dict[str, np.ndarray]) -> Model:
+        def logs(counts: dict) -> np.ndarray:
+            table = np.array(list(counts.values()), dtype=float).reshape(-1, len(languages))
+            return np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * len(table) + 0.1))
+
+        gram_rows: dict[str, int] = {}
+        stacked = [np.zeros((0, len(languages)))]
         for order in ORDERS:
             own = {g: c for g, c in gram_counts.items() if len(g) == order}
-            self.gram_rows.update({g: len(self.gram_rows) + i for i, g in enumerate(own)})
-            logs.append(self._logs(np.array(list(own.values()), dtype=float).reshape(-1, len(languages))) + GIVE_UP * (ORDERS[0] - order))
-        self.gram_logs = np.vstack(logs)
-        self.cache: OrderedDict[str, np.ndarray] = OrderedDict()
+            base = len(gram_rows)
+            gram_rows.update({g: base + i for i, g in enumerate(own)})
+            stacked.append(logs(own) + GIVE_UP * (ORDERS[0] - order))
+        return cls(languages, {w: i for i, w in enumerate(word_counts)}, logs(word_counts), gram_rows, np.vstack(stacked))
 
-    @staticmethod
-    def _logs(counts: np.ndarray) -> np.ndarray:
-        return np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * len(counts) + 0.1))
+    def tables(self) -> tuple:
+        """Plain values to ship to the tasks."""
+        return self.languages, self.word_rows, self.word_logs, self.gram_rows, self.gram_logs
 
     def unseen(self, word: str) -> np.ndarray:
         marked, rows = f"\x02{word}\x03", []
@@ -101,7 +108,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, m
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], {}, {})
+        return Model.of_counts([], {}, {})
     share = F.element_at(F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1.0, max_rows / sizes[lang]))]), F.col("lang"))
     place = (F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5).cast("double")
     sample = labelled.where(F.col("lang").isin(languages)).where(place < share)
@@ -130,19 +137,20 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, m
             out.setdefault(row["word"], np.zeros(len(languages)))[languages.index(row["lang"])] += row["n"]
         return dict(sorted(out.items()))
 
-    model = Model(languages, largest(seen, max_words), largest(parts, max_grams))
+    model = Model.of_counts(languages, largest(seen, max_words), largest(parts, max_grams))
     seen.unpersist()
     return model
 
 
 def predictor(spark: SparkSession, model: Model):
     """A vectorised function text -> (lang_pred, score)."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.tables())
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        own = shared.value
-        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Model(*shared.value)
+        for texts in batches:
+            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     return predict
 

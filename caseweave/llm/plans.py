@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseweave.llm import exact, language, packing
+from caseweave.llm import exact, language, leaks, near, packing
 from caseweave.llm.common import table
 from caseweave.llm.registry import ORACLES, QUERIES, query
 
@@ -32,6 +32,16 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+@query("op10_minhash_near_dedup")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_groups(table(spark, sf, "documents"))
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
