@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseweave.llm import exact, language, leaks, near, packing
+from caseweave.llm import captures, exact, language, leaks, near, packing, private, quality
 from caseweave.llm.common import table
 from caseweave.llm.registry import ORACLES, QUERIES, query
 
@@ -42,6 +42,32 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op3_pii")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return private.personal_data(table(spark, sf, "documents"))
+
+
+ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f
+"""
+
+
+@query("op5_warc", ARCHIVE_SQL)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return captures.archived(table(spark, sf, "pages"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
