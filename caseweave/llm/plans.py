@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caseweave.llm import captures, exact, language, leaks, near, packing, private, quality
+from caseweave.llm import captures, exact, language, leaks, near, packing, private, quality, substring
 from caseweave.llm.common import table
 from caseweave.llm.registry import ORACLES, QUERIES, query
 
@@ -68,6 +69,12 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return captures.archived(table(spark, sf, "pages"))
 
 
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    kept = substring.drop_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
