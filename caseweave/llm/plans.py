@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import captures, exact, language, leaks, near, packing, private, quality, substring
+from caseweave.llm import captures, exact, language, leaks, near, packing, private, quality, substring, suffix
 from caseweave.llm.common import table
 from caseweave.llm.registry import ORACLES, QUERIES, query
 
@@ -75,6 +75,12 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    kept = suffix.drop_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
