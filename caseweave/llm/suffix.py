@@ -156,8 +156,9 @@ def suffix_order(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
 def common_prefixes(words: np.ndarray, room: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
     """Length of the prefix that each entry of ``order`` shares with the one before, up to ``limit``.
 
-    Where a suffix and its neighbour are both one further than at the position before, the
-    prefix is one shorter than there (Kasai); only the first of such a chain is compared.
+    Where a suffix and its neighbour are both one further than at the position before, and
+    shared a letter there, the prefix is one shorter (Kasai); only the first of such a chain
+    is compared.
     """
     out = np.zeros(len(order), dtype=np.int64)
     if len(order) < 2:
@@ -166,7 +167,9 @@ def common_prefixes(words: np.ndarray, room: np.ndarray, order: np.ndarray, limi
     before[order[1:]] = order[:-1]
     own = np.sort(order[1:])
     chained = np.zeros(len(own), dtype=bool)
-    chained[1:] = (own[1:] == own[:-1] + 1) & (before[own[1:]] == before[own[:-1]] + 1)
+    letter = words >> np.uint64(56)
+    last = own[:-1]
+    chained[1:] = (own[1:] == last + 1) & (before[own[1:]] == before[last] + 1) & (letter[last] == letter[before[last]])
     heads = np.flatnonzero(~chained)
     chain = np.diff(np.append(heads, len(own)))
     a, b = own[heads], before[own[heads]]
@@ -301,7 +304,7 @@ class Answered:
                 self.start, self.count, self.region = np.frombuffer(places, "<u4").reshape(-1, 3).T.astype(np.int64)
                 size = int.from_bytes(bits, "little")
             elif kind == "size":
-                sizes[number] = int.from_bytes(bits, "little")
+                sizes[number] = int.from_bytes(bits, "big")
         self.whole, self.needed = np.zeros(size, bool), np.zeros(size, bool)
         bases = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[s] for s in sorted(sizes))])))
         self.windows: dict[int, list[np.ndarray]] = {}
@@ -318,7 +321,7 @@ def _lying(regions: DataFrame) -> DataFrame:
     """Where regions lie, and how many stand in each slice, as answers to their own shard."""
     none = F.lit(None).cast("binary")
     where = regions.where("slice = -1").select("shard", F.lit("lying").alias("kind"), "slice", F.col("marks").alias("bits"), F.col("keys").alias("places"))
-    size = F.reverse(F.unhex(F.lpad(F.hex(F.octet_length("marks")), 16, "0")))
+    size = F.unhex(F.lpad(F.hex(F.octet_length("marks")), 16, "0"))
     sizes = regions.where("slice >= 0").select("shard", F.lit("size").alias("kind"), "slice", size.alias("bits"), none.alias("places"))
     return where.unionByName(sizes)
 
@@ -329,7 +332,7 @@ def _send(table: pa.Table, own: pa.Table, width: int, bits: int) -> pa.Table:
         return _empty(SENT)
     number = table.column("shard")[0].as_py()
     text = Text(table)
-    numbers = sorted((s, int.from_bytes(b, "little")) for k, s, b in zip(*(own.column(c).to_pylist() for c in ("kind", "slice", "bits"))) if k == "size")
+    numbers = sorted((s, int.from_bytes(b, "big")) for k, s, b in zip(*(own.column(c).to_pylist() for c in ("kind", "slice", "bits"))) if k == "size")
     slice_of = np.repeat([s for s, _ in numbers], [n for _, n in numbers])
     first = np.full(len(known.whole), -1, dtype=np.int64)
     first[known.region[::-1]] = np.arange(len(known.region))[::-1]
