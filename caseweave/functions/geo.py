@@ -33,26 +33,31 @@ def locate(df: DataFrame, place: str, super_place: str, gazetteer: DataFrame, ce
     """Adds lat, lon, precise: exact name, else suffix-stripped name, else first word,
     else the super-place centre shifted by the hash of the place name.
 
-    ``gazetteer`` (name, lat, lon) and ``centres`` (name, lat, lon) hold upper-case names.
+    ``gazetteer`` (name, lat, lon) and ``centres`` (name, lat, lon) hold upper-case names; of a
+    repeated name the smallest coordinates count. A missing super-place falls back to the
+    centre of all.
     """
+    gazetteer, centres = (t.groupBy("name").agg(F.min(F.struct("lat", "lon")).alias("at")).select("name", "at.*") for t in (gazetteer, centres))
     keys = {
         "exact": F.upper(F.trim(F.col(place))),
         "stripped": strip_place_suffix(F.col(place)),
         "word": F.split(strip_place_suffix(F.col(place)), " ")[0],
     }
-    places = df.select(place, super_place).distinct()
+    # a row without a place name gets no coordinates
+    places = df.select(place, super_place).where(F.col(place).isNotNull()).distinct()
     for tag, key in keys.items():
         hit = gazetteer.select(F.col("name").alias(f"_{tag}"), F.struct("lat", "lon").alias(f"_g_{tag}"))
         places = places.withColumn(f"_{tag}", key).join(hit, f"_{tag}", "left")
     centre = centres.select(F.col("name").alias("_centre"), F.struct("lat", "lon").alias("_c"))
     places = places.withColumn("_centre", F.upper(F.trim(F.col(super_place)))).join(centre, "_centre", "left")
     hit = F.coalesce("_g_exact", "_g_stripped", "_g_word")
-    seed = F.concat(F.col("_centre"), F.lit("|"), F.col(place))
+    seed = F.concat(F.coalesce("_centre", F.lit("")), F.lit("|"), F.col(place))
     placed = places.select(
         place, super_place,
         F.coalesce(hit["lat"], F.round(F.coalesce(F.col("_c.lat"), F.lit(FALLBACK_CENTRE[0])) + hash_offset(seed, 1), 5)).alias("lat"),
         F.coalesce(hit["lon"], F.round(F.coalesce(F.col("_c.lon"), F.lit(FALLBACK_CENTRE[1])) + hash_offset(seed, 9), 5)).alias("lon"),
         hit.isNotNull().alias("precise"),
     )
-    # a row without a place name keeps its place in the result, without coordinates
-    return df.join(placed, [place, super_place], "left")
+    placed = placed.withColumnsRenamed({place: "_place", super_place: "_super"})
+    same = F.col(place).eqNullSafe(F.col("_place")) & F.col(super_place).eqNullSafe(F.col("_super"))
+    return df.join(placed, same, "left").drop("_place", "_super")

@@ -83,8 +83,8 @@ def similar_text_pairs(left: DataFrame, right: DataFrame, cutoff: float = 0.82,
     rare bigrams (exact prefix filter), then lengths, then the real score. For the
     block measure the score is ratio(a, b) with a from the left side.
     """
-    if cutoff < MIN_CUTOFF:
-        raise ValueError(f"cutoff below {MIN_CUTOFF}: the bigram filter is only complete from there on")
+    if cutoff <= MIN_CUTOFF:
+        raise ValueError(f"cutoff not above {MIN_CUTOFF}: at it, similar texts may share no bigram")
     if measure not in ("block", "edit"):
         raise ValueError(f"unknown measure {measure}")
     left = left.select("block", "text").where(F.col("text").isNotNull()).distinct()

@@ -10,14 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.operators.filters import require_allowed, share
+from caseweave.operators.filters import require_allowed, share, within
 from caseweave.operators.scale import top_per_group, total
 from caseweave.schemas import ALLOWED_INDICATORS, CONTEXT_ONLY, CRIME_METRICS
 
 
 def dataset_summary(df: DataFrame, date: str, place: str, category: str) -> DataFrame:
     counts = (
-        df.groupBy(category).agg(F.count("*").alias("n"))
+        df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("n"))
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(category, "n")))).alias("m")).scalar()
     )
     return df.agg(
@@ -27,9 +27,9 @@ def dataset_summary(df: DataFrame, date: str, place: str, category: str) -> Data
 
 
 def value_counts(df: DataFrame, group: list[str], category: str) -> DataFrame:
-    """One map of category counts per group; categories form a small vocabulary."""
+    """One map of category counts per group; categories form a small vocabulary, and rows without one are not counted."""
     return (
-        df.groupBy(*group, category).agg(F.count("*").alias("n"))
+        df.where(F.col(category).isNotNull()).groupBy(*group, category).agg(F.count("*").alias("n"))
         .groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(category, "n")))).alias("counts"))
     )
 
@@ -47,9 +47,9 @@ def group_profile(df: DataFrame, group: list[str], category: str, status: str, v
     return (
         df.groupBy(*group).agg(
             F.count("*").alias("total_cases"),
-            ratio(F.col(category).isin(violent)).alias("violent_ratio"),
-            ratio(F.col(category).isin(prop)).alias("property_ratio"),
-            ratio(F.col(status).isin(unresolved)).alias("unresolved_ratio"),
+            ratio(within(F.col(category), violent)).alias("violent_ratio"),
+            ratio(within(F.col(category), prop)).alias("property_ratio"),
+            ratio(within(F.col(status), unresolved)).alias("unresolved_ratio"),
             F.coalesce(F.avg(value), F.lit(0.0)).alias("avg_value"),
         ).where(F.col("total_cases") >= min_cases)
     )

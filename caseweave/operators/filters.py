@@ -9,6 +9,11 @@ from caseweave.operators.scale import top_per_group
 from caseweave.schemas import ROLE_RANK, TIME_BUCKETS
 
 
+def within(column: Column, values: list) -> Column:
+    """Set membership that is false, not NULL, for a missing value."""
+    return F.coalesce(column.isin(values), F.lit(False))
+
+
 def filter_cases(df: DataFrame, equals: dict[str, str] | None = None, contains: dict[str, str] | None = None,
                  date: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Optional conjunctive filter; absent conditions do not reach the plan."""

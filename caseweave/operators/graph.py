@@ -228,12 +228,17 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return value.first()["q"] or 0.0
 
 
-def communities(edges: DataFrame, max_rounds: int = 10, max_levels: int = 4, min_gain: float = 1e-3) -> DataFrame:
+#: Differences of modularity that the order of summation alone can make.
+NOISE = 1e-9
+
+
+def communities(edges: DataFrame) -> DataFrame:
     """(id, community): weighted modularity communities, named by their smallest node.
 
     Louvain's two phases with synchronous moves: in each round a hash-chosen half of
     the nodes moves to the neighbouring community with the highest gain, then
-    communities become nodes. Everything is joins and aggregations; no community
+    communities become nodes. A round or level counts only if it raises modularity, and
+    the search ends when none does. Everything is joins and aggregations; no community
     or component is ever gathered in one task.
     """
     level_edges = materialise(edges.select("a", "b", F.col("weight").cast("double").alias("weight")), "louvain")
@@ -242,10 +247,9 @@ def communities(edges: DataFrame, max_rounds: int = 10, max_levels: int = 4, min
     if two_m == 0:
         return mapping
     best = None
-    for depth in range(max_levels):
-        labels = _local_moves(level_edges, two_m, max_rounds if depth == 0 else max(4, max_rounds // 2 + 1))
-        quality = modularity(level_edges, labels)
-        if best is not None and quality <= best + min_gain:
+    while True:
+        labels, quality = _local_moves(level_edges, two_m)
+        if best is not None and quality <= best + NOISE:
             break
         best = quality
         mapping = materialise(
@@ -262,15 +266,14 @@ def communities(edges: DataFrame, max_rounds: int = 10, max_levels: int = 4, min
     return mapping.join(names, "community").select("id", F.col("name").alias("community"))
 
 
-def _local_moves(edges: DataFrame, two_m: float, max_rounds: int) -> DataFrame:
-    """One Louvain level as (id, community). Loops (a = b) hold the inner weight of
-    contracted communities. Ends when two rounds, one per half, move next to nothing."""
-    state = materialise(
-        both_ways(edges, "weight").groupBy("id").agg(F.sum("weight").alias("k")).withColumn("community", F.col("id")).withColumn("moved", F.lit(0)), "state"
-    )
+def _local_moves(edges: DataFrame, two_m: float) -> tuple[DataFrame, float]:
+    """One Louvain level as (id, community) and its modularity. Loops (a = b) hold the inner
+    weight of contracted communities. A round that does not raise modularity is taken back;
+    the level ends when neither half can raise it."""
+    state = materialise(both_ways(edges, "weight").groupBy("id").agg(F.sum("weight").alias("k")).withColumn("community", F.col("id")), "state")
     around = materialise(both_ways(edges.where(F.col("a") != F.col("b")), "weight"), "around")
-    n, recent = state.count(), []
-    for round_no in range(max_rounds):
+    best, round_no, idle = modularity(edges, state.select("id", "community")), 0, 0
+    while idle < 2:
         sizes = state.groupBy("community").agg(F.sum("k").alias("tot"))
         mine = state.where(F.pmod(F.xxhash64("id", F.lit(round_no // 2)), F.lit(2)) == round_no % 2)
         # links of the moving half to each community around it; staying is always an option
@@ -285,16 +288,14 @@ def _local_moves(edges: DataFrame, two_m: float, max_rounds: int) -> DataFrame:
         # staying wins ties, then the smaller community id
         gain = F.col("w") - F.col("k") * rest / two_m + F.when(at_home, 1e-9).otherwise(0.0)
         choice = options.groupBy("id").agg(F.min_by("community", F.struct(-gain, F.col("community"))).alias("to"))
-        state = materialise(
-            state.join(choice, "id", "left").select(
-                "id", "k", F.coalesce("to", "community").alias("community"), (F.coalesce("to", "community") != F.col("community")).cast("int").alias("moved")
-            ),
-            "state",
-        )
-        recent.append(state.agg(F.sum("moved")).first()[0] or 0)
-        if len(recent) > 1 and sum(recent[-2:]) <= n * 0.002:
-            break
-    return state.select("id", "community")
+        moved = materialise(state.join(choice, "id", "left").select("id", "k", F.coalesce("to", "community").alias("community")), "state")
+        quality = modularity(edges, moved.select("id", "community"))
+        if quality > best + NOISE:
+            state, best, idle = moved, quality, 0
+        else:
+            idle += 1
+        round_no += 1
+    return state.select("id", "community"), best
 
 
 def community_summary(edges: DataFrame, labels: DataFrame, min_size: int = 3) -> DataFrame:
@@ -332,9 +333,10 @@ def graph_summary(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return sizes.withColumn("edges", n_edges).withColumn("mean_degree", F.round(F.try_divide(F.col("edges") * 2.0, F.col("nodes")), 2))
 
 
-def repeat_entities(rollup: DataFrame, key: str, people: DataFrame, edges: DataFrame, min_cases: int = 2, limit: int = 50) -> DataFrame:
+def repeat_entities(rollup: DataFrame, key: str, people: DataFrame, edges: DataFrame, min_cases: int = 2, limit: int | None = None) -> DataFrame:
     """Entities with at least ``min_cases``, most cases first, with name and degree."""
-    top = rollup.where(F.col("n_cases") >= min_cases).orderBy(F.col("n_cases").desc(), key).limit(limit)
+    top = rollup.where(F.col("n_cases") >= min_cases)
+    top = top.orderBy(F.col("n_cases").desc(), key).limit(limit) if limit else top
     return (
         top.join(people, key).join(degrees(edges).select(F.col("id").alias(key), "degree"), key, "left")
         .withColumn("degree", F.coalesce("degree", F.lit(0)))

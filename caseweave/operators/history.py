@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseweave.operators.scale import day_running_sums, global_running_sum, top_per_group, total
+from caseweave.operators.scale import day_running_sums, global_running_sum, join_keys, top_per_group, total
 
 
 def history_features(df: DataFrame, entity: str, case: str, date: str, category: str, violent: list[str], prop: list[str]) -> DataFrame:
@@ -19,7 +19,7 @@ def history_features(df: DataFrame, entity: str, case: str, date: str, category:
     """
     firsts = df.where(F.col(category).isNotNull()).groupBy(entity, category).agg(F.min_by(case, F.struct(date, case)).alias("_first"))
     is_first = F.coalesce(F.col(case) == F.col("_first"), F.lit(False)).cast("int")
-    marked = df.join(firsts, [entity, category], "left").withColumn("_new", is_first).drop("_first")
+    marked = join_keys(df, firsts, [entity, category]).withColumn("_new", is_first).drop("_first")
     violent_now = F.coalesce(F.col(category).isin(violent), F.lit(False))
     property_now = F.coalesce(F.col(category).isin(prop), F.lit(False))
     run = day_running_sums(
@@ -47,7 +47,7 @@ def horizon_label(df: DataFrame, entity: str, date: str, horizon: int, out: str
     days = df.select(entity, date).distinct()
     ahead = F.lead(date).over(W.partitionBy(entity).orderBy(date))
     labelled = days.withColumn(out, F.coalesce((F.date_diff(ahead, F.col(date)) <= horizon).cast("int"), F.lit(0)))
-    return df.join(labelled, [entity, date])
+    return join_keys(df, labelled, [entity, date])
 
 
 def with_eligibility(df: DataFrame, date: str, horizon: int) -> DataFrame:
@@ -66,11 +66,12 @@ def with_age(df: DataFrame, date: str, stale_days: int, reference: Column) -> Da
 
 
 def percentile_rank(groups: DataFrame, value: str, out: str = "percentile_rank") -> DataFrame:
-    """Share of groups whose value is at most mine, via a running count over distinct values."""
-    steps = groups.groupBy(value).agg(F.count("*").alias("_n"))
+    """Share of the valued groups whose value is at most mine; NULL for a group without a value."""
+    known = groups.where(F.col(value).isNotNull())
+    steps = known.groupBy(value).agg(F.count("*").alias("_n"))
     upto = global_running_sum(steps, [F.col(value)], F.col("_n"), "_upto")
-    share = F.col("_upto") / total(groups, F.count("*"))
-    return groups.join(upto.select(value, share.alias(out)), value)
+    share = F.col("_upto") / total(known, F.count("*"))
+    return join_keys(groups, upto.select(value, share.alias(out)), [value])
 
 
 def severity_scores(groups: DataFrame, volume: str, ratio: str, out: str = "severity_score") -> DataFrame:
@@ -84,7 +85,7 @@ def severity_scores(groups: DataFrame, volume: str, ratio: str, out: str = "seve
 
 
 def spike_alerts(df: DataFrame, group: list[str], date: str, recent_days: int, baseline_days: int, min_recent: int,
-                 min_change: float = 50.0, limit: int | None = 30) -> DataFrame:
+                 min_change: float = 50.0, limit: int | None = None) -> DataFrame:
     """Groups whose recent count beats the baseline rate; groups without a baseline come first."""
     from caseweave.functions.text import signed_percent_reason
 

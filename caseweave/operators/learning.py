@@ -50,7 +50,10 @@ def severity_tiers(groups: DataFrame, key: list[str], volume: str, ratio: str, f
         PCA(k=2, inputCol="_scaled", outputCol="_pca"),
     ]).fit(groups)
     loadings = model.stages[2].pc.toArray()
-    signs = [float(np.sign(loadings[np.argmax(np.abs(loadings[:, j])), j])) for j in range(2)]
+    size = groups.count()
+    # the scaler divides by the sample deviation, the scores by that of the population
+    spread = (size / (size - 1)) ** 0.5 if size > 1 else 1.0
+    signs = [spread * float(np.sign(loadings[np.argmax(np.abs(loadings[:, j])), j])) for j in range(2)]
     scored = severity_scores(groups, volume, ratio)
     scaled = materialise(model.transform(scored), "scaled")
     starts = [KMeans(k=k, seed=SEED + i, featuresCol="_scaled", predictionCol="_cluster").fit(scaled) for i in range(STARTS)]
@@ -71,10 +74,12 @@ def severity_tiers(groups: DataFrame, key: list[str], volume: str, ratio: str, f
 
 def attribute_similarity(pairs: list[tuple[Column, Column]], same_place: Column, same_super: Column) -> Column:
     """Cosine of equally sized one-hot blocks is the share of equal attributes; nulls are
-    a value of their own. Bonus 0.05 for the place and 0.02 for the super-place, at most 1."""
+    a value of their own. Bonus 0.05 for the place and 0.02 for the super-place, at most 1; a
+    missing place is nobody's neighbour."""
     none = F.lit("NONE")
     equal = sum(((F.coalesce(a, none) == F.coalesce(b, none)).cast("double") for a, b in pairs), F.lit(0.0)) / len(pairs)
-    return F.least(F.lit(1.0), equal + same_place.cast("double") * 0.05 + same_super.cast("double") * 0.02)
+    here, near = (F.coalesce(same, F.lit(False)).cast("double") for same in (same_place, same_super))
+    return F.least(F.lit(1.0), equal + here * 0.05 + near * 0.02)
 
 
 def facing(df: DataFrame, few: DataFrame, limit: int = 500) -> DataFrame:
@@ -147,7 +152,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: st
 
 def top_categories(df: DataFrame, column: str, n: int = TOP_CATEGORIES) -> list[str]:
     """The ``n`` most frequent values (name breaks ties): a list of at most n strings."""
-    rows = df.groupBy(column).agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), column).limit(n).collect()
+    rows = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), column).limit(n).collect()
     return [r[column] for r in rows]
 
 

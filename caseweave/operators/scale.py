@@ -11,6 +11,16 @@ from caseweave.session import materialise
 HOT_GROUP = 2_000
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys of which any may be NULL; NULL meets NULL."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    condition = match[0]
+    for part in match[1:]:
+        condition = condition & part
+    return left.join(named, condition, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def total(df: DataFrame, aggregate: Column) -> Column:
     """One aggregate over all of ``df`` as a scalar subquery (no join)."""
     return df.agg(aggregate.alias("v")).scalar()
@@ -90,7 +100,7 @@ def day_running_sums(df: DataFrame, key: list[str], day: str, order: list[str],
     local = tagged.select(
         "*", *[F.coalesce(F.sum(f"_v_{name}").over(inside), F.lit(0)).alias(f"_l_{name}") for name in sums]
     )
-    joined = local.join(offsets, [*key, day])
+    joined = join_keys(local, offsets, [*key, day])
     return joined.select(
         *df.columns, *([first_day] if first_day else []), *[(F.col(f"_l_{name}") + F.col(f"_o_{name}")).alias(name) for name in sums]
     )
@@ -110,7 +120,7 @@ def carry_forward(df: DataFrame, key: list[str], order: str, columns: list[str],
     seeds = ends.select(*key, "_chunk", *[F.last(f"_e_{c}", ignorenulls=True).over(earlier).alias(f"_s_{c}") for c in columns])
     inside = W.partitionBy(*key, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     local = tagged.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_l_{c}") for c in columns])
-    return local.join(seeds, [*key, "_chunk"]).select(
+    return join_keys(local, seeds, [*key, "_chunk"]).select(
         *df.columns, *[F.coalesce(f"_l_{c}", f"_s_{c}").alias(f"prev_{c}") for c in columns]
     )
 
@@ -123,8 +133,7 @@ def chunk_running_sum(df: DataFrame, key: list[str], order: str, value: str, out
     seeds = totals.select(*key, "_chunk", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_s"))
     inside = W.partitionBy(*key, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        tagged.withColumn("_l", F.sum(value).over(inside))
-        .join(seeds, [*key, "_chunk"])
+        join_keys(tagged.withColumn("_l", F.sum(value).over(inside)), seeds, [*key, "_chunk"])
         .select(*df.columns, (F.col("_l") + F.col("_s")).alias(out))
     )
 

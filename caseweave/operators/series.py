@@ -88,7 +88,8 @@ def forecast(df: DataFrame, keys: list[str], t: str, value: str, train_end: int,
         result = F.lit(None)
         for model in MODELS:
             result = F.when(F.col("selected_model") == model, predicted(model, F.lit(float(period)), "full_")).otherwise(result)
-        return F.round(result, 1)
+        # at nine decimals first, so that halves round alike whatever the order of summation
+        return F.round(F.round(result, 9), 1)
 
     return both.select(
         *keys, "selected_model",
@@ -116,7 +117,8 @@ def backtest_summary(forecasts: DataFrame) -> DataFrame:
     )
 
 
-def rank_by_change(forecasts: DataFrame, series: str, keys: list[str], ascending: bool = False, limit: int = 20) -> DataFrame:
+def rank_by_change(forecasts: DataFrame, series: str, keys: list[str], ascending: bool = False, limit: int | None = None) -> DataFrame:
     rows = forecasts.where((F.col("series") == series) & F.col("pct_change").isNotNull())
     order = F.col("pct_change").asc() if ascending else F.col("pct_change").desc()
-    return rows.orderBy(order, *keys).limit(limit)
+    ordered = rows.orderBy(order, *keys)
+    return ordered.limit(limit) if limit else ordered

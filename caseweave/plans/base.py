@@ -62,14 +62,20 @@ def part_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def yearly_series(spark: SparkSession, sf: str) -> DataFrame:
-    """(place, super_place, t, n, urgent, cheap ... ) wide counts per place and year, 1995-2000."""
+    """(place, super_place, t, n, urgent, cheap ... ) wide counts per place and year, over all years."""
     year = F.year("case_date")
-    return cases(spark, sf).where(year.between(1995, 2000)).groupBy("super_place", "place", year.alias("t")).agg(
+    return cases(spark, sf).groupBy("super_place", "place", year.alias("t")).agg(
         F.count("*").alias("n_total"),
         *[F.count_if(F.col("category") == c).alias(f"n_{i}") for i, c in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM"])],
     )
 
 
+def year_span(spark: SparkSession, sf: str) -> tuple[int, int]:
+    """First and last year of the cases: a back-test holds out the last two, a complete history has all."""
+    found = cases(spark, sf).agg(F.min(F.year("case_date")).alias("first"), F.max(F.year("case_date")).alias("last")).first()
+    return found["first"], found["last"]
+
+
 cte("places", "SELECT n_nationkey, n_name AS place, r_name AS super_place FROM nation JOIN region ON n_regionkey = r_regionkey")
 cte(
     "cases",
@@ -132,6 +138,7 @@ cte(
     "yearly",
     """SELECT super_place, place, CAST(year(case_date) AS INT) AS t, COUNT(*) AS n_total, COUNT(*) FILTER (category = '1-URGENT') AS n_0,
        COUNT(*) FILTER (category = '2-HIGH') AS n_1, COUNT(*) FILTER (category = '3-MEDIUM') AS n_2
-       FROM cases WHERE year(case_date) BETWEEN 1995 AND 2000 GROUP BY ALL""",
+       FROM cases GROUP BY ALL""",
     "cases",
 )
+cte("span", "SELECT MIN(t) AS first, MAX(t) AS last, MAX(t) - MIN(t) + 1 AS years FROM yearly", "yearly")

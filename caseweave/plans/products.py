@@ -157,7 +157,7 @@ def _(spark, sf):
 @query("fn10_forecast_sentences")
 def _(spark, sf):
     df = forecasts(spark, sf).where(F.col("series") == "TOTAL").select(
-        F.col("place").alias("district"), F.col("super_place").alias("state"), F.col("forecast_2001").alias("forecast"), "last_value", F.col("last_t").alias("last_year"), "selected_model"
+        F.col("place").alias("district"), F.col("super_place").alias("state"), F.col("forecast_2002").alias("forecast"), "last_value", F.col("last_t").alias("last_year"), "selected_model"
     )
     return df.select("district", tx.sentence_place_forecast().alias("sentence"))
 

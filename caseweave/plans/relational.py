@@ -16,7 +16,7 @@ from caseweave.operators.risk import apply_rules, rule_thresholds
 from caseweave.operators.scale import group_pairs
 from caseweave.operators.series import complete_groups
 from caseweave.plans.base import (
-    PROPERTY, UNRESOLVED, VIOLENT, cases, memberships, part_graph, places, table, transactions, yearly_series,
+    PROPERTY, UNRESOLVED, VIOLENT, cases, memberships, part_graph, places, table, transactions, year_span, yearly_series,
 )
 from caseweave.plans.registry import query
 from caseweave.session import materialise, scratch_path
@@ -349,9 +349,10 @@ def _(spark, sf):
 
 
 @query("jn15_complete_history", """SELECT super_place, place, t, n_total FROM yearly WHERE (super_place, place) IN
-    (SELECT (super_place, place) FROM yearly GROUP BY super_place, place HAVING COUNT(DISTINCT t) = 6)""", ("yearly",))
+    (SELECT (super_place, place) FROM yearly GROUP BY super_place, place HAVING COUNT(DISTINCT t) = (SELECT years FROM span))""", ("span",))
 def _(spark, sf):
-    return complete_groups(yearly_series(spark, sf), ["super_place", "place"], "t", 6).select("super_place", "place", "t", "n_total")
+    first, last = year_span(spark, sf)
+    return complete_groups(yearly_series(spark, sf), ["super_place", "place"], "t", last - first + 1).select("super_place", "place", "t", "n_total")
 
 
 # ---- set operations --------------------------------------------------------

@@ -37,9 +37,9 @@ def _(spark, sf):
     return p.select("c_custkey", F.round(km, 6).alias("km"))
 
 
-@query("fn2_normalise_name", "SELECT doc_id, trim(regexp_replace(lower(left(text, 200)), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS norm FROM documents WHERE lang = 'en'".replace("left(text, 200)", "text"))
+@query("fn2_normalise_name", "SELECT doc_id, trim(regexp_replace(lower(left(text, 200)), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS norm FROM documents".replace("left(text, 200)", "text"))
 def _(spark, sf):
-    docs = table(spark, sf, "documents").where(F.col("lang") == "en")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", tx.normalise_name(F.col("text")).alias("norm"))
 
 

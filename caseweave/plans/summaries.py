@@ -11,7 +11,7 @@ from caseweave.operators.linkage import match_names, match_summary, resolution_s
 from caseweave.operators.learning import bucket_rare, top_categories
 from caseweave.operators.risk import apply_rules, rule_thresholds, suspicious_edges
 from caseweave.operators.scale import exact_quantiles
-from caseweave.plans.base import PROPERTY, UNRESOLVED, VIOLENT, cases, memberships, part_graph, table, transactions, yearly_series
+from caseweave.plans.base import PROPERTY, UNRESOLVED, VIOLENT, cases, memberships, part_graph, table, transactions, year_span, yearly_series
 from caseweave.plans.registry import cte, query
 from caseweave.session import materialise
 
@@ -121,16 +121,16 @@ def _(spark, sf):
     return ag.precision_recall(table(spark, sf, "lineitem"), F.col("l_quantity") >= 40, F.col("l_returnflag") == "R", "size")
 
 
-@query("ag16_column_mix", """SELECT label, ROUND(v / SUM(v) OVER (), 6) AS weight FROM (SELECT 'URGENT' AS label, SUM(n_0) AS v FROM yearly WHERE t = 2000
-    UNION ALL SELECT 'HIGH', SUM(n_1) FROM yearly WHERE t = 2000 UNION ALL SELECT 'MEDIUM', SUM(n_2) FROM yearly WHERE t = 2000)""", ("yearly",))
+@query("ag16_column_mix", """SELECT label, ROUND(v / SUM(v) OVER (), 6) AS weight FROM (SELECT 'URGENT' AS label, SUM(n_0) AS v FROM yearly WHERE t = (SELECT last FROM span)
+    UNION ALL SELECT 'HIGH', SUM(n_1) FROM yearly WHERE t = (SELECT last FROM span) UNION ALL SELECT 'MEDIUM', SUM(n_2) FROM yearly WHERE t = (SELECT last FROM span))""", ("span",))
 def _(spark, sf):
-    mix = ag.column_mix(yearly_series(spark, sf).where(F.col("t") == 2000), {"n_0": "URGENT", "n_1": "HIGH", "n_2": "MEDIUM"})
+    mix = ag.column_mix(yearly_series(spark, sf).where(F.col("t") == year_span(spark, sf)[1]), {"n_0": "URGENT", "n_1": "HIGH", "n_2": "MEDIUM"})
     return mix.withColumn("weight", F.round("weight", 6))
 
 
-@query("ag17_group_weights", "SELECT super_place, place, CAST(SUM(n_total) AS BIGINT) AS total, ROUND(SUM(n_total) / SUM(SUM(n_total)) OVER (), 8) AS weight FROM yearly WHERE t = 2000 GROUP BY ALL", ("yearly",))
+@query("ag17_group_weights", "SELECT super_place, place, CAST(SUM(n_total) AS BIGINT) AS total, ROUND(SUM(n_total) / SUM(SUM(n_total)) OVER (), 8) AS weight FROM yearly WHERE t = (SELECT last FROM span) GROUP BY ALL", ("span",))
 def _(spark, sf):
-    return ag.group_weights(yearly_series(spark, sf).where(F.col("t") == 2000), ["super_place", "place"], "n_total").withColumn("weight", F.round("weight", 8))
+    return ag.group_weights(yearly_series(spark, sf).where(F.col("t") == year_span(spark, sf)[1]), ["super_place", "place"], "n_total").withColumn("weight", F.round("weight", 8))
 
 
 @query("ag18_scaled_mix", """SELECT 'STRANGER' AS label, ROUND(0.25, 4) AS weight UNION ALL SELECT label, ROUND(0.75 * v / SUM(v) OVER (), 4) FROM (SELECT 'NEIGHBOR' AS label, SUM(n_0) AS v FROM yearly
@@ -286,7 +286,7 @@ def _(spark, sf):
 def _(spark, sf):
     roll = ag.entity_rollup(cases(spark, sf), "entity_id", "category", F.col("amount") > 490_000)
     people = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), "c_name")
-    top = gr.repeat_entities(roll, "entity_id", people, part_graph(spark, sf))
+    top = gr.repeat_entities(roll, "entity_id", people, part_graph(spark, sf), limit=50)
     return top.select("entity_id", "n_cases", F.array_join("categories", "|").alias("categories"), "risk_tier", "c_name", "degree")
 
 
@@ -316,7 +316,7 @@ def _(spark, sf):
     WHERE from_id IN (SELECT account_id FROM scored WHERE risk_tier = 'HIGH') OR to_id IN (SELECT account_id FROM scored WHERE risk_tier = 'HIGH') OR label_count > 0
     ORDER BY label_count DESC, e.total_paid DESC, from_id, to_id LIMIT 20000""", ("tx", "scored"))
 def _(spark, sf):
-    return suspicious_edges(transactions(spark, sf), scored_accounts(spark, sf)).withColumn("total_paid", F.round("total_paid", 2))
+    return suspicious_edges(transactions(spark, sf), scored_accounts(spark, sf), limit=20_000).withColumn("total_paid", F.round("total_paid", 2))
 
 
 @query("tk9_node_cap", """SELECT e.a, e.b, e.weight FROM edges e JOIN (SELECT id FROM arcs GROUP BY id ORDER BY COUNT(*) DESC, id LIMIT 500) x ON x.id = a JOIN (SELECT id FROM arcs GROUP BY id ORDER BY COUNT(*) DESC, id LIMIT 500) y ON y.id = b""", ("arcs",))
@@ -330,7 +330,7 @@ def _(spark, sf):
 def _(spark, sf):
     from caseweave.streaming.audit import newest
 
-    return newest(table(spark, sf, "events").select("event_id", "ts", "event_type"), "ts", "event_id")
+    return newest(table(spark, sf, "events").select("event_id", "ts", "event_type"), "ts", "event_id", 1_000)
 
 
 @query("tk11_listing_with_rate", """SELECT left_id, name, match_type, ROUND(COUNT(match_type) OVER () / COUNT(*) OVER (), 4) AS match_rate FROM name_left LEFT JOIN (SELECT left_id, match_type FROM matched) USING (left_id) QUALIFY match_type IS NOT NULL""", ("matched",))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseweave.operators import history as hs
 from caseweave.operators import series as sr
 from caseweave.operators.scale import carry_forward, chunk_running_sum, total
-from caseweave.plans.base import PROPERTY, VIOLENT, cases, table, yearly_series
+from caseweave.plans.base import PROPERTY, VIOLENT, cases, table, year_span, yearly_series
 from caseweave.plans.registry import cte, query
 from caseweave.schemas import WEEKDAYS
 from caseweave.session import materialise
@@ -15,7 +15,7 @@ from caseweave.session import materialise
 HORIZON = 90
 PLACE = ["super_place", "place"]
 KEYS = [*PLACE, "series"]
-HORIZON_YEARS = [2001, 2002, 2003]
+HORIZON_YEARS = [2002, 2003, 2004]
 
 cte("hist", """SELECT case_id, entity_id, case_date, category, row_number() OVER w - 1 AS prior_case_count,
     COUNT(*) FILTER (category IN ('1-URGENT','2-HIGH')) OVER p AS prior_violent_count, COUNT(*) FILTER (category IN ('2-HIGH','3-MEDIUM')) OVER p AS prior_property_count,
@@ -80,7 +80,7 @@ def event_days(spark, sf):
 @query("wn7_spikes", """SELECT event_type, user_id, recent_count, baseline_count, pct_change FROM spike WHERE pct_change IS NULL OR pct_change >= 50
     ORDER BY pct_change DESC NULLS FIRST, recent_count DESC, event_type, user_id LIMIT 30""", ("spike",))
 def _(spark, sf):
-    return hs.spike_alerts(event_days(spark, sf), ["event_type", "user_id"], "day", 7, 14, 5).drop("reason")
+    return hs.spike_alerts(event_days(spark, sf), ["event_type", "user_id"], "day", 7, 14, 5, limit=30).drop("reason")
 
 
 @query("wn7_spikes_uncapped", """SELECT event_type, user_id, recent_count, baseline_count, pct_change,
@@ -120,30 +120,32 @@ def _(spark, sf):
 
 cte("long", """SELECT super_place, place, t, 'TOTAL' AS series, CAST(n_total AS DOUBLE) AS value FROM yearly UNION ALL SELECT super_place, place, t, 'VIOLENT', CAST(n_0 + n_1 AS DOUBLE) FROM yearly
     UNION ALL SELECT super_place, place, t, 'PROPERTY', CAST(n_1 + n_2 AS DOUBLE) FROM yearly""", "yearly")
-cte("whole", "SELECT * FROM long WHERE (super_place, place) IN (SELECT (super_place, place) FROM yearly GROUP BY super_place, place HAVING COUNT(DISTINCT t) = 6)", "long")
-cte("trained", """SELECT super_place, place, series, arg_max(value, t) AS naive, AVG(value) FILTER (t > 1995) AS moving, regr_slope(value, t) AS slope, regr_intercept(value, t) AS intercept
-    FROM whole WHERE t <= 1998 GROUP BY ALL""", "whole")
-cte("refit", """SELECT super_place, place, series, arg_max(value, t) AS naive, AVG(value) FILTER (t > 1997) AS moving, regr_slope(value, t) AS slope, regr_intercept(value, t) AS intercept, MAX(t) AS last_t
+cte("whole", "SELECT * FROM long WHERE (super_place, place) IN (SELECT (super_place, place) FROM yearly GROUP BY super_place, place HAVING COUNT(DISTINCT t) = (SELECT years FROM span))", "long", "span")
+cte("trained", """SELECT super_place, place, series, arg_max(value, t) AS naive, AVG(value) FILTER (t > (SELECT last FROM span) - 5) AS moving, regr_slope(value, t) AS slope, regr_intercept(value, t) AS intercept
+    FROM whole WHERE t <= (SELECT last FROM span) - 2 GROUP BY ALL""", "whole")
+cte("refit", """SELECT super_place, place, series, arg_max(value, t) AS naive, AVG(value) FILTER (t > (SELECT last FROM span) - 3) AS moving, regr_slope(value, t) AS slope, regr_intercept(value, t) AS intercept, MAX(t) AS last_t
     FROM whole GROUP BY ALL""", "whole")
 cte("tested", """SELECT super_place, place, series, AVG(ABS(value - naive)) AS mae_naive, AVG(ABS(value - moving)) AS mae_moving, AVG(ABS(value - greatest(0, slope * t + intercept))) AS mae_linear,
     AVG(ABS(value - naive) / NULLIF(value, 0)) * 100 AS mape_naive, AVG(ABS(value - moving) / NULLIF(value, 0)) * 100 AS mape_moving,
-    AVG(ABS(value - greatest(0, slope * t + intercept)) / NULLIF(value, 0)) * 100 AS mape_linear FROM whole JOIN trained USING (super_place, place, series) WHERE t > 1998 GROUP BY ALL""", "whole", "trained")
+    AVG(ABS(value - greatest(0, slope * t + intercept)) / NULLIF(value, 0)) * 100 AS mape_linear FROM whole JOIN trained USING (super_place, place, series) WHERE t > (SELECT last FROM span) - 2 GROUP BY ALL""", "whole", "trained")
 cte("picked", """SELECT *, CASE WHEN ROUND(mae_naive, 9) <= ROUND(mae_moving, 9) AND ROUND(mae_naive, 9) <= ROUND(mae_linear, 9) THEN 'NAIVE' WHEN ROUND(mae_moving, 9) <= ROUND(mae_linear, 9) THEN 'MOVING_AVERAGE' ELSE 'LINEAR_TREND' END AS selected_model FROM tested""", "tested")
 _AT = "CASE selected_model WHEN 'NAIVE' THEN naive WHEN 'MOVING_AVERAGE' THEN moving ELSE greatest(0, slope * {y} + intercept) END"
 cte("fcast", f"""SELECT super_place, place, series, selected_model, ROUND(least(mae_naive, mae_moving, mae_linear), 2) AS backtest_mae,
     CASE selected_model WHEN 'NAIVE' THEN mape_naive WHEN 'MOVING_AVERAGE' THEN mape_moving ELSE mape_linear END AS backtest_mape,
     ROUND(mae_naive, 2) AS naive_mae, ROUND(mae_moving, 2) AS moving_average_mae, ROUND(mae_linear, 2) AS linear_trend_mae, last_t, naive AS last_value,
-    {', '.join(f'ROUND({_AT.format(y=y)}, 1) AS forecast_{y}' for y in HORIZON_YEARS)} FROM picked JOIN refit USING (super_place, place, series)""", "picked", "refit")
+    {', '.join(f'ROUND(ROUND({_AT.format(y=y)}, 9), 1) AS forecast_{y}' for y in HORIZON_YEARS)} FROM picked JOIN refit USING (super_place, place, series)""", "picked", "refit")
 
 
 def long_series(spark, sf):
     wide = yearly_series(spark, sf)
+    first, last = year_span(spark, sf)
     rows = sr.wide_to_series(wide, [*PLACE, "t"], {"TOTAL": ["n_total"], "VIOLENT": ["n_0", "n_1"], "PROPERTY": ["n_1", "n_2"]})
-    return materialise(sr.complete_groups(rows, PLACE, "t", 6), "series")
+    return materialise(sr.complete_groups(rows, PLACE, "t", last - first + 1), "series")
 
 
 def forecasts(spark, sf):
-    return sr.forecast(long_series(spark, sf), KEYS, "t", "value", 1998, 2000, HORIZON_YEARS)
+    last = year_span(spark, sf)[1]
+    return sr.forecast(long_series(spark, sf), KEYS, "t", "value", last - 2, last, HORIZON_YEARS)
 
 
 @query("wn10_wide_to_series", "SELECT * FROM long", ("long",))
@@ -151,16 +153,18 @@ def _(spark, sf):
     return sr.wide_to_series(yearly_series(spark, sf), [*PLACE, "t"], {"TOTAL": ["n_total"], "VIOLENT": ["n_0", "n_1"], "PROPERTY": ["n_1", "n_2"]})
 
 
-@query("wn11_fit_models", "SELECT super_place, place, series, naive, ROUND(moving, 6) AS moving, ROUND(greatest(0, slope * 1999 + intercept), 6) AS linear_1999 FROM trained", ("trained",))
+@query("wn11_fit_models", "SELECT super_place, place, series, naive, ROUND(moving, 6) AS moving, ROUND(greatest(0, slope * ((SELECT last FROM span) - 1) + intercept), 6) AS linear_next FROM trained", ("trained",))
 def _(spark, sf):
-    fitted = sr.fit_models(long_series(spark, sf), KEYS, "t", "value", 1998)
-    return fitted.select(*KEYS, "naive", F.round("moving", 6).alias("moving"), F.round(sr.predicted("LINEAR_TREND", F.lit(1999.0)), 6).alias("linear_1999"))
+    last = year_span(spark, sf)[1]
+    fitted = sr.fit_models(long_series(spark, sf), KEYS, "t", "value", last - 2)
+    return fitted.select(*KEYS, "naive", F.round("moving", 6).alias("moving"), F.round(sr.predicted("LINEAR_TREND", F.lit(last - 1.0)), 6).alias("linear_next"))
 
 
 @query("wn12_backtest", """SELECT super_place, place, series, ROUND(mae_naive, 4) AS mae_naive, ROUND(mae_moving, 4) AS mae_moving_average, ROUND(mae_linear, 4) AS mae_linear_trend,
     ROUND(mape_naive, 4) AS mape_naive, ROUND(mape_moving, 4) AS mape_moving_average, ROUND(mape_linear, 4) AS mape_linear_trend FROM tested""", ("tested",))
 def _(spark, sf):
-    tested = sr.backtest(long_series(spark, sf), KEYS, "t", "value", 1998, 2000)
+    last = year_span(spark, sf)[1]
+    tested = sr.backtest(long_series(spark, sf), KEYS, "t", "value", last - 2, last)
     return tested.select(*KEYS, *[F.round(c, 4).alias(c) for c in tested.columns if c.startswith("ma")])
 
 
@@ -184,7 +188,7 @@ def _(spark, sf):
 @query("tk2_rank_by_change", """SELECT place, series, last_value, forecast_2003, ROUND((forecast_2003 - last_value) * 100 / NULLIF(last_value, 0), 2) AS pct_change FROM fcast WHERE series = 'TOTAL' AND last_value <> 0
     ORDER BY (forecast_2003 - last_value) * 100 / last_value DESC, super_place, place LIMIT 20""", ("fcast",))
 def _(spark, sf):
-    ranked = sr.rank_by_change(sr.with_change(forecasts(spark, sf), "forecast_2003"), "TOTAL", PLACE)
+    ranked = sr.rank_by_change(sr.with_change(forecasts(spark, sf), "forecast_2003"), "TOTAL", PLACE, limit=20)
     return ranked.select("place", "series", "last_value", "forecast_2003", F.round("pct_change", 2).alias("pct_change"))
 
 

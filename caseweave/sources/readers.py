@@ -9,11 +9,16 @@ from pyspark.sql import types as T
 
 from caseweave.operators.scale import top_per_group
 from caseweave.session import materialise
+from caseweave.sources.sinks import CSV_FORMAT
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns: list[str] | None = None) -> DataFrame:
-    """Header CSV by position under ``schema`` (duplicate header names do no harm)."""
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    """Header CSV by position under ``schema`` (duplicate header names do no harm).
+
+    Reads what ``write_csv`` wrote: line breaks, quotes, empty texts and NULLs come back as
+    they were. A value that is not of its type ends the read instead of turning into NULL.
+    """
+    df = spark.read.schema(schema).options(enforceSchema=True, multiLine=True, mode="FAILFAST", emptyValue="", **CSV_FORMAT).csv(path)
     return df.select(*columns) if columns else df
 
 
@@ -21,10 +26,6 @@ def read_json_document(spark: SparkSession, path: str, schema: str | T.StructTyp
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
-
-
 def read_jdbc(spark: SparkSession, url: str, query: str, partition_column: str, lower: int, upper: int, partitions: int) -> DataFrame:
     """Joins written in ``query`` run in the database; the scan is split by key range."""
     return (
@@ -101,7 +102,8 @@ def summarise_blocks(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def patterns_of(summary: DataFrame, typology: str | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+def patterns_of(summary: DataFrame, typology: str | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(total before the limit, listing) of patterns, typology compared ignoring case."""
     chosen = summary.where(F.upper("typology") == typology.upper()) if typology else summary
-    return chosen.agg(F.count("*").alias("total_patterns")), chosen.orderBy("file", "block").limit(limit)
+    listing = chosen.orderBy("file", "block")
+    return chosen.agg(F.count("*").alias("total_patterns")), listing.limit(limit) if limit else listing

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-KEEP = 1_000  # fixed value: entries the newest-first view keeps
-
 
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str, lateness: str) -> DataFrame:
     """Counts per tumbling window and key; rows later than ``lateness`` are left out of closed windows."""
@@ -29,5 +27,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return query
 
 
-def newest(events: DataFrame, ts: str, key: str, limit: int = KEEP) -> DataFrame:
-    return events.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(limit)
+def newest(events: DataFrame, ts: str, key: str, limit: int | None = None) -> DataFrame:
+    """Newest first, the larger key first on ties."""
+    ordered = events.orderBy(F.col(ts).desc(), F.col(key).desc())
+    return ordered.limit(limit) if limit else ordered
