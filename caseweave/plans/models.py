@@ -98,11 +98,19 @@ def scored_people(spark, sf):
     return ml.risk_tiers(materialise(scored, "scored"), "probability")
 
 
-@query("ml4_entity_split", "SELECT COUNT(DISTINCT entity_id) AS entities, CAST(0 AS BIGINT) AS on_both_sides FROM cases", ("cases",))
+@query("ml4_entity_split", """SELECT COUNT(DISTINCT entity_id) AS entities, COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS on_both_sides,
+    COUNT(DISTINCT entity_id) >= 100 AS fair_share FROM cases""", ("cases",))
 def _(spark, sf):
-    df = cases(spark, sf).withColumn("test", ml.in_test_split(F.col("entity_id")).cast("int"))
-    sides = df.groupBy("entity_id").agg(F.max("test").alias("hi"), F.min("test").alias("lo"))
-    return sides.agg(F.count("*").alias("entities"), F.count_if(F.col("hi") != F.col("lo")).alias("on_both_sides"))
+    """Rows of the two sides, joined again per entity; a fair share is 15 to 25 percent of the entities."""
+    df = cases(spark, sf)
+    held = ml.in_test_split(F.col("entity_id"))
+    train, test = (df.where(side).groupBy("entity_id").agg(F.count("*").alias(name)) for side, name in ((~held, "train"), (held, "test")))
+    both = train.join(test, "entity_id", "full")
+    return both.agg(
+        F.count("*").alias("entities"), F.sum(F.coalesce("train", F.lit(0)) + F.coalesce("test", F.lit(0))).alias("n_rows"),
+        F.count_if(F.col("train").isNotNull() & F.col("test").isNotNull()).alias("on_both_sides"),
+        (F.count("test") / F.count("*")).between(0.15, 0.25).alias("fair_share"),
+    )
 
 
 @query("ml5_model_comparison")
@@ -146,10 +154,17 @@ def explained_people(spark, sf):
     return _CACHE[key][1], features
 
 
-@query("ml8_attributions", "SELECT COUNT(DISTINCT entity_id) AS entities, CAST(0 AS BIGINT) AS beyond_tolerance FROM cases", ("cases",))
+@query("ml8_attributions", """SELECT COUNT(DISTINCT entity_id) AS entities, COUNT(DISTINCT entity_id) AS rebuilt, COUNT(DISTINCT entity_id) AS attributed,
+    COUNT(DISTINCT entity_id) > 1 AS differing FROM cases""", ("cases",))
 def _(spark, sf):
+    """Entities whose base and attributions add up to their probability, that have some, and whether probabilities differ at all."""
     explained, _ = explained_people(spark, sf)
-    return explained.agg(F.count("*").alias("entities"), F.count_if(F.col("reconstruction_error") > ml.TOLERANCE).alias("beyond_tolerance"))
+    total = F.aggregate("phi", F.lit(0.0), lambda s, x: s + x)
+    largest = F.aggregate("phi", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
+    return explained.agg(
+        F.count("*").alias("entities"), F.count_if(F.abs(F.col("base_value") + total - F.col("probability")) <= ml.TOLERANCE).alias("rebuilt"),
+        F.count_if(largest > 0).alias("attributed"), (F.max("probability") > F.min("probability")).alias("differing"),
+    )
 
 
 @query("ml9_top_drivers")

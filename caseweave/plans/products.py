@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseweave.functions import text as tx
 from caseweave.operators import aggregates as ag
 from caseweave.operators import joins as jn
-from caseweave.operators.filters import require_allowed, resolve_names
+from caseweave.operators.filters import require_allowed, resolve_names, within
 from caseweave.operators.history import percentile_rank
 from caseweave.operators.linkage import resolve_components
 from caseweave.operators.risk import FLAGS, case_priority, evaluate_rules, rule_thresholds
@@ -100,8 +100,8 @@ def _(spark, sf):
 def place_briefings(spark, sf) -> DataFrame:
     df = cases(spark, sf)
     base = df.groupBy("place", "super_place").agg(
-        F.count("*").alias("total_cases"), F.count_if(F.col("status").isin(UNRESOLVED)).alias("unresolved_cases"),
-        F.avg(F.col("category").isin(VIOLENT).cast("double")).alias("violent_ratio"), F.avg(F.col("category").isin(PROPERTY).cast("double")).alias("property_ratio"),
+        F.count("*").alias("total_cases"), F.count_if(within(F.col("status"), UNRESOLVED)).alias("unresolved_cases"),
+        F.avg(within(F.col("category"), VIOLENT).cast("double")).alias("violent_ratio"), F.avg(within(F.col("category"), PROPERTY).cast("double")).alias("property_ratio"),
     )
     ranked = percentile_rank(materialise(base, "volumes"), "total_cases").withColumn("is_hotspot", F.col("percentile_rank") >= 0.75)
     social = place_indicators(spark, sf).where(F.col("wealth") > 4_300).select(F.col("place").alias("label"), "wealth")
@@ -145,7 +145,7 @@ def _(spark, sf):
     FROM (SELECT *, cume_dist() OVER (ORDER BY total_cases) AS rk FROM (SELECT place, super_place, COUNT(*) AS total_cases, COUNT(*) FILTER (status IN ('O','P')) AS unresolved_cases FROM cases GROUP BY ALL))""", ("cases",))
 def _(spark, sf):
     base = cases(spark, sf).groupBy("place", "super_place").agg(
-        F.count("*").alias("total_cases"), F.count_if(F.col("status").isin(UNRESOLVED)).alias("unresolved_cases")
+        F.count("*").alias("total_cases"), F.count_if(within(F.col("status"), UNRESOLVED)).alias("unresolved_cases")
     )
     df = percentile_rank(materialise(base, "volumes"), "total_cases").withColumns({
         "is_hotspot": F.col("percentile_rank") >= 0.75, "district": F.col("place"), "state": F.col("super_place"),
@@ -154,7 +154,10 @@ def _(spark, sf):
     return df.select("place", tx.sentence_place_briefing().alias("briefing"))
 
 
-@query("fn10_forecast_sentences")
+@query("fn10_forecast_sentences", """SELECT place AS district, place || ', ' || super_place || ': forecast total crime for ' || place || ' is ' || CAST(floor(forecast_2002 + 0.5) AS BIGINT)
+    || ' (from ' || CAST(floor(last_value + 0.5) AS BIGINT) || ' in ' || last_t || ') - ' || CASE WHEN p IS NULL THEN 'no comparable trend' ELSE printf('%.1f', round(abs(p), 1)) || '% ' ||
+    CASE WHEN p > 0 THEN 'up' WHEN p < 0 THEN 'down' ELSE 'flat' END END || ', selected model: ' || selected_model || '.' AS sentence
+    FROM (SELECT *, (forecast_2002 - last_value) * 100 / NULLIF(last_value, 0) AS p FROM fcast WHERE series = 'TOTAL')""", ("fcast",))
 def _(spark, sf):
     df = forecasts(spark, sf).where(F.col("series") == "TOTAL").select(
         F.col("place").alias("district"), F.col("super_place").alias("state"), F.col("forecast_2002").alias("forecast"), "last_value", F.col("last_t").alias("last_year"), "selected_model"

@@ -135,7 +135,7 @@ def _(spark, sf):
     return back.select("total", F.col("counts")["F"].alias("n_f"), F.col("counts")["O"].alias("n_o"))
 
 
-@query("snk3_model_round_trip", "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM lineitem")
+@query("snk3_model_round_trip", "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_different, ROUND(AVG(l_extendedprice), 2) AS mean_prediction FROM lineitem")
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
     model = Pipeline(stages=[
@@ -146,7 +146,8 @@ def _(spark, sf):
     sinks.save_model(model, path)
     loaded = sinks.load_model(path)
     both = loaded.transform(model.transform(rows).drop("features").withColumnRenamed("prediction", "before"))
-    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.col("prediction") != F.col("before")).alias("n_different"))
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.col("prediction") != F.col("before")).alias("n_different"),
+                    F.round(F.avg("prediction"), 2).alias("mean_prediction"))
 
 
 # ---- filters ---------------------------------------------------------------
@@ -189,8 +190,8 @@ def _(spark, sf):
     status IN ('O','P') AS is_unresolved FROM cases""", ("cases",))
 def _(spark, sf):
     return cases(spark, sf).select(
-        "case_id", F.col("category").isin(VIOLENT).alias("is_violent"), F.col("category").isin(PROPERTY).alias("is_property"),
-        F.col("status").isin(UNRESOLVED).alias("is_unresolved"),
+        "case_id", flt.within(F.col("category"), VIOLENT).alias("is_violent"), flt.within(F.col("category"), PROPERTY).alias("is_property"),
+        flt.within(F.col("status"), UNRESOLVED).alias("is_unresolved"),
     )
 
 
