@@ -26,30 +26,29 @@ def total(df: DataFrame, aggregate: Column) -> Column:
     return df.agg(aggregate.alias("v")).scalar()
 
 
-def exact_quantiles(df: DataFrame, column: str | Column, probs: list[float], exact_limit: int = 1_000_000) -> list[float | None]:
+def exact_quantiles(df: DataFrame, column: str | Column, probs: list[float], gather: int = 1_000_000) -> list[float | None]:
     """Exact linearly interpolated quantiles of the non-null values.
 
-    Up to ``exact_limit`` values go to the built-in ``percentile``. Beyond it a
-    mergeable sketch brackets each order statistic and only the bracket is kept,
-    pass after pass, so no task ever holds all values.
+    Each order statistic is bracketed by a mergeable sketch, pass after pass, until at most
+    ``gather`` values are left around it; these are counted and ranked. The values are written
+    once, so no pass repeats what made them.
     """
     col = F.col(column) if isinstance(column, str) else column
-    values = df.select(col.cast("double").alias("v")).where(F.col("v").isNotNull())
-    head = values.agg(F.count("*").alias("n")).first()["n"]
-    if head == 0:
+    values = materialise(df.select(col.cast("double").alias("v")).where(F.col("v").isNotNull()), "values")
+    n = values.count()
+    if n == 0:
         return [None] * len(probs)
-    if head <= exact_limit:
-        row = values.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).first()
-        return list(row["q"])
-    out = []
-    for p in probs:
-        position = p * (head - 1)
-        low_rank = int(position)
-        high_rank = min(low_rank + 1, head - 1)
-        low = _order_statistic(values, head, low_rank, exact_limit)
-        high = low if position == low_rank else _order_statistic(values, head, high_rank, exact_limit)
-        out.append(low + (high - low) * (position - low_rank))
-    return out
+    positions = [p * (n - 1) for p in probs]
+    ranks = sorted({r for x in positions for r in (int(x), min(int(x) + 1, n - 1))})
+    at = _ranked(values, ranks) if n <= gather else {r: _order_statistic(values, n, r, gather) for r in ranks}
+    return [at[int(x)] + (at[min(int(x) + 1, n - 1)] - at[int(x)]) * (x - int(x)) for x in positions]
+
+
+def _ranked(values: DataFrame, ranks: list[int]) -> dict[int, float]:
+    """Order statistics of a bounded number of values, all in one pass."""
+    steps = values.groupBy("v").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(W.orderBy("v")))
+    found = steps.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))).alias(f"r{r}") for r in ranks]).first()
+    return {r: found[f"r{r}"] for r in ranks}
 
 
 def _order_statistic(values: DataFrame, n: int, rank: int, limit: int) -> float:
@@ -75,11 +74,7 @@ def _order_statistic(values: DataFrame, n: int, rank: int, limit: int) -> float:
                 values, n, rank = values.where(F.col("v") > pivot), n - less - equal, rank - less - equal
             continue
         values, n, rank = values.where(F.col("v").between(lo, hi)), inside, rank - below
-    steps = (
-        values.groupBy("v").agg(F.count("*").alias("c"))
-        .withColumn("upto", F.sum("c").over(W.orderBy("v")))
-    )
-    return steps.where(F.col("upto") > rank).agg(F.min("v")).first()[0]
+    return _ranked(values, [rank])[rank]
 
 
 def day_running_sums(df: DataFrame, key: list[str], day: str, order: list[str], sums: dict[str, Column], first_day: str | None = None) -> DataFrame:

@@ -110,7 +110,7 @@ def _(spark, sf):
     ROUND(quantile_cont(l_extendedprice, 0.99), 4) AS x99 FROM lineitem, (SELECT 1 AS p) GROUP BY p""")
 def _(spark, sf):
     # a small limit here, so that the bracketing passes run on every scale
-    q = exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.5, 0.98, 0.99], exact_limit=2_000)
+    q = exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.5, 0.98, 0.99], gather=2_000)
     return spark.range(1).select(F.lit(1.0).alias("p"), *[F.round(F.lit(v), 4).alias(n) for v, n in zip(q, ("x50", "x98", "x99"))])
 
 

@@ -17,7 +17,7 @@ def test_exact_quantiles_with_bracketing(spark, kind):
     rng = random.Random(7)
     values = [rng.gauss(0, 100) for _ in range(5000)] if kind == "spread" else [float(rng.choice([1, 1, 1, 2, 5, 9])) for _ in range(5000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = scale.exact_quantiles(df, "v", [0.0, 0.5, 0.98, 0.99, 1.0], exact_limit=100)
+    got = scale.exact_quantiles(df, "v", [0.0, 0.5, 0.98, 0.99, 1.0], gather=100)
     assert got == pytest.approx(list(np.quantile(values, [0.0, 0.5, 0.98, 0.99, 1.0])), rel=1e-12)
     assert scale.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
 
