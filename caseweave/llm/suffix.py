@@ -22,8 +22,8 @@ from caseweave.llm import shards as sh
 from caseweave.llm.common import MULTIPLIER, flat, mix, powers
 from caseweave.session import materialise
 
-WIDTH, PIECE = 200, 32
-CHUNK_BYTES, SUFFIX_BYTES = 1_000_000, 4_000_000
+WIDTH, PIECE = 200, 128
+CHUNK_BYTES, SUFFIX_BYTES = 1_000_000, 1_000_000
 _codes = np.random.Generator(np.random.PCG64(3)).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -212,7 +212,7 @@ def _empty(schema: pa.Schema) -> pa.Table:
 
 
 REGION = pa.schema([("shard", pa.int32()), ("slice", pa.int32()), ("keys", pa.binary()), ("prints", pa.binary()), ("marks", pa.binary())])
-SENT = pa.schema([("slice", pa.int32()), ("shard", pa.int32()), ("region", pa.int64()), ("whole", pa.bool_()), ("text", pa.binary())])
+SENT = pa.schema([("anchor", pa.int64()), ("shard", pa.int32()), ("region", pa.int64()), ("whole", pa.bool_()), ("text", pa.binary())])
 ANSWER = pa.schema([("shard", pa.int32()), ("kind", pa.string()), ("slice", pa.int32()), ("bits", pa.binary()), ("places", pa.binary())])
 FOUND = pa.schema([
     ("shard", pa.int32()), ("kind", pa.string()), ("slice", pa.int32()), ("bits", pa.binary()), ("places", pa.binary()), ("part", pa.int32()), ("range", pa.int32()),
@@ -297,64 +297,68 @@ class Answered:
     def __init__(self, own: pa.Table):
         self.start = self.count = self.region = np.zeros(0, np.int64)
         rows = list(zip(*(own.column(c).to_pylist() for c in ("kind", "slice", "bits", "places"))))
-        sizes: dict[int, int] = {}
+        keys: dict[int, np.ndarray] = {}
         size = 0
         for kind, number, bits, places in rows:
             if kind == "lying":
                 self.start, self.count, self.region = np.frombuffer(places, "<u4").reshape(-1, 3).T.astype(np.int64)
                 size = int.from_bytes(bits, "little")
-            elif kind == "size":
-                sizes[number] = int.from_bytes(bits, "big")
+            elif kind == "keys":
+                keys[number] = np.frombuffer(places, "<u8")
         self.whole, self.needed = np.zeros(size, bool), np.zeros(size, bool)
-        bases = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[s] for s in sorted(sizes))])))
+        self.anchors = np.concatenate([keys[s] for s in sorted(keys)]) if keys else np.zeros(0, np.uint64)
+        bases = dict(zip(sorted(keys), np.cumsum([0, *(len(keys[s]) for s in sorted(keys))])))
         self.windows: dict[int, list[np.ndarray]] = {}
         for kind, number, bits, places in rows:
             if kind == "region":
-                low, n = bases[number], sizes[number]
+                low, n = bases[number], len(keys[number])
                 for target, blob in ((self.whole, bits), (self.needed, places)):
                     target[low : low + n] = np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
             elif kind == "window":
-                self.windows.setdefault(number, []).append(np.frombuffer(places, "<u4").astype(np.int64))
+                self.windows.setdefault(number, []).append(np.frombuffer(places, "<u4").astype(np.int64).reshape(-1, 2))
 
 
 def _lying(regions: DataFrame) -> DataFrame:
-    """Where regions lie, and how many stand in each slice, as answers to their own shard."""
-    none = F.lit(None).cast("binary")
+    """Where a shard's regions lie, and the anchors of its distinct regions, as answers to itself."""
     where = regions.where("slice = -1").select("shard", F.lit("lying").alias("kind"), "slice", F.col("marks").alias("bits"), F.col("keys").alias("places"))
-    size = F.unhex(F.lpad(F.hex(F.octet_length("marks")), 16, "0"))
-    sizes = regions.where("slice >= 0").select("shard", F.lit("size").alias("kind"), "slice", size.alias("bits"), none.alias("places"))
-    return where.unionByName(sizes)
+    keys = regions.where("slice >= 0").select("shard", F.lit("keys").alias("kind"), "slice", F.lit(None).cast("binary").alias("bits"), F.col("keys").alias("places"))
+    return where.unionByName(keys)
 
 
-def _send(table: pa.Table, own: pa.Table, width: int, bits: int) -> pa.Table:
+def _send(table: pa.Table, own: pa.Table, width: int) -> pa.Table:
     known = Answered(own)
     if not len(known.start):
         return _empty(SENT)
     number = table.column("shard")[0].as_py()
     text = Text(table)
-    numbers = sorted((s, int.from_bytes(b, "big")) for k, s, b in zip(*(own.column(c).to_pylist() for c in ("kind", "slice", "bits"))) if k == "size")
-    slice_of = np.repeat([s for s, _ in numbers], [n for _, n in numbers])
     first = np.full(len(known.whole), -1, dtype=np.int64)
     first[known.region[::-1]] = np.arange(len(known.region))[::-1]
     take = np.flatnonzero(known.needed)
     starts, counts = known.start[first[take]], known.count[first[take]]
     return pa.table({
-        "slice": pa.array(slice_of[take], pa.int32()), "shard": pa.array([number] * len(take), pa.int32()), "region": pa.array(take, pa.int64()), "whole": pa.array(known.whole[take]),
-        "text": pa.array([text.data[a : a + n + width - 1].tobytes() for a, n in zip(starts, counts)], pa.binary()),
+        "anchor": pa.array((known.anchors[take] >> np.uint64(1)).astype(np.int64)), "shard": pa.array([number] * len(take), pa.int32()), "region": pa.array(take, pa.int64()),
+        "whole": pa.array(known.whole[take]), "text": pa.array([text.data[a : a + n + width - 1].tobytes() for a, n in zip(starts, counts)], pa.binary()),
     }, schema=SENT)
 
 
+def _stretched(at: np.ndarray) -> np.ndarray:
+    """Sorted places as pairs (first, count) of neighbours."""
+    heads = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    return np.stack([at[heads], np.diff(np.append(heads, len(at)))], axis=1)
+
+
 def _found(rows: list[tuple]) -> pa.Table:
     """Rows of kind ``window``: (shard, region, window starts in the region)."""
     n = len(rows)
     return pa.table({
         "shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array(["window"] * n, pa.string()), "slice": pa.array([r[1] for r in rows], pa.int32()),
-        "bits": pa.array([b""] * n, pa.binary()), "places": pa.array([r[2].astype("<u4").tobytes() for r in rows], pa.binary()), "part": pa.array([0] * n, pa.int32()),
+        "bits": pa.array([b""] * n, pa.binary()), "places": pa.array([_stretched(r[2]).astype("<u4").tobytes() for r in rows], pa.binary()), "part": pa.array([0] * n, pa.int32()),
         "range": pa.array([0] * n, pa.int32()), "prints": pa.array([b""] * n, pa.binary()), "owners": pa.array([b""] * n, pa.binary()),
     }, schema=FOUND)
 
 
 def _by_region(at: np.ndarray, begin: np.ndarray, shards: np.ndarray, regions: np.ndarray) -> list[tuple]:
+    """(shard, region, places in it) of sorted-out places in the joined regions."""
     at = np.sort(at)
     of = np.searchsorted(begin, at, side="right") - 1
     heads = np.flatnonzero(np.diff(of, prepend=-1))
@@ -377,43 +381,43 @@ def _suffixes(table: pa.Table, width: int) -> pa.Table:
         heads = np.flatnonzero(np.diff(group, prepend=-1))
         at = order[heads]
         one, two = (_stretches(_rising(data, w), at, at + width, inverse) for w in (0, 1))
-        of = np.searchsorted(begin, at, side="right") - 1
-        open_ = (size == 1) & ~whole[of]
-        rank = np.lexsort((two, one))
-        pick = (one[rank] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        owners = np.stack([open_, shards[of], regions[of], at - begin[of]], axis=1).astype("<u4")[rank]
-        prints = np.stack([one, two], axis=1).astype("<u8")[rank]
+        open_ = (size == 1) & ~whole[np.searchsorted(begin, at, side="right") - 1]
+        rank = np.lexsort((two >> np.uint64(32), one))
+        pick = ((one[rank] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         edges = np.searchsorted(pick, np.arange(parts + 1))
+        one, two, owner = one[rank].astype("<u8"), (two[rank] >> np.uint64(32)).astype("<u4"), (at << 1 | open_)[rank].astype("<u4")
+        known = np.stack([begin, shards, regions]).astype("<u4").tobytes()
         rows = [(r, edges[r], edges[r + 1]) for r in range(parts) if edges[r] < edges[r + 1]]
         out.append(pa.table({
             "shard": pa.array([0] * len(rows), pa.int32()), "kind": pa.array(["sorted"] * len(rows), pa.string()), "slice": pa.array([number] * len(rows), pa.int32()),
-            "bits": pa.array([b""] * len(rows), pa.binary()), "places": pa.array([b""] * len(rows), pa.binary()), "part": pa.array([part] * len(rows), pa.int32()),
-            "range": pa.array([r for r, _, _ in rows], pa.int32()), "prints": pa.array([prints[i:j].tobytes() for _, i, j in rows], pa.binary()),
-            "owners": pa.array([owners[i:j].tobytes() for _, i, j in rows], pa.binary()),
+            "bits": pa.array([two[i:j].tobytes() for _, i, j in rows], pa.binary()), "places": pa.array([known] * len(rows), pa.binary()), "part": pa.array([part] * len(rows), pa.int32()),
+            "range": pa.array([r for r, _, _ in rows], pa.int32()), "prints": pa.array([one[i:j].tobytes() for _, i, j in rows], pa.binary()),
+            "owners": pa.array([owner[i:j].tobytes() for _, i, j in rows], pa.binary()),
         }, schema=FOUND))
     return pa.concat_tables(out)
 
 
 def _merge(table: pa.Table) -> pa.Table:
     """Looks each shard's sorted windows up in the other shards of the slice by binary search."""
-    prints = [np.frombuffer(p, "<u8").reshape(-1, 2) for p in table.column("prints").to_pylist()]
-    owners = [np.frombuffer(o, "<u4").reshape(-1, 4) for o in table.column("owners").to_pylist()]
+    one, two, owners = ([np.frombuffer(b, kind) for b in table.column(c).to_pylist()] for c, kind in (("prints", "<u8"), ("bits", "<u4"), ("owners", "<u4")))
+    known = [np.frombuffer(b, "<u4").reshape(3, -1).astype(np.int64) for b in table.column("places").to_pylist()]
     rows: list[tuple] = []
-    for i, (mine, own) in enumerate(zip(prints, owners)):
-        mine, own = mine[own[:, 0] > 0], own[own[:, 0] > 0]
-        seen = np.zeros(len(own), dtype=bool)
-        for j, other in enumerate(prints):
-            if j != i:
-                at = np.searchsorted(other[:, 0], mine[:, 0])
-                # equal first halves stand next to each other
-                while len(at) and ((at < len(other)) & (other[np.minimum(at, len(other) - 1), 0] == mine[:, 0])).any():
-                    there = np.minimum(at, len(other) - 1)
-                    seen |= (at < len(other)) & (other[there] == mine).all(axis=1)
-                    at = np.where((at < len(other)) & (other[there, 0] == mine[:, 0]), at + 1, len(other))
-        own = own[seen]
-        own = own[np.lexsort((own[:, 3], own[:, 2], own[:, 1]))].astype(np.int64)
-        heads = np.flatnonzero((np.diff(own[:, 1], prepend=-1) != 0) | (np.diff(own[:, 2], prepend=-1) != 0))
-        rows += [(int(own[a, 1]), int(own[a, 2]), own[a:b, 3]) for a, b in zip(heads, np.append(heads[1:], len(own)))]
+    for i in range(len(one)):
+        open_ = owners[i] & 1 > 0
+        first, second, at = one[i][open_], two[i][open_], (owners[i][open_] >> 1).astype(np.int64)
+        seen = np.zeros(len(at), dtype=bool)
+        for j in range(len(one)):
+            if j == i or not len(one[j]):
+                continue
+            place = np.searchsorted(one[j], first)
+            alike = np.arange(len(first))
+            # windows with equal first halves stand next to each other
+            while len(alike):
+                there = np.minimum(place[alike], len(one[j]) - 1)
+                alike = alike[(place[alike] < len(one[j])) & (one[j][there] == first[alike])]
+                seen[alike] |= two[j][place[alike]] == second[alike]
+                place[alike] += 1
+        rows += _by_region(at[seen], *known[i])
     return _found(rows)
 
 
@@ -425,8 +429,8 @@ def _cut(table: pa.Table, own: pa.Table, width: int) -> pa.Table:
     np.add.at(change, known.start[whole] + known.count[whole] + width - 1, -1)
     for i in np.flatnonzero(~whole):
         for places in known.windows.get(int(known.region[i]), ()):
-            np.add.at(change, known.start[i] + places, 1)
-            np.add.at(change, known.start[i] + places + width, -1)
+            np.add.at(change, known.start[i] + places[:, 0], 1)
+            np.add.at(change, known.start[i] + places[:, 0] + places[:, 1] + width - 1, -1)
     gone = np.cumsum(change[:-1]) > 0
     size = np.diff(text.offsets)
     edge = gone.copy()
@@ -464,8 +468,11 @@ def drop_repeats(
     regions = materialise(held.with_answers(anchors, lambda t, own: _regions(t, own, width, piece, bits), _sql(REGION)), "regions")
     judged = materialise(regions.where("slice >= 0").groupBy("slice").applyInArrow(_judge_regions, _sql(ANSWER)), "judged")
     known = _lying(regions).unionByName(judged)
-    sent = materialise(held.with_answers(known, lambda t, own: _send(t, own, width, bits), _sql(SENT)), "regions")
-    parts = sent.groupBy("slice").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("text")) / F.lit(suffix_bytes))).cast("int").alias("parts"))
+    sent = materialise(held.with_answers(known, lambda t, own: _send(t, own, width), _sql(SENT)), "regions")
+    size = sent.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # half of what a suffix shard holds is expected in each; one with a common anchor may have more
+    sent = sent.withColumn("slice", F.shiftright("anchor", 63 - min(31, (2 * size // suffix_bytes).bit_length())).cast("int"))
+    parts = sent.groupBy("slice").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("text")) / F.lit(2 * suffix_bytes))).cast("int").alias("parts"))
     spread = sent.join(parts, "slice").withColumn("part", F.pmod(F.xxhash64("shard", "region"), F.col("parts")).cast("int"))
     sorted_ = materialise(spread.groupBy("slice", "part").applyInArrow(lambda t: _suffixes(t, width), _sql(FOUND)), "suffixes")
     merged = sorted_.where("kind = 'sorted'").groupBy("slice", "range").applyInArrow(_merge, _sql(FOUND))
