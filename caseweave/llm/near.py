@@ -12,8 +12,9 @@ An alignment that reaches the threshold leaves few shingles unmatched, so it lie
 of known width around the diagonal; nothing outside the band is looked at.
 
 Candidates are never expanded into pairs within a bucket: every member is compared with the
-bucket's leader, groups found so far are contracted, and buckets that still hold several
-groups go on with another leader until a round adds no link.
+bucket's leader, the text that shares most keys with others; groups found so far are
+contracted, and buckets that still hold several groups go on with another leader until a
+round adds no link.
 """
 
 from __future__ import annotations
@@ -142,7 +143,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 score = [alignment(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]], threshold) for i in range(rows.num_rows)]
                 yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(score, pa.float64())], ["a", "b", "similarity"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+    return pairs.select("a", "b").hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, picks: int = PICKS) -> DataFrame:
@@ -164,28 +165,31 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOT
     twins = materialise(twins, "twins")
 
     slotted = nodes.select("id", F.posexplode("keys").alias("slot", "key"))
-    shared = slotted.groupBy("slot", "key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
+    shared = slotted.groupBy("slot", "key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialise(slotted.join(shared, ["slot", "key"]), "buckets")
+    weight = buckets.groupBy("id").agg(F.sum("size").alias("shared"))
+    buckets = materialise(buckets.drop("size").join(weight, "id"), "buckets")
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
-    texts = materialise(named.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").distinct(), "texts")
+    # merge joins at every size: the plan, and what it moves, grow with the data alone
+    texts = materialise(named.join(wanted.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").distinct(), "texts")
 
-    links = twins.where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    classes = connected_components(twins.select(F.col("doc_id").alias("id")).unionByName(twins.select("id")).distinct(), links)
-    classes = materialise(classes, "classes")
+    classes = materialise(wanted.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")), "classes")
     tried, turn = None, 0
     while True:
-        # the first round's leader is the smallest id, later ones change with the round
-        rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        grouped = buckets.join(classes, "id").groupBy("slot", "key", "component").agg(F.min(F.struct(rank.alias("rank"), "id")).alias("one")) if turn else None
-        member = buckets.select("slot", "key", "id", F.struct(rank.alias("rank"), F.col("id")).alias("one")) if turn == 0 else grouped.select("slot", "key", F.col("one.id").alias("id"), "one")
-        leader = member.groupBy("slot", "key").agg(F.min("one").alias("first"), F.count("*").alias("size")).where("size > 1")
+        if turn == 0:
+            # the text that shares most keys leads: of an original and its copies, the original
+            member = buckets.select("slot", "key", "id", F.struct(F.col("shared").alias("rank"), (-F.col("id")).alias("tie"), F.col("id").alias("id")).alias("one"))
+        else:
+            rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), F.lit(0).cast("bigint").alias("tie"), F.col("id").alias("id"))
+            member = buckets.join(classes, "id").groupBy("slot", "key", "component").agg(F.max(rank).alias("one")).select("slot", "key", F.col("one.id").alias("id"), "one")
+        leader = member.groupBy("slot", "key").agg(F.max("one").alias("first"), F.count("*").alias("size")).where("size > 1")
         pairs = member.join(leader, ["slot", "key"]).select(F.least("id", "first.id").alias("a"), F.greatest("id", "first.id").alias("b")).where("a < b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         one = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
         two = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
         agree = F.aggregate(F.zip_with("ka", "kb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        likely = pairs.join(one, "a").join(two, "b").where((F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (agree >= min(AGREE, slots))).select("a", "b").distinct()
+        likely = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").where((F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (agree >= min(AGREE, slots))).select("a", "b").distinct()
         scored = materialise(_verified(likely, texts, threshold), "scored")
         tried = scored.select("a", "b") if tried is None else tried.unionByName(scored.select("a", "b"))
         found = scored.where(F.col("similarity") >= threshold).select("a", "b")
@@ -199,9 +203,16 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOT
         classes = materialise(classes.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "classes")
         turn += 1
 
-    placed = twins.groupBy("doc_id").agg(F.min("copies").alias("_"), F.sum("copies").alias("rows")).drop("_").join(classes.withColumnRenamed("id", "doc_id"), "doc_id")
-    sizes = placed.groupBy("component").agg(F.sum("rows").alias("class_size"))
-    whole = twins.select("doc_id", "copies").join(placed.select("doc_id", "component"), "doc_id").join(sizes, "component")
+    placed = twins.join(classes, "id", "left").select("doc_id", "copies", F.coalesce("component", "id").alias("component"))
+    # a doc_id with several texts ties their classes together
+    ties = placed.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
+    if not ties.isEmpty():
+        of = placed.select("doc_id", F.col("component").alias("b")).distinct().join(ties.select("doc_id", "a"), "doc_id").select("a", "b")
+        merged = connected_components(of.select(F.col("a").alias("id")).unionByName(of.select(F.col("b").alias("id"))).distinct(), of)
+        moved = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
+        placed = placed.join(moved, "component", "left").select("doc_id", "copies", F.coalesce("to", "component").alias("component"))
+    sizes = placed.groupBy("component").agg(F.sum("copies").alias("class_size"))
+    whole = placed.join(sizes, "component")
     out = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(
         "doc_id", F.col("component").alias("class_id"), F.col("class_size").cast("bigint").alias("class_size"), ((F.col("copy") == 1) & (F.col("doc_id") == F.col("component"))).alias("kept")
     )
