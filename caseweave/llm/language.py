@@ -49,7 +49,7 @@ class Model:
     @classmethod
     def of_counts(cls, languages: list[str], word_counts: dict[str, np.ndarray], gram_counts: dict[str, np.ndarray]) -> Model:
         def logs(counts: dict) -> np.ndarray:
-            table = np.array(list(counts.values()), dtype=float).reshape(-1, len(languages))
+            table = np.array(list(counts.values()), dtype=float).reshape(len(counts), len(languages))
             return np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * len(table) + 0.1))
 
         gram_rows: dict[str, int] = {}
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text")).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of at least ``least``."""
     predict = predictor(docs.sparkSession, model)
     return docs.where(predict(F.col("text"))["score"] >= least)

@@ -24,7 +24,7 @@ MAX_TOKENS, REACH = 22, 48
 #: Expected number of training documents at most, and of windows among them.
 MAX_DOCS, MAX_WINDOWS, ROUNDS, RATE, RIDGE = 4_000, 240, 12, 0.5, 1e-3
 #: Log odds by which a segment must beat leaving its tokens alone.
-MARGIN = 3.0
+MARGIN = 1.0
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
