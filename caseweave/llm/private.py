@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ["email", "ip", "card", "phone"]
-MAX_TOKENS, REACH = 22, 48
+MAX_TOKENS, LONGEST, REACH = 22, 120, 48
 #: Expected number of training documents at most, and of windows among them.
 MAX_DOCS, MAX_WINDOWS, ROUNDS, RATE, RIDGE = 4_000, 240, 12, 0.5, 1e-3
 #: Log odds by which a segment must beat leaving its tokens alone.
@@ -28,7 +29,7 @@ MARGIN = 1.0
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -128,22 +129,29 @@ def features(text: str, start: int, end: int, count: int) -> list[float]:
     ]
 
 
+def _digits(word: str) -> int:
+    return len(DIGIT.findall(word))
+
+
 class Lattice:
     """Tokens of one window, its candidate segments by last token, and their features."""
 
     def __init__(self, text: str):
         self.spans = [m.span() for m in TOKEN.finditer(text)]
+        words = [text[a:b] for a, b in self.spans]
+        digits, points, signs = ([0, *accumulate(own)] for own in (map(_digits, words), (w == "." for w in words), (w == "@" or w.lower() == "at" for w in words)))
         keys, rows = [], []
         for i, (start, _) in enumerate(self.spans):
             if not (text[start].isalnum() or text[start] in "+("):
                 continue
             for j in range(i, min(i + MAX_TOKENS, len(self.spans))):
                 end = self.spans[j][1]
-                if j > i and (self.spans[j][0] - self.spans[j - 1][1] > 1 or "\n" in text[self.spans[j - 1][1] : self.spans[j][0]]):
+                gap = text[self.spans[j - 1][1] : self.spans[j][0]] if j > i else ""
+                n, sign = digits[j + 1] - digits[i], signs[j + 1] - signs[i]
+                if len(gap) > 1 or gap == "\n" or end - start > LONGEST or (n > 19 and not sign):
                     break
-                if text[end - 1].isalnum() and HOT.search(text, start, end):
-                    if sum(c.isalpha() for c in text[start:end]) > 60:
-                        break
+                # no kind has other numbers of digits
+                if text[end - 1].isalnum() and (sign or n >= 7 or (n >= 4 and points[j + 1] - points[i] >= 3)):
                     keys.append((i, j))
                     rows.append(features(text, start, end, j - i + 1))
         self.keys = keys

@@ -62,15 +62,16 @@ def test_windows_meet_the_target_within_a_token(spark):
     given = table(spark, "/root/testdata/sf0.001", "documents")
     length, per = 128, 4
     rows = packing.pack(given, length=length, window_sequences=per).collect()
-    totals = {}
+    by = {}
     for r in rows:
-        totals[r["source"]] = totals.get(r["source"], 0) + r["length"]
-    whole = sum(totals.values())
-    windows = whole // (length * per)
-    for w in range(1, windows + 1):
-        for source, n in totals.items():
-            got = sum(r["length"] for r in rows if r["source"] == source and r["window_id"] < w)
-            assert abs(got - w * length * per * n / whole) <= 1
+        own = by.setdefault(r["source"], {})
+        own[r["window_id"]] = own.get(r["window_id"], 0) + r["length"]
+    whole = sum(r["length"] for r in rows)
+    for own in by.values():
+        n, got = sum(own.values()), 0
+        for w in range(whole // (length * per)):
+            got += own.get(w, 0)
+            assert abs(got - (w + 1) * length * per * n / whole) <= 1
 
 
 def test_given_targets_hold_until_a_queue_is_empty(spark):

@@ -30,15 +30,18 @@ def luhn(s):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=200, deadline=None)
 @cases(st.text(alphabet="01259a@.+- ()%é\n", max_size=60))
 def test_base_spans_are_those_of_the_patterns(text):
     assert private.base_spans(text) == literal(text)
 
 
 def test_hostile_lengths():
-    for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+" * 50_000, "a@" * 50_000, "1 " * 100_000):
+    for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+" * 50_000, "a@" * 50_000, "1 " * 100_000, "+1" + " " * 100_000):
         private.base_spans(text)
+    weights = np.zeros((len(private.FEATURES), len(private.KINDS)))
+    for text in ("1" * 5_000, "a@" * 2_000, "12 345 6789 " * 300):
+        private.added_spans(text, private.base_spans(text), weights)
     assert private.base_spans("9" * 5000 + ".1.1.1") == [[], [], [], []]
 
 
