@@ -69,13 +69,38 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return captures.archived(table(spark, sf, "pages"))
 
 
-@query("op6_substring_dedup")
+WORDS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+     w AS (SELECT doc_id, p, word, CASE WHEN count(*) OVER f = 20 THEN md5(string_agg(word, ' ') OVER f) END AS k
+           FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+     l AS (SELECT doc_id, p, word, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS later FROM w),
+     c AS (SELECT doc_id, p, word, max(CAST(later AS INT)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM l),
+     k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op6_substring_dedup", WORDS_SQL)
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     kept = substring.drop_repeats(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op7_suffix_array_dedup")
+BYTES_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     t AS (SELECT doc_id, unnest(regexp_extract_all(h, '..')) AS byte, unnest(range(0, len(h) // 2)) AS p FROM d),
+     w AS (SELECT doc_id, p, byte, CASE WHEN count(*) OVER f = 200 THEN md5(string_agg(byte, '') OVER f) END AS k
+           FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 199 FOLLOWING)),
+     r AS (SELECT doc_id, p, byte, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS again FROM w),
+     c AS (SELECT doc_id, p, byte, max(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM r),
+     g AS (SELECT *, gone > coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) AS head FROM c),
+     k AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) FILTER (head) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (gone = 0) AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op7_suffix_array_dedup", BYTES_SQL)
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     kept = suffix.drop_repeats(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
