@@ -386,11 +386,16 @@ def _suffixes(table: pa.Table, width: int) -> pa.Table:
         pick = ((one[rank] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         edges = np.searchsorted(pick, np.arange(parts + 1))
         one, two, owner = one[rank].astype("<u8"), (two[rank] >> np.uint64(32)).astype("<u4"), (at << 1 | open_)[rank].astype("<u4")
-        known = np.stack([begin, shards, regions]).astype("<u4").tobytes()
+
+        def lying(i: int, j: int) -> bytes:
+            """The regions that the open windows of a range lie in."""
+            used = np.unique(np.searchsorted(begin, owner[i:j][owner[i:j] & 1 > 0] >> 1, side="right") - 1)
+            return np.stack([begin[used], shards[used], regions[used]]).astype("<u4").tobytes()
+
         rows = [(r, edges[r], edges[r + 1]) for r in range(parts) if edges[r] < edges[r + 1]]
         out.append(pa.table({
             "shard": pa.array([0] * len(rows), pa.int32()), "kind": pa.array(["sorted"] * len(rows), pa.string()), "slice": pa.array([number] * len(rows), pa.int32()),
-            "bits": pa.array([two[i:j].tobytes() for _, i, j in rows], pa.binary()), "places": pa.array([known] * len(rows), pa.binary()), "part": pa.array([part] * len(rows), pa.int32()),
+            "bits": pa.array([two[i:j].tobytes() for _, i, j in rows], pa.binary()), "places": pa.array([lying(i, j) for _, i, j in rows], pa.binary()), "part": pa.array([part] * len(rows), pa.int32()),
             "range": pa.array([r for r, _, _ in rows], pa.int32()), "prints": pa.array([one[i:j].tobytes() for _, i, j in rows], pa.binary()),
             "owners": pa.array([owner[i:j].tobytes() for _, i, j in rows], pa.binary()),
         }, schema=FOUND))
