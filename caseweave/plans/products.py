@@ -29,15 +29,14 @@ cte("priority", """SELECT c.case_id, c.place, c.category, c.status, CAST(date_di
     CAST(category IN ('1-URGENT','2-HIGH') AS INT) * 3 AS violent_points, CASE t.risk_tier WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END AS entity_points,
     CAST(v.volume >= (SELECT quantile_cont(volume, 0.75) FROM (SELECT COUNT(*) AS volume FROM cases GROUP BY place)) AS INT) * 2 AS hotspot_points,
     CAST(date_diff('day', case_date, (SELECT MAX(case_date) FROM cases)) > 180 AS INT) AS stale_points, COALESCE(t.risk_tier, 'LOW') AS highest_tier
-    FROM cases c JOIN (SELECT place, COUNT(*) AS volume FROM cases GROUP BY place) v USING (place) LEFT JOIN rollup t ON t.entity_id = c.entity_id AND c.entity_id % 3 > 0 WHERE status IN ('O','P')""", "cases", "rollup")
+    FROM cases c JOIN (SELECT place, COUNT(*) AS volume FROM cases GROUP BY place) v USING (place) LEFT JOIN rollup t ON t.entity_id = c.entity_id WHERE status IN ('O','P')""", "cases", "rollup")
 cte("queue", """SELECT *, violent_points + entity_points + hotspot_points + stale_points AS priority_score,
     CASE WHEN violent_points + entity_points + hotspot_points + stale_points >= 6 THEN 'HIGH' WHEN violent_points + entity_points + hotspot_points + stale_points >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS priority_tier FROM priority""", "priority")
 
 
 def priority_queue(spark, sf) -> DataFrame:
-    """Two thirds of the customers have a tier; the rest count as LOW."""
     df = cases(spark, sf)
-    tiers = ag.entity_rollup(df, "entity_id", "category", F.col("amount") > 490_000).where(F.col("entity_id") % 3 > 0)
+    tiers = ag.entity_rollup(df, "entity_id", "category", F.col("amount") > 490_000)
     return case_priority(
         df, df.select("case_id", "entity_id"), tiers, "case_id", "place", "category", "status", "case_date", "entity_id", VIOLENT, UNRESOLVED, 180
     )

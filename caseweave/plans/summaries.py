@@ -193,7 +193,7 @@ def _(spark, sf):
 
 
 cte("name_left", """SELECT p_partkey AS left_id, p_type AS block, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || 's' WHEN 2 THEN p_name || ' ' || p_size ELSE replace(p_name, 'e', 'a') END AS name FROM part""")
-cte("name_right", "SELECT p_partkey AS right_id, p_type AS block, p_name AS name FROM part WHERE p_size <= 30")
+cte("name_right", "SELECT p_partkey AS right_id, p_type AS block, p_name AS name FROM part")
 
 
 def name_sides(spark, sf):
@@ -203,7 +203,7 @@ def name_sides(spark, sf):
         .when(F.col("p_partkey") % 4 == 2, F.concat_ws(" ", "p_name", "p_size")).otherwise(F.replace(F.col("p_name"), F.lit("e"), F.lit("a")))
     )
     left = part.select(F.col("p_partkey").alias("left_id"), F.col("p_type").alias("block"), variant.alias("name"))
-    right = part.where(F.col("p_size") <= 30).select(F.col("p_partkey").alias("right_id"), F.col("p_type").alias("block"), F.col("p_name").alias("name"))
+    right = part.select(F.col("p_partkey").alias("right_id"), F.col("p_type").alias("block"), F.col("p_name").alias("name"))
     return left, right
 
 
