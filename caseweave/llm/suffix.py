@@ -428,7 +428,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def _cut(table: pa.Table, own: pa.Table, width: int) -> pa.Table:
     text, known = Text(table), Answered(own)
-    change = np.zeros(len(text.data) + 1, dtype=np.int64)
+    change = np.zeros(len(text.data) + 1, dtype=np.int32)
     whole = known.whole[known.region] if len(known.region) else np.zeros(0, bool)
     np.add.at(change, known.start[whole], 1)
     np.add.at(change, known.start[whole] + known.count[whole] + width - 1, -1)
@@ -436,17 +436,15 @@ def _cut(table: pa.Table, own: pa.Table, width: int) -> pa.Table:
         for places in known.windows.get(int(known.region[i]), ()):
             np.add.at(change, known.start[i] + places[:, 0], 1)
             np.add.at(change, known.start[i] + places[:, 0] + places[:, 1] + width - 1, -1)
-    gone = np.cumsum(change[:-1]) > 0
-    size = np.diff(text.offsets)
-    edge = gone.copy()
-    edge[1:] &= ~gone[:-1]
-    firsts = text.offsets[:-1][size > 0]
-    edge[firsts] = gone[firsts]
-    owner = np.repeat(np.arange(len(size)), size)
-    removed, spans = (np.bincount(owner, x, minlength=len(size)).astype(np.int64) for x in (gone, edge))
-    kept = [text.data[a:b][~gone[a:b]].tobytes() for a, b in zip(text.offsets[:-1], text.offsets[1:])]
+    np.cumsum(change, out=change)
+    removed, spans, kept = [], [], []
+    for a, b in zip(text.offsets[:-1].tolist(), text.offsets[1:].tolist()):
+        gone = change[a:b] > 0
+        removed.append(int(gone.sum()))
+        spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
+        kept.append(text.data[a:b][~gone].tobytes())
     return pa.table({
-        "doc_id": table.column("doc_id"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
+        "doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(text.offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
         "kept_bytes": pa.array(kept, pa.binary()),
     })
 
