@@ -23,7 +23,7 @@ from caseweave.llm.common import MULTIPLIER, flat, mix, powers
 from caseweave.session import materialise
 
 WIDTH, PIECE = 200, 128
-CHUNK_BYTES, SUFFIX_BYTES = 1_000_000, 1_000_000
+CHUNK_BYTES, SUFFIX_BYTES = 500_000, 1_000_000
 _codes = np.random.Generator(np.random.PCG64(3)).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
