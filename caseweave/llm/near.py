@@ -13,19 +13,21 @@ of known width around the diagonal; nothing outside the band is looked at.
 
 Candidates are never expanded into pairs within a bucket: every member is compared with the
 bucket's leader, the text that shares most keys with others; groups found so far are
-contracted, and buckets that still hold several groups go on with another leader until a
-round adds no link.
+contracted, and buckets that still hold several groups go on with another leader while
+that links many. What is then left in one bucket without having met is joined exactly: two
+texts reach the threshold only if they share one of their rarest shingles (prefix filter),
+and shingles that only one group holds are not exchanged at all.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.llm.common import SPACES, flat, hash_spans, mix, occurrence, pieces, spans, window_hashes
@@ -36,6 +38,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: With three picks a pair at the threshold shares a key with chance 0.51; the chance that fewer
 #: than two of 24 sketches agree is below one in a million.
 SLOTS, PICKS, AGREE = 24, 3, 2
+#: Leaders go on while at least one of so many comparisons adds a link.
+YIELD = 8
+#: Steps of length in the ratio of the threshold, by which texts with a common shingle meet.
+STEPS = 4
 
 
 def shingles(column, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +152,69 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return pairs.select("a", "b").hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _labels(held: DataFrame) -> DataFrame:
+    """(id, component, own, n, token): every labelled shingle of the texts; ``own`` tells the texts of an id apart."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 500_000):
+                values, offsets = shingles(part.column("text"))
+                n = np.diff(offsets)
+                row = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in ("id", "component", "own")), pa.array(np.repeat(n, n)), pa.array(values.view(np.int64))], ["id", "component", "own", "n", "token"])
+
+    return held.withColumn("own", F.xxhash64("text")).select("id", "component", "own", "text").mapInArrow(run, "id long, component long, own long, n long, token long")
+
+
+def _crossing(held: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b: all pairs of texts of different components that can reach the threshold.
+
+    ``held`` is (id, component, text). With the shingles of each text in one global order, the
+    first common one of a pair with Jaccard similarity t lies among the first n - t n + 1 of the
+    longer text and the first n - 2 t n / (1 + t) + 1 of the shorter one, and leaves both texts
+    enough shingles behind it. Shingles of one component only come first in that order and
+    meet nobody; then the rare ones. Members of one component are never paired.
+    """
+    labels = _labels(held)
+    spread = labels.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("held")).where("least < most").select("token", "held")
+    text = Window.partitionBy("id", "own")
+    place = F.col("n") - F.count("*").over(text) + F.row_number().over(text.orderBy("held", "token")) - 1
+    placed = labels.hint("merge").join(spread.hint("merge"), "token").withColumn("place", place)
+    long = materialise(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)).drop("held"), "prefixes")
+    short = long.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9))
+    # the longer text's length lies between the shorter one's and what its place allows; texts meet by steps of length
+    step = lambda n: F.floor(F.log(n) * F.lit(STEPS / -log(threshold)) + 1e-9)
+    behind = F.col("n") - F.col("place")
+    most = F.greatest(F.col("n"), F.least(F.col("n") / threshold, behind * ((1 + threshold) / threshold) - F.col("n")))
+    one = short.select("token", F.explode(F.sequence(step(F.col("n")), step(most + 1e-6))).alias("step"), F.col("component").alias("x"), F.col("id").alias("i"), F.col("n").alias("ni"), behind.alias("ri"))
+    two = long.select("token", step(F.col("n")).alias("step"), F.col("component").alias("y"), F.col("id").alias("j"), F.col("n").alias("nj"), behind.alias("rj"))
+    key = ["token", "step"]
+    many = two.groupBy(*key, "y").agg(F.min("nj").alias("low"), F.max("nj").alias("high"), F.max("rj").alias("left"))
+    share = threshold / (1 + threshold)
+    fits = (F.col("x") != F.col("y")) & (F.col("ni") <= F.col("high")) & (F.col("ni") >= F.col("low") * threshold - 1e-9)
+    fits &= F.least("ri", "left") >= (F.col("ni") + F.greatest("ni", "low")) * share - 1e-9
+    few = one.groupBy(*key, "x").agg(F.min("ni").alias("ni"), F.max("ni").alias("nm"), F.max("ri").alias("ri"))
+    meet = few.hint("merge").join(many.hint("merge"), key).where((F.col("x") != F.col("y")) & (F.col("ni") <= F.col("high")) & (F.col("nm") >= F.col("low") * threshold - 1e-9) & (F.least("ri", "left") >= (F.col("ni") + F.greatest("ni", "low")) * share - 1e-9))
+    enough = F.least("ri", "rj") >= (F.col("ni") + F.col("nj")) * share - 1e-9
+    met = one.hint("merge").join(meet.select(*key, "x", "y", "low", "high", "left"), [*key, "x"]).where(fits).drop("low", "high", "left")
+    pairs = met.hint("merge").join(two, [*key, "y"]).where((F.col("ni") <= F.col("nj")) & (F.col("ni") >= F.col("nj") * threshold - 1e-9) & enough)
+    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b").distinct()
+
+
+def _linked(classes: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of components (a, b) that scored pairs link."""
+    own_a = classes.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    own_b = classes.select(F.col("id").alias("b"), F.col("component").alias("y"))
+    found = scored.where(F.col("similarity") >= threshold).select("a", "b")
+    return materialise(found.join(own_a, "a").join(own_b, "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "bridges")
+
+
+def _contracted(classes: DataFrame, bridges: DataFrame) -> DataFrame:
+    merged = connected_components(bridges.select(F.col("a").alias("id")).unionByName(bridges.select(F.col("b").alias("id"))).distinct(), bridges)
+    moved = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return materialise(classes.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "classes")
+
+
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, picks: int = PICKS) -> DataFrame:
     """(doc_id, class_id, class_size, kept), one row per input row.
 
@@ -192,17 +261,23 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOT
         likely = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").where((F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (agree >= min(AGREE, slots))).select("a", "b").distinct()
         scored = materialise(_verified(likely, texts, threshold), "scored")
         tried = scored.select("a", "b") if tried is None else tried.unionByName(scored.select("a", "b"))
-        found = scored.where(F.col("similarity") >= threshold).select("a", "b")
-        own_a = classes.select(F.col("id").alias("a"), F.col("component").alias("x"))
-        own_b = classes.select(F.col("id").alias("b"), F.col("component").alias("y"))
-        bridges = materialise(found.join(own_a, "a").join(own_b, "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "bridges")
-        if bridges.isEmpty():
+        bridges = _linked(classes, scored, threshold)
+        links = bridges.count()
+        if links:
+            classes = _contracted(classes, bridges)
+        if links * YIELD <= scored.count():
             break
-        merged = connected_components(bridges.select(F.col("a").alias("id")).unionByName(bridges.select(F.col("b").alias("id"))).distinct(), bridges)
-        moved = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
-        classes = materialise(classes.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "classes")
         turn += 1
 
+    # a bucket of two is done, a bucket of one group too; the texts of all others are joined exactly
+    several = buckets.join(classes, "id").groupBy("slot", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least < most and size > 2")
+    rest = buckets.join(several, ["slot", "key"], "left_semi").select("id").distinct()
+    held = materialise(texts.join(rest, "id", "left_semi").join(classes, "id").select("id", "component", "text"), "rest")
+    scored = materialise(_verified(_crossing(held, threshold).join(tried, ["a", "b"], "left_anti"), texts, threshold), "scored")
+    bridges = _linked(classes, scored, threshold)
+    if not bridges.isEmpty():
+        classes = _contracted(classes, bridges)
+
     placed = twins.join(classes, "id", "left").select("doc_id", "copies", F.coalesce("component", "id").alias("component"))
     # a doc_id with several texts ties their classes together
     ties = placed.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")

@@ -122,3 +122,17 @@ def test_one_document_of_each_class_stays(spark):
     stay = near.drop_near(given)
     assert stay.columns == given.columns
     assert sorted((r["doc_id"] or -1 for r in stay.collect())) == [-1, 3, 7, 7, 9]
+
+
+def test_groups_linked_by_one_pair_of_their_members(spark):
+    # windows of one long text: 0.8 is reached up to a shift of 26 words, buckets hold dozens of windows
+    words = [f"w{i}" for i in range(8240)]
+    starts = sorted(random.Random(11).sample(range(8000), 1000))
+    rows, want, first = [], {}, 0
+    for i, at in enumerate(starts):
+        d = at - starts[i - 1] if i else 0
+        first = i if (236 - d) / (236 + d) < 0.8 else first
+        want[i] = first
+        rows.append((i, " ".join(words[at : at + 240])))
+    got = {r["doc_id"]: r["class_id"] for r in near.near_groups(docs(spark, rows)).collect()}
+    assert got == want
