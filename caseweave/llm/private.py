@@ -33,7 +33,7 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-HOT = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]", re.I)
+HOT = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|[a-z0-9._%+-] at [a-z0-9-]+(?:\.| dot )[a-z0-9]", re.I)
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -227,13 +227,14 @@ def train(texts: list[str]) -> np.ndarray:
         base = sorted((a, b, k) for k, own in enumerate(base_spans(text)) for a, b in own)
         clean = [s for i, s in enumerate(base) if i == 0 or s[0] >= base[i - 1][1]]
         cases.append((text, clean))
-        out, at, moved = "", 0, []
-        for a, b, k in clean:
-            out += text[at:a]
-            new = rewritten(text[a:b], k, turn)
-            moved.append((len(out), len(out) + len(new), k))
-            out, at = out + new, b
-        if clean:
+        # every window in each notation, so that none is learned from a few examples only
+        for form in range(4 if clean else 0):
+            out, at, moved = "", 0, []
+            for a, b, k in clean:
+                out += text[at:a]
+                new = rewritten(text[a:b], k, turn + form)
+                moved.append((len(out), len(out) + len(new), k))
+                out, at = out + new, b
             cases.append((out + text[at:], moved))
     lattices = []
     for text, spans in cases:

@@ -78,6 +78,15 @@ def test_adds_other_notations(spark):
         assert private.added_spans(clean, private.base_spans(clean), weights) == [[], [], [], []]
 
 
+def test_bare_spelled_signs_open_windows(spark):
+    given = table(spark, "/root/testdata/sf0.01", "documents")
+    weights = private.train(private.sample_windows(given))
+    for text in ("write to john.smith at example.com please", "or ask mary_jones at mail.example.org about the garden"):
+        a, b = text.index(" at ") - 10, text.index(" ", text.index(" at ") + 4)
+        assert private.added_spans(text, private.base_spans(text), weights)[0] == [(a, b)]
+    assert private.windows("they met at noon. the rest stayed at home") == []
+
+
 def test_best_segmentation_by_enumeration():
     text = "x 12-34 @a.b 5.6.7.8"
     lattice = private.Lattice(text)
