@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import captures, exact, language, leaks, near, packing, private, quality, substring, suffix
+from caseweave.llm import captures, chat, exact, language, leaks, near, packing, private, quality, substring, suffix
 from caseweave.llm.common import table
 from caseweave.llm.registry import ORACLES, QUERIES, query
 
@@ -106,6 +106,30 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+CHAT_SQL = r"""
+WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, role, text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+     t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, coalesce(role = 'assistant', false) AS trained,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM c),
+     m AS (SELECT *, 24 + length(regexp_replace(x, '<(\\*)\|', '<\\\1|', 'g')) + length(replace(replace(regexp_replace(r, '<(\\*)\|', '<\\\1|', 'g'), '\', '\\'), chr(10), '\n')) AS chars,
+                  count(*) FILTER (trained OR p = n) OVER (PARTITION BY conv_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS held FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY p)) AS turns_sha256,
+       coalesce(CAST(sum(length(x)) FILTER (trained) AS BIGINT), 0) AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY p) FILTER (trained), '')) AS loss_sha256,
+       CAST(sum(chars * held) AS BIGINT) AS formatted_chars, count(*) FILTER (trained OR p = n) AS n_examples
+FROM m GROUP BY conv_id
+"""
+
+
+@query("op13_chat_formatting", CHAT_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    control = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text")
+    )
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.written(chat.expand(turns)))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
