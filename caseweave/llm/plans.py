@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import captures, chat, exact, language, leaks, near, packing, private, quality, substring, suffix
+from caseweave.llm import align, captures, chat, exact, language, leaks, near, packing, phrases, private, quality, substring, suffix
 from caseweave.llm.common import table
 from caseweave.llm.registry import ORACLES, QUERIES, query
 
@@ -106,6 +106,35 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+PHRASES_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     s AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+     t AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS p FROM s),
+     g AS (SELECT lang, m, array_to_string(ws[p : p + m - 1], ' ') AS phrase, count(*) AS f FROM t, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE p + m - 1 <= len(ws) GROUP BY ALL),
+     n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+     c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE m > 1 AND f >= 30),
+     k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+     x AS (SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * k.a // (l.f + r.f) AS BIGINT) AS score
+           FROM k JOIN g AS l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1 : k], ' ') JOIN g AS r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k + 1 : k.m], ' ')),
+     z AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     i AS (SELECT lang, a, m, ws, unnest(range(2, m)) AS j FROM c),
+     b AS (SELECT lang, array_to_string(ws[p : p + j - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, m - j + 2)) AS p FROM i) GROUP BY 1, 2),
+     o AS (SELECT z.* FROM z LEFT JOIN b USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) QUALIFY row_number() OVER w <= 2000
+"""
+
+
+@query("op11_phrase_collocations", PHRASES_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return align.link_scores(table(spark, sf, "documents"))
+
+
 CHAT_SQL = r"""
 WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, role, text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
