@@ -20,13 +20,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseweave.llm.common import held_out
+from caseweave.session import materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 GIVE_UP = math.log(0.4)
 UNKNOWN = "und"
-#: Bounds of the model: languages (most frequent first), training rows for each, and table sizes for all together.
-MAX_LANGUAGES, MAX_ROWS, MAX_WORDS, MAX_GRAMS = 200, 2_000, 120_000, 80_000
+#: Bounds of the model: training rows for each language, words and n-grams for all languages together, and
+#: numbers in either table (so with more than 300 languages each keeps fewer words).
+MAX_ROWS, MAX_WORDS, MAX_GRAMS, MAX_CELLS = 2_000, 120_000, 80_000, 40_000_000
+#: Words outside the model whose scores a task remembers.
 CACHE = 150_000
 
 
@@ -39,12 +42,30 @@ def grams(word: str, order: int) -> list[str]:
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
 
 
+class Rows(dict):
+    """Row of each word in a growing table of scores; an unknown word is scored once and added."""
+
+    def __init__(self, model: Model):
+        super().__init__(model.word_rows)
+        self.model, self.size = model, len(model.word_rows)
+        self.table = np.zeros((self.size + 1024, len(model.languages)))
+        self.table[: self.size] = model.word_logs
+
+    def __missing__(self, word: str) -> int:
+        if self.size == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.size] = self.model.unseen(word)
+        self[word] = self.size
+        self.size += 1
+        return self.size - 1
+
+
 class Model:
     """Log frequencies by language; tables are bounded, so it may be broadcast."""
 
     def __init__(self, languages: list[str], word_rows: dict[str, int], word_logs: np.ndarray, gram_rows: dict[str, int], gram_logs: np.ndarray):
         self.languages, self.word_rows, self.word_logs, self.gram_rows, self.gram_logs = languages, word_rows, word_logs, gram_rows, gram_logs
-        self.cache: dict[str, np.ndarray] = {}
+        self.rows: Rows | None = None
 
     @classmethod
     def of_counts(cls, languages: list[str], word_counts: dict[str, np.ndarray], gram_counts: dict[str, np.ndarray]) -> Model:
@@ -76,42 +97,46 @@ class Model:
                     break
         return self.gram_logs[rows].mean(axis=0) if rows else np.zeros(len(self.languages))
 
-    def vector(self, word: str) -> np.ndarray:
-        row = self.word_rows.get(word)
-        if row is not None:
-            return self.word_logs[row]
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = self.cache[word] = self.unseen(word)
-        return found
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counted = Counter(words(text))
-        if not counted or not self.languages:
-            return UNKNOWN, 0.0
-        vector = self.vector
-        total = np.array(list(counted.values()), dtype=float) @ np.array([vector(w) for w in counted])
-        # the root of the length keeps a long text's dependent words from claiming certainty
-        total = (total - total.max()) / math.sqrt(sum(counted.values()))
-        best = int(np.argmax(total))
-        return self.languages[best], float(1.0 / np.exp(total).sum())
-
-
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_languages: int = MAX_LANGUAGES) -> Model:
+    def predict_all(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(language, score) of each text; the words of all texts are looked up, and then summed text by text."""
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if not self.languages:
+            return names, scores
+        if self.rows is None or self.rows.size > len(self.word_rows) + CACHE:
+            self.rows = Rows(self)
+        ids: list[int] = []
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        for k, text in enumerate(texts):
+            own = words(text)
+            sizes[k] = len(own)
+            ids.extend(map(self.rows.__getitem__, own))
+        full = np.flatnonzero(sizes)
+        if len(full):
+            n = sizes[full]
+            total = np.add.reduceat(self.rows.table[np.array(ids)], np.cumsum(n) - n, axis=0)
+            # the root of the length keeps a long text's dependent words from claiming certainty
+            total = (total - total.max(axis=1, keepdims=True)) / np.sqrt(n)[:, None]
+            for k, best in zip(full, total.argmax(axis=1)):
+                names[k] = self.languages[best]
+            scores[full] = 1.0 / np.exp(total).sum(axis=1)
+        return names, scores
+
+
+def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_cells: int = MAX_CELLS) -> Model:
     """Counts words and n-grams of a bounded, hash-chosen sample of the labelled rows that are not held out.
 
-    At most ``max_rows`` rows (expected) for each of the ``max_languages`` most frequent languages.
+    Every label is a language, with at most ``max_rows`` rows (expected) each. All languages share
+    ``max_words`` words and ``max_grams`` n-grams evenly, and neither table holds more than
+    ``max_cells`` numbers. Rows without a text, label or doc_id teach nothing.
     """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model.of_counts([], {}, {})
     share = F.element_at(F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1.0, max_rows / sizes[lang]))]), F.col("lang"))
     place = (F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5).cast("double")
-    sample = labelled.where(F.col("lang").isin(languages)).where(place < share)
+    sample = labelled.where(place < share)
 
     def count_words(batches):
         for batch in batches:
@@ -121,7 +146,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, m
             for lang, own in tally.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own)), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
 
-    seen = sample.select("text", "lang").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).cache()
+    counted = sample.select("text", "lang").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    seen = materialise(counted, "langwords")
     marked = F.concat(F.lit("\x02"), "word", F.lit("\x03"))
     cut = F.flatten(F.array(*[
         F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
@@ -129,17 +155,17 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, m
     ]))
     parts = seen.select("lang", "n", F.explode(cut).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
-    def largest(counts: DataFrame, keep: int) -> dict[str, np.ndarray]:
+    def largest(counts: DataFrame, most: int) -> dict[str, np.ndarray]:
+        keep = min(most, max_cells // len(languages))
         rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
         top = counts.withColumn("rank", rank).where(F.col("rank") <= max(1, keep // len(languages))).select("word").distinct()
         out: dict[str, np.ndarray] = {}
+        column = {lang: i for i, lang in enumerate(languages)}
         for row in counts.join(top, "word").select("lang", "word", "n").collect():
-            out.setdefault(row["word"], np.zeros(len(languages)))[languages.index(row["lang"])] += row["n"]
+            out.setdefault(row["word"], np.zeros(len(languages)))[column[row["lang"]]] += row["n"]
         return dict(sorted(out.items()))
 
-    model = Model.of_counts(languages, largest(seen, max_words), largest(parts, max_grams))
-    seen.unpersist()
-    return model
+    return Model.of_counts(languages, largest(seen, max_words), largest(parts, max_grams))
 
 
 def predictor(spark: SparkSession, model: Model):
@@ -150,7 +176,9 @@ def predictor(spark: SparkSession, model: Model):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
         for texts in batches:
-            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+            # a bounded number of texts at a time, as their words are held together
+            parts = [own.predict_all(list(texts[at : at + 256])) for at in range(0, len(texts), 256)]
+            yield pd.DataFrame({"lang_pred": [n for names, _ in parts for n in names], "score": np.concatenate([np.zeros(0), *(s for _, s in parts)])})
 
     return predict
 
@@ -167,6 +195,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score of at least ``least``."""
+    """The rows of ``docs`` whose language is told with a score of at least ``least``, with all their columns.
+
+    Null, empty and letterless texts have the score 0 and go, as does every text if nothing was
+    learned. Rows with a null doc_id and repeated rows are judged like any other; an empty table stays empty.
+    """
     predict = predictor(docs.sparkSession, model)
     return docs.where(predict(F.col("text"))["score"] >= least)

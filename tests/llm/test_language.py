@@ -48,7 +48,7 @@ def test_backs_off_word_by_word_like_the_plain_rule(spark, real):
         counted = Counter(language.words(r["text"]))
         total = sum(n * plain(w) for w, n in counted.items()) / math.sqrt(sum(counted.values()))
         odds = np.exp(total - total.max())
-        name, score = model.predict(r["text"])
+        (name,), (score,) = model.predict_all([r["text"]])
         assert name == model.languages[int(odds.argmax())] and score == pytest.approx(odds.max() / odds.sum())
 
 
@@ -69,3 +69,22 @@ def test_stage_keeps_clean_rows(spark, real):
     given = docs(spark, awkward())
     left = language.keep_identified(given, language.fit(given))
     assert left.columns == given.columns and not {1, 2, 3} & {r["doc_id"] for r in left.collect()}
+
+
+def test_every_label_is_a_language(spark):
+    """300 labels of their own words: none is left out for being rare, and the tables stay within their bound."""
+    rows = [(i, f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]} " * 3, f"l{i}") for i in range(300) if __import__("zlib").crc32(str(i).encode()) % 4 != 2]
+    model = language.fit(docs(spark, rows), max_cells=300 * 400)
+    assert len(model.languages) == len(rows) and model.word_logs.size <= 300 * 400
+    names, _ = model.predict_all([r[1] for r in rows])
+    assert names == [r[2] for r in rows]
+
+
+def test_batches_of_any_size_agree(spark, real):
+    model = language.fit(real, max_words=300, max_grams=500)
+    texts = [r["text"] for r in real.limit(60).collect()] + [None, "", "123", "é" * 3_000_000, "a b " * 400_000]
+    names, scores = model.predict_all(texts)
+    for k, t in enumerate(texts):
+        (name,), (score,) = model.predict_all([t])
+        assert name == names[k] and score == pytest.approx(scores[k])
+    assert names[-5:-2] == ["und"] * 3
