@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.llm.common import free_name
 from caseweave.session import materialise
 
 SALTS = 16
@@ -69,9 +70,15 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFram
 
 
 def drop_exact(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Of equal texts the row with the smallest doc_id stays; null and empty texts are equal, a row
+    with a null doc_id stays only where its group has no doc_id, and of rows with the same
+    doc_id and text one stays. An empty table stays empty.
+    """
     kept = exact_groups(docs, salts).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
-    marked = docs.withColumn("_digest", sha256(content(F.col("text"))))
-    match = marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_digest"] == kept["_kept_digest"])
+    digest = free_name(docs, "digest")
+    marked = docs.withColumn(digest, sha256(content(F.col("text"))))
+    match = marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked[digest] == kept["_kept_digest"])
     stay = marked.join(kept, match, "left_semi")
-    return stay.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    return stay.dropDuplicates(["doc_id", digest]).drop(digest)

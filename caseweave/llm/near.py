@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import SPACES, flat, hash_spans, mix, occurrence, pieces, spans, window_hashes
+from caseweave.llm.common import SPACES, flat, free_name, hash_spans, mix, occurrence, pieces, spans, window_hashes
 from caseweave.operators.components import connected_components
 from caseweave.session import materialise
 
@@ -296,7 +296,13 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOT
 
 
 def drop_near(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each class, with all their columns."""
+    """The rows of ``docs`` that stay, one document of each class, with all their columns, whatever their names.
+
+    The document with a class's smallest doc_id stays. A text without words is alike only to an
+    equal one (null and empty texts are equal); rows with a null doc_id all stay, of rows with the
+    same doc_id and text one stays, and an empty table stays empty.
+    """
     gone = near_groups(docs, threshold).where(~F.col("kept") & (F.col("doc_id") != F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    stay = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").withColumn("_text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return stay.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "_text"]).unionByName(stay.where(F.col("doc_id").isNull())).drop("_text")
+    mark = free_name(docs, "text_mark")
+    stay = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").withColumn(mark, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    return stay.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", mark]).unionByName(stay.where(F.col("doc_id").isNull())).drop(mark)

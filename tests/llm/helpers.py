@@ -2,12 +2,12 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keys string, digest string, kept boolean, score double, place string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keys string, digest string, kept boolean, score double, place string, digest_ string, _digest string, _text string, text_mark string, _leaked long"
 
 
 def docs(spark, rows):
     """(doc_id, text[, lang, source]) as documents with columns whose names the operators use inside."""
-    full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", None, "k", "d", None, 0.5, "p") for r in rows]
+    full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", None, "k", "d", None, 0.5, "p", "a", "b", "c", "e", 7) for r in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 
