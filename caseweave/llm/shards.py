@@ -51,9 +51,13 @@ def shard(docs: DataFrame, shard_bytes: int = SHARD_BYTES, slice_bytes: int = SL
     dealt = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(count, *order).sortWithinPartitions(*order)
     placed = dealt.select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("place"), "doc_id", "text")
     name = f"shards_{uuid.uuid4().hex}"
-    # more buckets than shards, so that few shards share one
-    placed.write.option("path", scratch_path(spark, "shards")).option("compression", "zstd").bucketBy(4 * count, "shard").saveAsTable(name)
-    return Shards(spark.table(name), max(0, int(total // slice_bytes).bit_length()))
+    # more buckets than shards, so that few shards share one, as far as Spark allows
+    buckets = min(4 * count, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    placed.write.option("path", scratch_path(spark, "shards")).option("compression", "zstd").bucketBy(buckets, "shard").saveAsTable(name)
+    rows = spark.table(name)
+    # the files stay where they are; only the session's catalog forgets the name
+    spark.sql(f"DROP TABLE {name}")
+    return Shards(rows, max(0, int(total // slice_bytes).bit_length()))
 
 
 def sliced(keys: np.ndarray, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:

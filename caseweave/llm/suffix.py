@@ -402,27 +402,32 @@ def _suffixes(table: pa.Table, width: int) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _bound(one: np.ndarray, two: np.ndarray, first: np.ndarray, second: np.ndarray, after: bool) -> np.ndarray:
+    """Binary search of (first, second) in a list sorted by (one, two): the place before, or after, its equals."""
+    low, high = np.zeros(len(first), dtype=np.int64), np.full(len(first), len(one))
+    while (low < high).any():
+        middle = np.minimum((low + high) // 2, len(one) - 1)
+        level = one[middle] == first
+        less = (one[middle] < first) | (level & ((two[middle] <= second) if after else (two[middle] < second)))
+        less &= low < high
+        low, high = np.where(less, middle + 1, low), np.where(less | (low >= high), high, middle)
+    return low
+
+
 def _merge(table: pa.Table) -> pa.Table:
-    """Looks each shard's sorted windows up in the other shards of the slice by binary search."""
+    """Merges the sorted windows of a slice's shards once and looks each shard's own up in all of them by binary search."""
     one, two, owners = ([np.frombuffer(b, kind) for b in table.column(c).to_pylist()] for c, kind in (("prints", "<u8"), ("bits", "<u4"), ("owners", "<u4")))
     known = [np.frombuffer(b, "<u4").reshape(3, -1).astype(np.int64) for b in table.column("places").to_pylist()]
+    first, second = np.concatenate(one), np.concatenate(two)
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
     rows: list[tuple] = []
     for i in range(len(one)):
         open_ = owners[i] & 1 > 0
-        first, second, at = one[i][open_], two[i][open_], (owners[i][open_] >> 1).astype(np.int64)
-        seen = np.zeros(len(at), dtype=bool)
-        for j in range(len(one)):
-            if j == i or not len(one[j]):
-                continue
-            place = np.searchsorted(one[j], first)
-            alike = np.arange(len(first))
-            # windows with equal first halves stand next to each other
-            while len(alike):
-                there = np.minimum(place[alike], len(one[j]) - 1)
-                alike = alike[(place[alike] < len(one[j])) & (one[j][there] == first[alike])]
-                seen[alike] |= two[j][place[alike]] == second[alike]
-                place[alike] += 1
-        rows += _by_region(at[seen], *known[i])
+        own = first, second, one[i][open_], two[i][open_]
+        # a shard names a window once, so one that stands there twice is in another shard too
+        seen = _bound(*own, True) - _bound(*own, False) > 1
+        rows += _by_region((owners[i][open_][seen] >> 1).astype(np.int64), *known[i])
     return _found(rows)
 
 
@@ -477,6 +482,8 @@ def drop_repeats(
     sent = sent.withColumn("slice", F.shiftright("anchor", 63 - min(31, (2 * size // suffix_bytes).bit_length())).cast("int"))
     parts = sent.groupBy("slice").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("text")) / F.lit(2 * suffix_bytes))).cast("int").alias("parts"))
     spread = sent.join(parts, "slice").withColumn("part", F.pmod(F.xxhash64("shard", "region"), F.col("parts")).cast("int"))
+    # the join leaves all parts of a slice in one task, so they are dealt anew
+    spread = spread.repartition("slice", "part")
     sorted_ = materialise(spread.groupBy("slice", "part").applyInArrow(lambda t: _suffixes(t, width), _sql(FOUND)), "suffixes")
     merged = sorted_.where("kind = 'sorted'").groupBy("slice", "range").applyInArrow(_merge, _sql(FOUND))
     windows = sorted_.where("kind = 'window'").unionByName(merged).select("shard", "kind", "slice", "bits", "places")

@@ -6,7 +6,7 @@ import pytest
 
 from caseweave.llm import shards, substring, suffix
 from caseweave.llm.common import table
-from tests.llm.helpers import awkward, docs
+from tests.llm.helpers import awkward, docs, prose
 
 
 def by_words(rows, width):
@@ -125,3 +125,34 @@ def test_awkward_rows(spark):
         cut.setdefault(r["doc_id"], []).append(r)
     assert sum(map(len, cut.values())) == len(rows) and cut[1][0]["n_bytes"] == 0 and cut[8][0]["n_removed"] == cut[8][0]["n_bytes"] == cut[7][0]["n_removed"]
     assert substring.drop_repeats(docs(spark, [])).count() == 0 and suffix.drop_repeats(docs(spark, [])).count() == 0
+
+
+def test_bounds_of_sorted_pairs():
+    rng = np.random.default_rng(5)
+    one, two = rng.integers(0, 9, 300).astype(np.uint64), rng.integers(0, 5, 300).astype(np.uint32)
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    pairs = list(zip(one.tolist(), two.tolist()))
+    f, s = rng.integers(0, 11, 80).astype(np.uint64), rng.integers(0, 6, 80).astype(np.uint32)
+    import bisect
+
+    assert suffix._bound(one, two, f, s, False).tolist() == [bisect.bisect_left(pairs, p) for p in zip(f.tolist(), s.tolist())]
+    assert suffix._bound(one, two, f, s, True).tolist() == [bisect.bisect_right(pairs, p) for p in zip(f.tolist(), s.tolist())]
+
+
+def test_parts_of_a_common_anchor_are_dealt_to_tasks(spark, monkeypatch):
+    """One anchor everywhere: its regions lie in several suffix shards, which an exchange by slice and part spreads."""
+    plans, plain = [], suffix.materialise
+
+    def noted(df, label="stage"):
+        if label == "suffixes":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(suffix, "materialise", noted)
+    common = "the same opening of every text, long enough to hold an anchor of its own, over and over. " * 4
+    rows = [(i, f"{common} and then {prose(i, 40)}") for i in range(60)]
+    given = docs(spark, rows).repartition(3)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix.drop_repeats(given, suffix_bytes=2_000).collect()}
+    assert all(n >= len(common) for n in got.values()) and len(got) == 60
+    assert "part#" in plans[0][plans[0].index("Exchange hashpartitioning(slice") :].split("]")[0]
