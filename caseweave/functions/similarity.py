@@ -1,22 +1,9 @@
-"""String similarity and an exact similarity join that never pairs a whole block."""
+"""Edit similarity and an exact similarity join that meets on segments of the texts."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MIN_CUTOFF = 0.8
-
-
-@F.pandas_udf(T.DoubleType())
-def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio 2M / (|a| + |b|) of the standard library."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -25,81 +12,68 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
-def _least_shared_bigrams(length: Column, cutoff: float, measure: str) -> Column:
-    """Bigrams a string must share with any partner that reaches the cutoff.
-
-    block: the partner differs by at most (1-c)(|a|+|b|) single insertions and
-    deletions; a deletion removes at most two bigrams of a, an insertion one.
-    edit: at most (1-c)max(|a|,|b|) edits, each removing at most two bigrams.
-    """
-    slack = 1 - cutoff
-    if measure == "block":
-        low, high = F.ceil(length * (cutoff / (2 - cutoff)) - 1e-9), F.floor(length * ((2 - cutoff) / cutoff) + 1e-9)
-
-        def need(other: Column) -> Column:
-            edits = F.floor((length + other) * slack + 1e-9)
-            edits = edits - F.pmod(edits - F.abs(length - other), F.lit(2))
-            deleted = (edits + length - other) / 2
-            inserted = (edits - length + other) / 2
-            return length - 1 - 2 * deleted - inserted
-    else:
-        low, high = F.ceil(length * cutoff - 1e-9), F.floor(length / cutoff + 1e-9)
-
-        def need(other: Column) -> Column:
-            longer = F.greatest(length, other)
-            return longer - 1 - 2 * F.floor(longer * slack + 1e-9)
+def _edits(longer: Column, cutoff: float) -> Column:
+    """Edits that two texts may differ by, the longer one having so many characters."""
+    return F.floor(longer * (1 - cutoff) + 1e-9).cast("int")
 
-    return F.array_min(F.transform(F.sequence(low.cast("int"), high.cast("int")), lambda o: need(o).cast("int")))
 
+def _borders(length: Column, edits: Column, number: Column) -> tuple[Column, Column]:
+    """(characters before, length) of segment ``number`` (from 0) of a text cut into ``edits`` + 1 nearly equal ones."""
+    size, longer = F.floor(length / (edits + 1)).cast("int"), F.pmod(length, edits + 1)
+    short = edits + 1 - longer
+    return number * size + F.greatest(F.lit(0), number - short), size + (number >= short).cast("int")
 
-def _prefix_tokens(names: DataFrame, frequencies: DataFrame, cutoff: float, measure: str) -> DataFrame:
-    """(block, text, token) for the rarest bigrams of each text.
 
-    Two texts that reach the cutoff share at least one token of these prefixes.
-    """
-    ranked = _tokens(names).join(frequencies, "gram").withColumn(
-        "_rk", F.row_number().over(W.partitionBy("block", "text").orderBy("freq", "gram", "nth"))
-    )
-    keep = (F.length("text") - 1) - _least_shared_bigrams(F.length("text"), cutoff, measure) + 1
-    return ranked.where(F.col("_rk") <= keep).select("block", "text", F.concat_ws("#", "gram", "nth").alias("token"))
-
-
-def _tokens(names: DataFrame) -> DataFrame:
-    """Bigrams numbered by occurrence, so that repeated bigrams count as a multiset."""
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2)))
-    return (
-        names.where(F.length("text") >= 2)
-        .withColumn("grams", grams)
-        .select("block", "text", "grams", F.posexplode("grams").alias("pos", "gram"))
-        .withColumn("nth", F.size(F.filter(F.slice("grams", F.lit(1), F.col("pos") + 1), lambda g: g == F.col("gram"))))
-        .select("block", "text", "gram", "nth")
+def _segments(names: DataFrame, cutoff: float) -> DataFrame:
+    """(block, text, n, edits, number, segment): the segments of each text, for every number of edits it may be asked for."""
+    n = F.length("text")
+    wide = names.withColumn("n", n).withColumn(
+        "edits", F.explode(F.filter(F.sequence(_edits(n, cutoff), _edits(F.floor(n / cutoff + 1e-9), cutoff)), lambda e: e > 0))
     )
+    each = wide.withColumn("number", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+    before, size = _borders(F.col("n"), F.col("edits"), F.col("number"))
+    return each.withColumn("segment", F.substring(F.col("text"), before + 1, size))
 
 
-def similar_text_pairs(left: DataFrame, right: DataFrame, cutoff: float = 0.82, measure: str = "block") -> DataFrame:
-    """(block, a, b, score) for distinct texts of the same block with score >= cutoff.
+def _substrings(names: DataFrame, cutoff: float, strictly: bool) -> DataFrame:
+    """(block, text, n, edits, number, segment): what a partner of ``n`` characters, not longer than the text, may have as segments.
 
-    ``left`` and ``right`` carry (block, text). Candidates come from an equi join on
-    rare bigrams (exact prefix filter), then lengths, then the real score. For the
-    block measure the score is ratio(a, b) with a from the left side.
+    Of a partner within ``edits`` edits one segment is unchanged, and of the edits at most its
+    number lie before it and the rest behind it, so it stands at most that far from its place.
+    """
+    own = F.length("text")
+    wide = names.withColumn("edits", _edits(own, cutoff)).where("edits > 0")
+    least, most = F.ceil(own * cutoff - 1e-9).cast("int"), own - (1 if strictly else 0)
+    each = wide.where(least <= most).withColumn("n", F.explode(F.sequence(least, most))).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+    before, size = _borders(F.col("n"), F.col("edits"), F.col("number"))
+    left, right = F.col("number"), F.col("edits") - F.col("number")
+    longer = own - F.col("n")
+    low = F.greatest(F.lit(0), before - left, before + longer - right)
+    high = F.least(own - size, before + left, before + longer + right)
+    placed = each.withColumns({"low": low, "high": high, "size": size}).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
+    return placed.withColumn("segment", F.substring(F.col("text"), F.col("at") + 1, F.col("size"))).select("block", "text", "n", "edits", "number", "segment").distinct()
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """(block, a, b): pairs of different texts of a block that hold a common segment where a match may have one."""
+    key = ["block", "n", "edits", "number", "segment"]
+    short_left = _segments(left, cutoff).withColumnRenamed("text", "a").join(_substrings(right, cutoff, False).withColumnRenamed("text", "b"), key)
+    short_right = _substrings(left, cutoff, True).withColumnRenamed("text", "a").join(_segments(right, cutoff).withColumnRenamed("text", "b"), key)
+    return short_left.select("block", "a", "b").unionByName(short_right.select("block", "a", "b")).where("a != b").distinct()
+
+
+def similar_text_pairs(left: DataFrame, right: DataFrame, cutoff: float = 0.82) -> DataFrame:
+    """(block, a, b, score) for texts of the same block with an edit ratio >= cutoff, equal ones included.
+
+    ``left`` and ``right`` carry (block, text); rows with a null block or text meet nobody. A match
+    differs by at most (1 - cutoff) of the longer length in edits, so of one edit more segments of
+    the shorter text one stands unchanged in the longer one, near its place: block, length, number
+    of the segment and the segment are keys of an equi join, and no block is compared as a whole.
     """
-    if cutoff <= MIN_CUTOFF:
-        raise ValueError(f"cutoff not above {MIN_CUTOFF}: at it, similar texts may share no bigram")
-    if measure not in ("block", "edit"):
-        raise ValueError(f"unknown measure {measure}")
+    if not 0 < cutoff <= 1:
+        raise ValueError("cutoff must be above 0 and at most 1")
     left = left.select("block", "text").where(F.col("text").isNotNull()).distinct()
     right = right.select("block", "text").where(F.col("text").isNotNull()).distinct()
-    frequencies = _tokens(left.unionByName(right)).groupBy("gram").agg(F.count("*").alias("freq"))
-    ratio = cutoff / (2 - cutoff) if measure == "block" else cutoff
-    a = _prefix_tokens(left, frequencies, cutoff, measure).withColumnRenamed("text", "a")
-    b = _prefix_tokens(right, frequencies, cutoff, measure).withColumnRenamed("text", "b")
-    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    candidates = (
-        a.join(b, ["block", "token"])
-        .where((short >= long * ratio - 1e-9) & (F.col("a") != F.col("b")))
-        .select("block", "a", "b").distinct()
-    )
-    score = block_ratio("a", "b") if measure == "block" else edit_ratio(F.col("a"), F.col("b"))
-    near = candidates.withColumn("score", score).where(F.col("score") >= cutoff)
+    near = candidate_pairs(left, right, cutoff).withColumn("score", edit_ratio(F.col("a"), F.col("b"))).where(F.col("score") >= cutoff)
     same = left.join(right, ["block", "text"]).select("block", F.col("text").alias("a"), F.col("text").alias("b"), F.lit(1.0).alias("score"))
     return near.unionByName(same)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.operators.scale import top_per_group
+from caseweave.functions.patterns import BLOCK, find_all
 
 # ---- fixed values ---------------------------------------------------------
 SUPER_PLACE_ALIASES = {
@@ -81,37 +81,11 @@ def clarification(intent: Column, person: Column, place: Column, person_intents:
     )
 
 
-def find_longest_name(df: DataFrame, text: str, names: DataFrame, name: str, out: str, limit: int = 5_000) -> DataFrame:
-    """Longest gazetteer name that occurs in the text, ignoring case.
-
-    A gazetteer of up to ``limit`` names travels as one array literal and is
-    tested inside the projection. A larger one is joined on the text's
-    three-letter shingles, so no text ever meets every name.
-    """
-    distinct = names.select(F.col(name).alias("_name")).where(F.length(F.trim("_name")) > 0).distinct()
-    size = distinct.limit(limit + 1).count()
-    if size <= limit:
-        ordered = distinct.agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct((-F.length("_name")).alias("k"), F.col("_name").alias("n")))),
-                lambda s: s["n"],
-            ).alias("names")
-        ).scalar()
-        hits = F.filter("_names", lambda n: F.contains(F.lower(F.col(text)), F.lower(n)))
-        return df.withColumn("_names", ordered).withColumn(out, F.try_element_at(hits, F.lit(1))).drop("_names")
-    keyed = distinct.withColumn("_q", F.substring(F.lower("_name"), 1, 3))
-    tagged = df.withColumn("_rid", F.xxhash64(text))
-    lowered = F.lower(F.col(text))
-    shingles = tagged.select("_rid", F.col(text).alias("_t")).distinct().withColumn(
-        "_q",
-        F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1))),
-            lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda q: F.substring(F.lower(F.col("_t")), i, q)),
-        )))),
-    )
-    found = shingles.join(keyed, "_q").where(F.contains(F.lower("_t"), F.lower("_name")))
-    best = top_per_group(found, ["_t"], [F.length("_name").desc(), F.col("_name")], 1).select("_t", F.col("_name").alias(out))
-    return df.join(best, F.col(text) == F.col("_t"), "left").select(*df.columns, out)
+def find_longest_name(df: DataFrame, text: str, names: DataFrame, name: str, out: str, block: int = BLOCK) -> DataFrame:
+    """Longest gazetteer name that occurs in the text, ignoring case; of equally long ones the first."""
+    found = find_all(df, text, names, name, "_names", block)
+    ordered = F.array_sort(F.transform("_names", lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n"))))
+    return found.withColumn(out, F.try_element_at(ordered, F.lit(1))["n"]).select(*df.columns, out)
 
 
 def matching_features(*pairs: tuple[Column, str]) -> Column:

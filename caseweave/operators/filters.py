@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.functions.patterns import find_all
 from caseweave.operators.scale import top_per_group
 from caseweave.schemas import ROLE_RANK, TIME_BUCKETS
 
@@ -31,14 +32,12 @@ def filter_cases(df: DataFrame, equals: dict[str, str] | None = None, contains:
 def resolve_names(requests: DataFrame, request: str, names: DataFrame, name: str, key: list[Column], out: str = "resolved") -> DataFrame:
     """Exact match first, else substring match, ignoring case; one winner per request.
 
-    Requests are a handful of user inputs: they travel as one array to the names, so
-    the names table is scanned once and never shuffled as a whole.
+    The names are read once for all requests, which are searched in them together; any number of
+    requests may be asked. A blank request finds nothing.
     """
     asked = requests.select(F.col(request)).distinct()
-    wanted = asked.agg(F.sort_array(F.collect_set(request)).alias("w")).scalar()
     hits = (
-        names.withColumn("_all", wanted)
-        .withColumn("_req", F.explode(F.filter("_all", lambda r: F.contains(F.lower(F.col(name)), F.lower(r))))).drop("_all")
+        find_all(names, name, asked, request, "_all").withColumn("_req", F.explode("_all")).drop("_all")
         .withColumn("_miss", F.when(F.lower(name) == F.lower("_req"), 0).otherwise(1))
     )
     best = top_per_group(hits, ["_req"], [F.col("_miss"), F.col(name), *key], 1, "_rk").drop("_rk", "_miss")

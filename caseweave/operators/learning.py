@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import factorial
-
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -236,10 +234,10 @@ def risk_tiers(scored: DataFrame, probability: str) -> DataFrame:
 
 # A leaf is (value, {feature: (interval low, interval high, weight share)}).
 Leaf = tuple[float, dict[int, tuple[float, float, float]]]
-# A packed tree is (features, low, high) as leaf x slot arrays and its table of Shapley values.
-Packed = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-MAX_SLOTS = 10
-ROWS_AT_ONCE = 1024
+# A packed tree is (features, low, high, share) as leaf x slot arrays, and the leaves' values.
+Packed = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Entries (row x leaf x slot) worked on at a time.
+ENTRIES_AT_ONCE = 2_000_000
 
 
 def forest_leaves(model: PipelineModel, spark) -> tuple[list[list[Leaf]], float]:
@@ -281,51 +279,42 @@ def forest_leaves(model: PipelineModel, spark) -> tuple[list[list[Leaf]], float]
 
 
 def pack_tree(leaves: list[Leaf]) -> Packed:
-    """Leaf boxes as arrays, with Shapley values for every pattern of followed splits.
-
-    A leaf contributes value * prod_j (follows_j or share_j): a product game over the
-    features of its path. Its Shapley values depend on the row only through the bits
-    follows_j, so they are tabulated for all bit patterns, from the coefficients of
-    prod_{j != i} (share_j + follows_j t) and the usual size weights. Leaves with fewer
-    features are filled up with slots that are always followed and change nothing.
-    """
+    """Leaf boxes as arrays, as wide as the longest path. Leaves with fewer features are filled up
+    with slots that are always followed and change nothing."""
     slots = max(1, max(len(box) for _, box in leaves))
-    if slots > MAX_SLOTS:
-        raise ValueError(f"paths over {slots} features: train with a depth of at most {MAX_SLOTS}")
     features = np.zeros((len(leaves), slots), dtype=np.int64)
     low, high, share = np.full(features.shape, -np.inf), np.full(features.shape, np.inf), np.ones(features.shape)
     for row, (_, box) in enumerate(leaves):
         for slot, feature in enumerate(sorted(box)):
             features[row, slot] = feature
             low[row, slot], high[row, slot], share[row, slot] = box[feature]
-    values = np.array([value for value, _ in leaves])[:, None]
-    bits = ((np.arange(2**slots)[:, None] >> np.arange(slots)) & 1).astype(float)
-    sizes = np.array([factorial(k) * factorial(slots - k - 1) / factorial(slots) for k in range(slots)])
-    table = np.empty((len(leaves), 2**slots, slots))
-    for i in range(slots):
-        poly = np.zeros((len(leaves), 2**slots, slots))
-        poly[:, :, 0] = 1.0
-        for j in range(slots):
-            if j != i:
-                grown = poly * share[:, None, j:j + 1]
-                grown[:, :, 1:] += poly[:, :, :-1] * bits[None, :, j:j + 1]
-                poly = grown
-        table[:, :, i] = values * (bits[None, :, i] - share[:, None, i]) * (poly @ sizes)
-    return features, low, high, table
+    return features, low, high, share, np.array([value for value, _ in leaves])
 
 
 def attribute_rows(x: np.ndarray, trees: list[Packed]) -> np.ndarray:
-    """Shapley values of every row, averaged over the trees."""
+    """Shapley values of every row, averaged over the trees.
+
+    A leaf contributes value * prod_j (follows_j or share_j): a product game over the features of
+    its path. The Shapley value of feature i is value * (follows_i - share_i) times the integral
+    over t from 0 to 1 of prod_{j != i} (share_j (1 - t) + follows_j t), as the integrals of
+    t^k (1 - t)^(m - 1 - k) are the weights of the subsets of k among m - 1. The integrand is a
+    polynomial of degree m - 1, which Gauss-Legendre quadrature with m / 2 nodes integrates exactly.
+    """
     phi = np.zeros_like(x)
-    for features, low, high, table in trees:
-        leaf = np.arange(len(features))
-        powers = 1 << np.arange(features.shape[1])
+    for features, low, high, share, values in trees:
+        nodes, weights = np.polynomial.legendre.leggauss(-(-features.shape[1] // 2))
         target = np.zeros((features.size, x.shape[1]))
         target[np.arange(features.size), features.ravel()] = 1.0
-        for start in range(0, len(x), ROWS_AT_ONCE):
-            cells = x[start:start + ROWS_AT_ONCE][:, features]
-            pattern = ((cells > low) & (cells <= high)) @ powers
-            phi[start:start + ROWS_AT_ONCE] += table[leaf, pattern].reshape(len(cells), -1) @ target
+        step = max(1, ENTRIES_AT_ONCE // features.size)
+        for start in range(0, len(x), step):
+            cells = x[start : start + step][:, features]
+            follows = ((cells > low) & (cells <= high)).astype(float)
+            integral = np.zeros_like(follows)
+            for t, w in zip((nodes + 1) / 2, weights / 2):
+                # shares are above 0, so no factor is 0 inside the interval
+                factor = share * (1 - t) + follows * t
+                integral += w * factor.prod(axis=2, keepdims=True) / factor
+            phi[start : start + step] += (values[:, None] * (follows - share) * integral).reshape(len(cells), -1) @ target
     return phi / len(trees)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.functions.similarity import block_ratio, similar_text_pairs
+from caseweave.functions.similarity import similar_text_pairs
 from caseweave.functions.text import normalise_name
 from caseweave.operators.components import connected_components
 from caseweave.operators.scale import global_rank, top_per_group
@@ -15,12 +15,11 @@ MATCH_CUTOFF = 0.82  # fixed values
 BIRTH_YEAR_BAND = 3
 
 
-def match_names(left: DataFrame, right: DataFrame, cutoff: float = MATCH_CUTOFF, measure: str = "block") -> DataFrame:
+def match_names(left: DataFrame, right: DataFrame, cutoff: float = MATCH_CUTOFF) -> DataFrame:
     """Matches (block, name) rows of ``left`` to ``right``: EXACT when exactly one equal
     name exists in the block, else the best similar name of the block at or above the cutoff.
 
-    ``right`` may repeat a name; the lowest ``right_id`` stands for it. A block-measure
-    score is reported as ratio(left, right), while the choice uses ratio(right, left).
+    ``right`` may repeat a name; the lowest ``right_id`` stands for it.
     """
     targets = right.groupBy("block", "name").agg(F.count("*").alias("copies"), F.min("right_id").alias("right_id"))
     exact = left.join(targets.where(F.col("copies") == 1).select("block", "name", "right_id"), ["block", "name"], "left")
@@ -29,11 +28,9 @@ def match_names(left: DataFrame, right: DataFrame, cutoff: float = MATCH_CUTOFF,
     )
     open_rows = exact.where(F.col("right_id").isNull()).drop("right_id")
     pairs = similar_text_pairs(
-        targets.select("block", F.col("name").alias("text")), open_rows.select("block", F.col("name").alias("text")), cutoff, measure
+        targets.select("block", F.col("name").alias("text")), open_rows.select("block", F.col("name").alias("text")), cutoff
     )
     best = top_per_group(pairs, ["block", "b"], [F.col("score").desc(), F.col("a").desc()], 1, "_rk")
-    if measure == "block":
-        best = best.withColumn("score", block_ratio("b", "a"))
     fuzzy = (
         open_rows.join(best.select("block", F.col("b").alias("name"), F.col("a").alias("right_name"), "score"), ["block", "name"])
         .join(targets.select("block", F.col("name").alias("right_name"), "right_id"), ["block", "right_name"])
@@ -71,13 +68,10 @@ def _back_to_rows(appearances: DataFrame, named: DataFrame) -> DataFrame:
     return rows.join(keyed, same).drop("norm", *[f"_{c}" for c in unit])
 
 
-def _links(units: DataFrame, cutoff: float, band: int, measure: str) -> DataFrame:
-    """(earlier, later) unit pairs of a block with similar names and close birth years.
-
-    Names are compared once per block; the score is ratio(later, earlier).
-    """
+def _links(units: DataFrame, cutoff: float, band: int) -> DataFrame:
+    """(earlier, later) unit pairs of a block with similar names and close birth years; names are compared once per block."""
     names = units.select("block", F.col("norm").alias("text")).distinct()
-    pairs = materialise(similar_text_pairs(names, names, cutoff, measure), "namepairs").select("block", "a", "b")
+    pairs = materialise(similar_text_pairs(names, names, cutoff), "namepairs").select("block", "a", "b")
     later = units.select("block", F.col("norm").alias("a"), F.col("birth_year").alias("ly"), F.col("first").alias("later"))
     earlier = units.select("block", F.col("norm").alias("b"), F.col("birth_year").alias("ey"), F.col("first").alias("earlier"))
     # a birth-year bucket of the band's width joins to itself and both neighbours
@@ -91,37 +85,36 @@ def _links(units: DataFrame, cutoff: float, band: int, measure: str) -> DataFram
     )
 
 
-def resolve_greedy(appearances: DataFrame, prefix: str = "ACC", cutoff: float = MATCH_CUTOFF, band: int = BIRTH_YEAR_BAND,
-                   measure: str = "block") -> DataFrame:
+def resolve_greedy(appearances: DataFrame, prefix: str = "ACC", cutoff: float = MATCH_CUTOFF, band: int = BIRTH_YEAR_BAND) -> DataFrame:
     """Entity ids of a first-come greedy clustering, computed in parallel rounds.
 
     Rows come in (case_year, appearance_id) order; a row joins the oldest cluster of
     its block whose founder has a similar name and a birth year within the band,
     else it founds one. A unit without an undecided earlier neighbour founds a
-    cluster, its later neighbours then cannot, and so on until all are decided.
+    cluster, its later neighbours then cannot, and so on until all are decided. Only units
+    that still wait for an earlier one are carried from round to round.
 
     ``appearances``: appearance_id, block, name, birth_year, case_year.
     """
     units = materialise(_units(appearances), "units")
-    links = materialise(_links(units, cutoff, band, measure), "links")
-    open_links, undecided, founders = links, units.select(F.col("first").alias("unit")), None
-    while True:
-        blocked = open_links.select(F.col("later").alias("unit")).distinct()
-        fresh = materialise(undecided.join(blocked, "unit", "left_anti"), "founders")
-        founders = fresh if founders is None else founders.unionByName(fresh)
-        claimed = materialise(
-            open_links.join(fresh.select(F.col("unit").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("unit")).distinct(),
-            "claimed",
-        )
-        decided = fresh.unionByName(claimed)
-        undecided = materialise(undecided.join(decided, "unit", "left_anti"), "undecided")
-        if undecided.isEmpty():
-            break
-        open_links = materialise(
-            open_links.join(decided.select(F.col("unit").alias("earlier")), "earlier", "left_anti")
-            .join(claimed.select(F.col("unit").alias("later")), "later", "left_anti"),
-            "openlinks",
-        )
+    links = materialise(_links(units, cutoff, band), "links")
+    open_links = links
+    fresh = materialise(units.select(F.col("first").alias("unit")).join(links.select(F.col("later").alias("unit")), "unit", "left_anti"), "founders")
+    rounds = [fresh]
+    while not open_links.isEmpty():
+        # per waiting unit: whether a founder of this round claims it, and which earlier ones it still waits for
+        marked = open_links.join(fresh.select(F.col("unit").alias("earlier"), F.lit(True).alias("_founds")), "earlier", "left")
+        claimed = materialise(marked.where("_founds").select(F.col("later").alias("unit")).distinct(), "claimed")
+        left = open_links.join(claimed.select(F.col("unit").alias("later")), "later", "left_anti")
+        gone = fresh.unionByName(claimed).select(F.col("unit").alias("earlier"))
+        next_links = materialise(left.join(gone, "earlier", "left_anti"), "openlinks")
+        free = left.select(F.col("later").alias("unit")).distinct().join(next_links.select(F.col("later").alias("unit")), "unit", "left_anti")
+        fresh = materialise(free, "founders")
+        rounds.append(fresh)
+        open_links = next_links
+    founders = rounds[0]
+    for found in rounds[1:]:
+        founders = founders.unionByName(found)
     founders = materialise(founders, "founders")
     joined = links.join(founders.select(F.col("unit").alias("earlier")), "earlier", "left_semi").groupBy("later").agg(F.min("earlier").alias("owner"))
     owner = units.join(joined, F.col("first") == F.col("later"), "left").join(
@@ -133,13 +126,13 @@ def resolve_greedy(appearances: DataFrame, prefix: str = "ACC", cutoff: float =
     return _back_to_rows(appearances, owner.join(numbered, "owner").drop("owner"))
 
 
-def resolve_components(appearances: DataFrame, cutoff: float = MATCH_CUTOFF, band: int = BIRTH_YEAR_BAND, measure: str = "block") -> DataFrame:
+def resolve_components(appearances: DataFrame, cutoff: float = MATCH_CUTOFF, band: int = BIRTH_YEAR_BAND) -> DataFrame:
     """Order-free variant: entities are connected components of the similarity links.
 
     The entity is named by the smallest first appearance (year, id) of the component.
     """
     units = materialise(_units(appearances), "units")
-    links = _links(units, cutoff, band, measure)
+    links = _links(units, cutoff, band)
     labels = connected_components(
         units.select(F.col("first").alias("id")), links.select(F.col("earlier").alias("a"), F.col("later").alias("b"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseweave.operators.aggregates import highest_tier, precision_recall, transaction_edges
 from caseweave.operators.filters import share, tier, within
 from caseweave.operators.history import with_age
-from caseweave.operators.scale import exact_quantiles, total
+from caseweave.operators.scale import exact_quantiles, quantiles_together, total
 
 # fixed values of the rule engine
 FAN_PERCENTILE = 0.99
@@ -22,12 +22,14 @@ PRIORITY_CUTOFFS = [(6, "HIGH"), (4, "MEDIUM")]
 
 def rule_thresholds(features: DataFrame) -> dict[str, float | None]:
     """Percentiles over positive values only, None without any; the value threshold uses both per-account maxima."""
-    maxima = features.select(F.explode(F.array("max_out_txn", "max_in_txn")).alias("v")).where(F.col("v") > 0)
-    return {
-        "fan_out": exact_quantiles(features.where(F.col("out_degree") > 0), "out_degree", [FAN_PERCENTILE])[0],
-        "fan_in": exact_quantiles(features.where(F.col("in_degree") > 0), "in_degree", [FAN_PERCENTILE])[0],
-        "high_value": exact_quantiles(maxima, "v", [VALUE_PERCENTILE])[0],
-    }
+    def positive(column: str) -> Column:
+        return F.when(F.col(column) > 0, F.col(column))
+
+    found = quantiles_together(features, {
+        "fan_out": (positive("out_degree"), [FAN_PERCENTILE]), "fan_in": (positive("in_degree"), [FAN_PERCENTILE]),
+        "high_value": (F.array(positive("max_out_txn"), positive("max_in_txn")), [VALUE_PERCENTILE]),
+    })
+    return {name: values[0] for name, values in found.items()}
 
 
 def apply_rules(features: DataFrame, thresholds: dict[str, float | None], min_currencies: int = 2) -> DataFrame:
@@ -83,7 +85,8 @@ def case_priority(cases: DataFrame, links: DataFrame, tiers: DataFrame, case: st
         open_cases.join(volumes, place, "left").join(entity_risk, case, "left")
         .withColumns({
             "violent_points": within(F.col(category), violent).cast("int") * 3,
-            "hotspot_points": (F.coalesce("_volume", F.lit(0)) >= p75).cast("int") * 2,
+            # without any known place there is no threshold, and no points for it
+            "hotspot_points": (F.coalesce("_volume", F.lit(0)) >= p75).cast("int") * 2 if p75 is not None else F.lit(0),
             "entity_points": F.coalesce("risk_points", F.lit(0)),
             "highest_tier": F.coalesce("highest_tier", F.lit("LOW")),
         })

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,55 +28,80 @@ def total(df: DataFrame, aggregate: Column) -> Column:
     return df.agg(aggregate.alias("v")).scalar()
 
 
-def exact_quantiles(df: DataFrame, column: str | Column, probs: list[float], gather: int = 1_000_000) -> list[float | None]:
-    """Exact linearly interpolated quantiles of the non-null values.
-
-    Each order statistic is bracketed by a mergeable sketch, pass after pass, until at most
-    ``gather`` values are left around it; these are counted and ranked. The values are written
-    once, so no pass repeats what made them.
+def _sort_keys(values: DataFrame) -> DataFrame:
+    """(name, key) of (name, v): 64-bit integers in the order of the doubles; NaN is the largest, both zeros are one."""
+    def run(batches):
+        for batch in batches:
+            v = batch.column("v").to_numpy(zero_copy_only=False) + 0.0
+            v[np.isnan(v)] = np.nan
+            bits = v.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(bits ^ ((bits >> 63) & np.int64(2**63 - 1)))], ["name", "key"])
+
+    return values.mapInArrow(run, "name string, key long")
+
+
+def _value(key: int) -> float:
+    bits = np.int64(key)
+    return float((bits ^ ((bits >> np.int64(63)) & np.int64(2**63 - 1))).view(np.float64))
+
+
+def _radix_select(keys: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """Order statistics of (name, key) rows, all together, 16 bits in a pass."""
+    # (name, rank) -> (leading bits known so far, rank among the keys that have them)
+    at = {(name, r): (None, r) for name, own in ranks.items() for r in own}
+    for shift in (48, 32, 16, 0):
+        rows = keys
+        if shift < 48:
+            wanted = sorted({(name, lead) for (name, _), (lead, _) in at.items()})
+            asked = F.lit(False)
+            for name in sorted(ranks):
+                leads = [lead for n, lead in wanted if n == name]
+                if leads:
+                    asked = asked | ((F.col("name") == name) & F.shiftright("key", shift + 16).isin(leads))
+            rows = keys.where(asked)
+        held: dict[tuple[str, int | None], list[tuple[int, int]]] = {}
+        for r in rows.groupBy("name", F.shiftright("key", shift).alias("lead")).agg(F.count("*").alias("n")).collect():
+            held.setdefault((r["name"], r["lead"] >> 16 if shift < 48 else None), []).append((r["lead"], r["n"]))
+        for steps in held.values():
+            steps.sort()
+        for (name, rank), (lead, left) in at.items():
+            for step, n in held[name, lead]:
+                if left < n:
+                    break
+                left -= n
+            at[name, rank] = (step, left)
+    return {key: _value(lead) for key, (lead, _) in at.items()}
+
+
+def quantiles_together(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]) -> dict[str, list[float | None]]:
+    """Exact linearly interpolated quantiles of several columns or array columns: name -> (column, probabilities).
+
+    Null values are left out. The values are written once as order-preserving integers; then every
+    order statistic of every column is found together, by histograms of 16 bits in a pass: four
+    passes and at most 65,536 counts for each open statistic, whatever the size of the data.
     """
-    col = F.col(column) if isinstance(column, str) else column
-    values = materialise(df.select(col.cast("double").alias("v")).where(F.col("v").isNotNull()), "values")
-    n = values.count()
-    if n == 0:
-        return [None] * len(probs)
-    positions = [p * (n - 1) for p in probs]
-    ranks = sorted({r for x in positions for r in (int(x), min(int(x) + 1, n - 1))})
-    at = _ranked(values, ranks) if n <= gather else {r: _order_statistic(values, n, r, gather) for r in ranks}
-    return [at[int(x)] + (at[min(int(x) + 1, n - 1)] - at[int(x)]) * (x - int(x)) for x in positions]
-
-
-def _ranked(values: DataFrame, ranks: list[int]) -> dict[int, float]:
-    """Order statistics of a bounded number of values, all in one pass."""
-    steps = values.groupBy("v").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(W.orderBy("v")))
-    found = steps.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))).alias(f"r{r}") for r in ranks]).first()
-    return {r: found[f"r{r}"] for r in ranks}
-
-
-def _order_statistic(values: DataFrame, n: int, rank: int, limit: int) -> float:
-    accuracy = 10_000
-    while n > limit:
-        margin = 2.0 / accuracy
-        share = rank / n
-        lo, hi = values.agg(
-            F.percentile_approx("v", F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin))), F.lit(accuracy)).alias("q")
-        ).first()["q"]
-        below, inside = values.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v").between(lo, hi))).first()
-        if lo == hi and below <= rank < below + inside:
-            return lo
-        if not below <= rank < below + inside or inside == n:
-            # a heavy value at the edge of the bracket: split on it instead
-            pivot = lo if rank < below + inside else hi
-            less, equal = values.agg(F.count_if(F.col("v") < pivot), F.count_if(F.col("v") == pivot)).first()
-            if less <= rank < less + equal:
-                return pivot
-            if rank < less:
-                values, n = values.where(F.col("v") < pivot), less
-            else:
-                values, n, rank = values.where(F.col("v") > pivot), n - less - equal, rank - less - equal
-            continue
-        values, n, rank = values.where(F.col("v").between(lo, hi)), inside, rank - below
-    return _ranked(values, [rank])[rank]
+    def listed(name: str, column: Column) -> Column:
+        multiple = dict(df.select(column.alias("c")).dtypes)["c"].startswith("array")
+        return F.transform(column if multiple else F.array(column), lambda v: F.struct(F.lit(name).alias("name"), v.cast("double").alias("v")))
+
+    entries = [listed(name, column) for name, (column, _) in wanted.items()]
+    values = df.select(F.explode(F.concat(*entries)).alias("e")).select("e.name", "e.v").where(F.col("v").isNotNull())
+    keys = materialise(_sort_keys(values), "values")
+    sizes = {r["name"]: r["n"] for r in keys.groupBy("name").agg(F.count("*").alias("n")).collect()}
+    places = {name: [p * (sizes[name] - 1) for p in probs] for name, (_, probs) in wanted.items() if name in sizes}
+    ranks = {name: sorted({r for x in own for r in (int(x), min(int(x) + 1, sizes[name] - 1))}) for name, own in places.items()}
+    at = _radix_select(keys, ranks) if ranks else {}
+
+    def between(name: str, x: float) -> float:
+        low, high = at[name, int(x)], at[name, min(int(x) + 1, sizes[name] - 1)]
+        return low if low == high or x == int(x) else low + (high - low) * (x - int(x))
+
+    return {name: [between(name, x) for x in places[name]] if name in places else [None] * len(probs) for name, (_, probs) in wanted.items()}
+
+
+def exact_quantiles(df: DataFrame, column: str | Column, probs: list[float]) -> list[float | None]:
+    """Exact linearly interpolated quantiles of the non-null values of one column."""
+    return quantiles_together(df, {"v": (F.col(column) if isinstance(column, str) else column, probs)})["v"]
 
 
 def day_running_sums(df: DataFrame, key: list[str], day: str, order: list[str], sums: dict[str, Column], first_day: str | None = None) -> DataFrame:

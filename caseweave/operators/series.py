@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.operators.scale import join_keys
+
 # fixed order, used to break ties in the back-test error
 MODELS = ["NAIVE", "MOVING_AVERAGE", "LINEAR_TREND"]
 
@@ -24,7 +26,7 @@ def wide_to_series(df: DataFrame, keys: list[str], series: dict[str, list[str]])
 def complete_groups(df: DataFrame, group: list[str], t: str, periods: int) -> DataFrame:
     """Rows of the groups that have exactly ``periods`` distinct periods."""
     full = df.select(*group, t).distinct().groupBy(*group).agg(F.count("*").alias("_k")).where(F.col("_k") == periods)
-    return df.join(full.select(*group), group, "left_semi")
+    return join_keys(df, full, group).where(F.col("_k").isNotNull()).select(*df.columns)
 
 
 def fit_models(df: DataFrame, keys: list[str], t: str, value: str, last: int, window: int = 3, prefix: str = "") -> DataFrame:
@@ -54,7 +56,7 @@ def predicted(model: str, t: Column, prefix: str = "") -> Column:
 def backtest(df: DataFrame, keys: list[str], t: str, value: str, train_end: int, test_end: int) -> DataFrame:
     """Hold-out MAE and MAPE per model, one row per series (columns mae_*, mape_*)."""
     fitted = fit_models(df, keys, t, value, train_end)
-    held = df.where((F.col(t) > train_end) & (F.col(t) <= test_end)).join(fitted, keys)
+    held = join_keys(df.where((F.col(t) > train_end) & (F.col(t) <= test_end)), fitted, keys).where(F.col("last_t").isNotNull())
     measures = []
     for model in MODELS:
         miss = F.abs(F.col(value) - predicted(model, F.col(t)))
@@ -82,7 +84,7 @@ def forecast(df: DataFrame, keys: list[str], t: str, value: str, train_end: int,
     """Select per series on the hold-out, refit on the full history, forecast ``horizon``."""
     chosen = select_model(backtest(df, keys, t, value, train_end, test_end))
     full = fit_models(df, keys, t, value, test_end, prefix="full_")
-    both = chosen.join(full, keys)
+    both = join_keys(chosen, full, keys)
 
     def value_at(period: int) -> Column:
         result = F.lit(None)

@@ -157,8 +157,8 @@ def hotspot_profiles(events: DataFrame, labels: DataFrame, place: str, category:
     )
     profiles = (
         centre.join(radius, "cluster")
-        .join(modal_value(inside, ["cluster"], place, "top_place"), "cluster")
-        .join(value_counts(inside, ["cluster"], category), "cluster")
+        .join(modal_value(inside, ["cluster"], place, "top_place"), "cluster", "left")
+        .join(value_counts(inside, ["cluster"], category), "cluster", "left")
         .join(first_ids(inside, ["cluster"], key), "cluster")
         .select(
             "cluster", "point_count", F.round("clat", 5).alias("centroid_lat"), F.round("clon", 5).alias("centroid_lon"),

@@ -154,17 +154,13 @@ def explained_people(spark, sf):
     return _CACHE[key][1], features
 
 
-@query("ml8_attributions", """SELECT COUNT(DISTINCT entity_id) AS entities, COUNT(DISTINCT entity_id) AS rebuilt, COUNT(DISTINCT entity_id) AS attributed,
-    COUNT(DISTINCT entity_id) > 1 AS differing FROM cases""", ("cases",))
+@query("ml8_attributions", "SELECT DISTINCT entity_id, TRUE AS adds_up, TRUE AS attributed FROM cases", ("cases",))
 def _(spark, sf):
-    """Entities whose base and attributions add up to their probability, that have some, and whether probabilities differ at all."""
+    """For each entity, whether base and attributions add up to its probability, and whether it has any."""
     explained, _ = explained_people(spark, sf)
     total = F.aggregate("phi", F.lit(0.0), lambda s, x: s + x)
     largest = F.aggregate("phi", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
-    return explained.agg(
-        F.count("*").alias("entities"), F.count_if(F.abs(F.col("base_value") + total - F.col("probability")) <= ml.TOLERANCE).alias("rebuilt"),
-        F.count_if(largest > 0).alias("attributed"), (F.max("probability") > F.min("probability")).alias("differing"),
-    )
+    return explained.select("entity_id", (F.abs(F.col("base_value") + total - F.col("probability")) <= ml.TOLERANCE).alias("adds_up"), (largest > 0).alias("attributed"))
 
 
 @query("ml9_top_drivers")

@@ -230,7 +230,7 @@ def flattened(spark, sf) -> tuple[DataFrame, DataFrame]:
         F.col("s_suppkey").alias("appearance_id"), F.col("s_nationkey").cast("string").alias("block"), F.col("s_name").alias("name"),
         (F.lit(1950) + F.col("s_suppkey") % 40).cast("int").alias("birth_year"), F.lit(0).alias("case_year"),
     )
-    entities = materialise(resolve_components(appearances, measure="edit"), "entities").select(F.col("appearance_id").alias("l_suppkey"), "entity_id")
+    entities = materialise(resolve_components(appearances), "entities").select(F.col("appearance_id").alias("l_suppkey"), "entity_id")
     accused = children.join(entities, "l_suppkey")
     links = jn.union_roles(
         (cases(spark, sf), "COMPLAINANT", F.col("case_id"), F.concat(F.lit("CMP-"), F.col("entity_id"))),

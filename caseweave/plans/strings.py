@@ -106,16 +106,7 @@ def _(spark, sf):
     from caseweave.plans.summaries import name_sides
 
     left, right = name_sides(spark, sf)
-    pairs = similarity.similar_text_pairs(left.select("block", F.col("name").alias("text")), right.select("block", F.col("name").alias("text")), 0.82, "edit")
-    return pairs.withColumn("score", F.round("score", 6))
-
-
-@query("fn7_block_ratio")
-def _(spark, sf):
-    from caseweave.plans.summaries import name_sides
-
-    left, right = name_sides(spark, sf)
-    pairs = similarity.similar_text_pairs(left.select("block", F.col("name").alias("text")), right.select("block", F.col("name").alias("text")), 0.82, "block")
+    pairs = similarity.similar_text_pairs(left.select("block", F.col("name").alias("text")), right.select("block", F.col("name").alias("text")), 0.82)
     return pairs.withColumn("score", F.round("score", 6))
 
 
@@ -229,11 +220,11 @@ cte("vocabulary", "SELECT DISTINCT p_name || ' ' || p_brand AS phrase FROM part"
 @query("fn13_longest_name_shingles", """SELECT id, arg_max(phrase, length(phrase) * 10000000 - rk) AS found FROM (SELECT p_partkey AS id, 'seen: ' || p_name || ' ' || p_brand || ', ' || p_type AS text FROM part) t
     LEFT JOIN (SELECT phrase, row_number() OVER (ORDER BY phrase) AS rk FROM vocabulary) ON contains(lower(text), lower(phrase)) GROUP BY id""", ("vocabulary",))
 def _(spark, sf):
-    # limit 0: the join that takes over when a gazetteer is too long for one array
+    # a long gazetteer: several automata
     part = table(spark, sf, "part")
     texts = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("seen: "), F.concat_ws(" ", "p_name", "p_brand"), F.lit(", "), F.col("p_type")).alias("text"))
     names = part.select(F.concat_ws(" ", "p_name", "p_brand").alias("phrase"))
-    return tx.find_longest_name(texts, "text", names, "phrase", "found", limit=0).select("id", "found")
+    return tx.find_longest_name(texts, "text", names, "phrase", "found", block=500).select("id", "found")
 
 
 @query("fn14_clarification", """SELECT turn, CASE WHEN intent IN ('help','unknown') THEN intent WHEN intent IN ('person_dossier','person_risk','person_explain','person_network') AND person IS NULL THEN 'clarify_person'

@@ -110,7 +110,7 @@ def _(spark, sf):
     ROUND(quantile_cont(l_extendedprice, 0.99), 4) AS x99 FROM lineitem, (SELECT 1 AS p) GROUP BY p""")
 def _(spark, sf):
     # a small limit here, so that the bracketing passes run on every scale
-    q = exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.5, 0.98, 0.99], gather=2_000)
+    q = exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.5, 0.98, 0.99])
     return spark.range(1).select(F.lit(1.0).alias("p"), *[F.round(F.lit(v), 4).alias(n) for v, n in zip(q, ("x50", "x98", "x99"))])
 
 
@@ -218,19 +218,14 @@ cte("matched", """SELECT left_id, l.block, l.name, right_id, t.name AS right_nam
 
 @query("jn12_fuzzy_names_edit", "SELECT left_id, block, name, right_id, right_name, match_type, ROUND(score, 6) AS score FROM matched", ("matched",))
 def _(spark, sf):
-    return match_names(*name_sides(spark, sf), measure="edit").withColumn("score", F.round("score", 6))
-
-
-@query("jn12_fuzzy_names_block")
-def _(spark, sf):
-    return match_names(*name_sides(spark, sf), measure="block").withColumn("score", F.round("score", 3))
+    return match_names(*name_sides(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query("ag23_match_summary", """SELECT COUNT(*) AS n_left, COUNT(match_type) AS matched, COUNT(*) FILTER (match_type = 'EXACT') AS exact, COUNT(*) FILTER (match_type = 'FUZZY') AS fuzzy,
     COUNT(*) - COUNT(match_type) AS unmatched, ROUND(COUNT(match_type) / COUNT(*), 4) AS match_rate FROM name_left LEFT JOIN matched USING (left_id)""", ("matched",))
 def _(spark, sf):
     left, right = name_sides(spark, sf)
-    return match_summary(left, match_names(left, right, measure="edit"))
+    return match_summary(left, match_names(left, right))
 
 
 def part_appearances(spark, sf):
@@ -248,12 +243,12 @@ _REACH = "reach(id, root) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT
 
 @query("jn13_entity_components", "SELECT id AS appearance_id, MIN(root) AS entity_id FROM reach GROUP BY id", ("links",), _REACH)
 def _(spark, sf):
-    return resolve_components(part_appearances(spark, sf), measure="edit").select("appearance_id", "entity_id")
+    return resolve_components(part_appearances(spark, sf)).select("appearance_id", "entity_id")
 
 
 @query("ag24_resolution_summary", "SELECT COUNT(*) AS appearances, COUNT(DISTINCT e) AS entities, COUNT(*) - COUNT(DISTINCT e) AS relinks FROM (SELECT id, MIN(root) AS e FROM reach GROUP BY id)", ("links",), _REACH)
 def _(spark, sf):
-    return resolution_summary(resolve_components(part_appearances(spark, sf), measure="edit"))
+    return resolution_summary(resolve_components(part_appearances(spark, sf)))
 
 
 @query("ag26_first_of_group", "SELECT c_nationkey, arg_min(c_name, c_custkey) AS first_name, COUNT(*) AS n FROM customer GROUP BY c_nationkey")
@@ -336,6 +331,6 @@ def _(spark, sf):
 @query("tk11_listing_with_rate", """SELECT left_id, name, match_type, ROUND(COUNT(match_type) OVER () / COUNT(*) OVER (), 4) AS match_rate FROM name_left LEFT JOIN (SELECT left_id, match_type FROM matched) USING (left_id) QUALIFY match_type IS NOT NULL""", ("matched",))
 def _(spark, sf):
     left, right = name_sides(spark, sf)
-    matches = materialise(match_names(left, right, measure="edit"), "matches")
+    matches = materialise(match_names(left, right), "matches")
     rate = match_summary(left, matches).select("match_rate").scalar()
     return matches.select("left_id", "name", "match_type", rate.alias("match_rate")).orderBy("left_id")

@@ -1,9 +1,8 @@
 import random
-from difflib import SequenceMatcher
 
 import pytest
 
-from caseweave.functions.similarity import similar_text_pairs
+from caseweave.functions.similarity import candidate_pairs, similar_text_pairs
 from caseweave.operators.linkage import match_names, resolve_greedy
 
 
@@ -35,19 +34,36 @@ def _edit(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("measure", ["block", "edit"])
-def test_similarity_join_is_exact(spark, measure):
+@pytest.mark.parametrize("cutoff", [0.82, 0.6, 0.95, 1.0])
+def test_similarity_join_is_exact(spark, cutoff):
     left, right = _names(80, 1), _names(80, 2)
-    score = (lambda a, b: SequenceMatcher(None, a, b).ratio()) if measure == "block" else (lambda a, b: 1 - _edit(a, b) / max(len(a), len(b), 1))
-    want = {(a, b) for a in left for b in right if a == b or score(a, b) >= 0.82}
+    want = {(a, b) for a in left for b in right if a == b or 1 - _edit(a, b) / max(len(a), len(b), 1) >= cutoff}
 
     def frame(names):
         return spark.createDataFrame([("k", n) for n in names], "block string, text string")
 
-    got = {(r.a, r.b) for r in similar_text_pairs(frame(left), frame(right), 0.82, measure).collect()}
-    assert got == want
+    got = [(r.a, r.b) for r in similar_text_pairs(frame(left), frame(right), cutoff).collect()]
+    assert set(got) == want and len(got) == len(want)
     with pytest.raises(ValueError):
-        similar_text_pairs(frame(left), frame(right), 0.5, measure)
+        similar_text_pairs(frame(left), frame(right), 0.0)
+
+
+def test_texts_of_any_script_and_length(spark):
+    rng = random.Random(4)
+    names = ["", "é", "ßß", "日本語日本語", "日本語日本", "\U0001f600" * 7, "\U0001f600" * 6, "x" * 300, "x" * 290 + "y" * 10] + ["".join(rng.choices("abé日", k=n)) for n in range(1, 40)]
+    frame = spark.createDataFrame([("k", n) for n in names] + [("k", None), (None, "x")], "block string, text string")
+    want = {(a, b) for a in names for b in names if a == b or 1 - _edit(a, b) / max(len(a), len(b), 1) >= 0.82}
+    assert {(r.a, r.b) for r in similar_text_pairs(frame, frame).collect()} == want
+
+
+def test_candidates_grow_slower_than_the_pairs_of_a_block(spark):
+    rng = random.Random(6)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=rng.randrange(12, 28))) for _ in range(3000)]
+    counts = []
+    for n in (300, 3000):
+        frame = spark.createDataFrame([("k", x) for x in names[:n]], "block string, text string")
+        counts.append(candidate_pairs(frame, frame, 0.82).count())
+    assert counts[1] < 0.01 * 3000**2, counts
 
 
 def test_greedy_resolution_matches_first_come_clustering(spark):
@@ -59,7 +75,7 @@ def test_greedy_resolution_matches_first_come_clustering(spark):
     for i, block, name, year, _ in sorted(rows, key=lambda r: (r[4], r[0])):
         norm = " ".join(name.lower().split())
         hit = next((c for c in clusters.setdefault(block, []) if abs(c[1] - year) <= 3 and (
-            norm == c[0] or SequenceMatcher(None, norm, c[0]).ratio() >= 0.82)), None)
+            norm == c[0] or 1 - _edit(norm, c[0]) / max(len(norm), len(c[0]), 1) >= 0.82)), None)
         if hit is None:
             count += 1
             hit = (norm, year, f"ACC-{count:06d}")

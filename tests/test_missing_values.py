@@ -5,9 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from caseweave.functions import geo, similarity
+from caseweave.functions import geo, patterns
+from caseweave.functions import text as tx
 from caseweave.operators import aggregates as ag
-from caseweave.operators import graph, history, learning, risk, scale
+from caseweave.operators import graph, history, learning, risk, scale, series, spatial
 from caseweave.session import scratch_path
 from caseweave.sources import readers, sinks
 
@@ -111,10 +112,41 @@ def test_carry_forward_and_running_sums_keep_missing_keys(spark):
     assert sums == {(None, 0): 1, (None, 1): 2, ("k", 0): 1, ("k", 1500): 2}
 
 
-def test_the_similarity_cutoff_must_be_above_its_bound(spark):
-    names = spark.createDataFrame([("x", "ab"), ("x", "axb")], "block string, text string")
-    with pytest.raises(ValueError):
-        similarity.similar_text_pairs(names, names, 0.8, "edit")
+def test_series_of_a_missing_key_are_forecast(spark):
+    rows = [(k, "TOTAL", 2000 + i, float(v)) for k in ("p", None) for i, v in enumerate([1, 2, 3, 4, 5, 6])] + [(None, "SHORT", 2000, 1.0)]
+    df = spark.createDataFrame(rows, "place string, series string, t int, value double")
+    whole = series.complete_groups(df, ["place", "series"], "t", 6)
+    assert whole.columns == df.columns and whole.count() == 12
+    got = series.forecast(whole, ["place", "series"], "t", "value", 2003, 2005, [2006]).collect()
+    assert {(r["place"], r["selected_model"], r["forecast_2006"]) for r in got} == {("p", "LINEAR_TREND", 7.0), (None, "LINEAR_TREND", 7.0)}
+
+
+def test_clusters_without_place_or_category_keep_their_profile(spark):
+    points = spark.createDataFrame([(i, 10.0, 20.0 + i / 1e4, None, None) for i in range(6)] + [(9 + i, 50.0, 20.0 + i / 1e4, "x", "c") for i in range(6)], "k long, lat double, lon double, place string, cat string")
+    profiles, _ = spatial.hotspot_profiles(points, spatial.density_clusters(points, 25.0, 5), "place", "cat", "k")
+    got = {r["centroid_lat"]: r for r in profiles.collect()}
+    assert set(got) == {10.0, 50.0} and got[10.0]["point_count"] == 6 and got[10.0]["top_place"] is None and got[50.0]["top_place"] == "x"
+
+
+def test_priority_without_any_known_place(spark):
+    cases = spark.createDataFrame([(1, None, "A", "O", day(0))], "case_id long, place string, category string, status string, d date")
+    links = spark.createDataFrame([(1, 7)], "case_id long, entity long")
+    tiers = spark.createDataFrame([(7, "HIGH")], "entity long, risk_tier string")
+    row = risk.case_priority(cases, links, tiers, "case_id", "place", "category", "status", "d", "entity", ["A"], ["O"], 180).first()
+    assert row["priority_score"] == 5 and row["hotspot_points"] == 0 and row["priority_tier"] == "MEDIUM"
+
+
+def test_searched_patterns_by_brute_force(spark):
+    texts = [(1, "Nation_12 and NATION_1"), (2, None), (3, ""), (4, "é İstanbul ß"), (5, "aaa"), (6, "nothing")]
+    names = [("nation_1",), ("NATION_12",), ("Nation_12",), ("É",), ("a",), ("aa",), ("  ",), (None,), ("istanbul",)]
+    df, given = spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame(names, "n string")
+    want = {(r["i"], r["n"]) for r in df.crossJoin(given.where("length(trim(n)) > 0")).where(F.contains(F.lower("t"), F.lower("n"))).collect()}
+    for block in (2, 100):
+        found = patterns.find_all(df, "t", given, "n", "hits", block).collect()
+        assert {(r["i"], n) for r in found for n in r["hits"] or []} == want and [r["hits"] for r in found if r["i"] == 2] == [None]
+    longest = {r["i"]: r["x"] for r in tx.find_longest_name(df, "t", given, "n", "x").collect()}
+    assert longest[1] == "NATION_12" and longest[5] == "aa" and longest[2] is longest[3] is longest[6] is None
+    assert patterns.find_all(df, "t", given.limit(0), "n", "hits").where("size(hits) = 0").count() == 5
 
 
 def test_communities_end_where_no_round_raises_modularity(spark):

@@ -177,3 +177,21 @@ def test_severity_tiers_rank_by_score(spark):
     out = {r.place: r for r in ml.severity_tiers(df, ["place"], "n", "v", ["n", "v", "w"], 3).collect()}
     assert [out[f"p{i}"].severity_tier for i in range(9)] == ["LOW"] * 3 + ["MEDIUM"] * 3 + ["HIGH"] * 3
     assert ml.severity_tiers(df.limit(2), ["place"], "n", "v", ["n", "v", "w"], 3).count() == 0
+
+
+def test_attributions_of_deep_paths(spark):
+    """Leaves on paths of 16 features add up to the value of the box a row falls in, and agree with all subsets on a short path."""
+    rng = np.random.default_rng(8)
+    leaves = [(float(rng.random()), {f: (0.3, 1.0, float(rng.uniform(0.2, 0.9))) for f in range(16)}), (0.4, {0: (-np.inf, 0.3, 0.5), 3: (0.1, 0.9, 0.25)})]
+    x = rng.random((50, 16))
+    phi = ml.attribute_rows(x, [ml.pack_tree(leaves)])
+
+    def value(row, known):
+        return sum(v * np.prod([float(lo < row[f] <= hi) if f in known else s for f, (lo, hi, s) in box.items()]) for v, box in leaves)
+
+    for row, p in zip(x, phi):
+        assert p.sum() == pytest.approx(value(row, set(range(16))) - value(row, set()))
+    both = [(0.4, {0: (-np.inf, 0.3, 0.5), 3: (0.1, 0.9, 0.25)})]
+    one = ml.attribute_rows(x[:1], [ml.pack_tree(both)])[0, 0]
+    a, b = (float(lo < x[0][f] <= hi) for f, (lo, hi, _) in both[0][1].items())
+    assert one == pytest.approx(0.4 * ((a - 0.5) * 0.25 + (a * b - 0.5 * b)) / 2)

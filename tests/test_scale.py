@@ -12,16 +12,31 @@ from caseweave.operators.graph import cooccurrence
 from caseweave.operators.history import percentile_rank
 
 
-@pytest.mark.parametrize("kind", ["spread", "ties"])
-def test_exact_quantiles_with_bracketing(spark, kind):
+@pytest.mark.parametrize("kind", ["spread", "ties", "tiny"])
+def test_exact_quantiles(spark, kind):
     rng = random.Random(7)
-    values = [rng.gauss(0, 100) for _ in range(5000)] if kind == "spread" else [float(rng.choice([1, 1, 1, 2, 5, 9])) for _ in range(5000)]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = scale.exact_quantiles(df, "v", [0.0, 0.5, 0.98, 0.99, 1.0], gather=100)
+    draw = {"spread": lambda: rng.gauss(0, 100), "ties": lambda: float(rng.choice([1, 1, 1, 2, 5, 9])), "tiny": lambda: rng.choice([-1, 1]) * 10.0 ** rng.randrange(-300, 300)}[kind]
+    values = [draw() for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    got = scale.exact_quantiles(df, "v", [0.0, 0.5, 0.98, 0.99, 1.0])
     assert got == pytest.approx(list(np.quantile(values, [0.0, 0.5, 0.98, 0.99, 1.0])), rel=1e-12)
     assert scale.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
 
 
+def test_quantiles_of_several_columns_in_the_same_passes(spark):
+    rows = [(i, float(-i), [float(i), None, 1000.0 + i]) for i in range(101)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "a long, b double, c array<double>")
+    got = scale.quantiles_together(df, {"a": (F.col("a"), [0.0, 0.25, 1.0]), "b": (F.col("b"), [0.1]), "c": (F.col("c"), [0.5]), "none": (F.when(F.col("a") > 1000, F.col("a")), [0.5])})
+    assert got == {"a": [0.0, 25.0, 100.0], "b": [-90.0], "c": [550.0], "none": [None]}
+
+
+def test_order_of_special_values(spark):
+    values = [float("-inf"), -1.0, -0.0, 0.0, 5e-324, 1.0, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values[::-1]], "v double")
+    got = scale.exact_quantiles(df, "v", [i / 7 for i in range(7)])
+    assert got == values[:7] and np.isnan(scale.exact_quantiles(df, "v", [1.0])[0])
+
+
 def _membership(seed):
     rng = random.Random(seed)
     rows = {(g, rng.randrange(40)) for g in range(60) for _ in range(rng.randrange(1, 5))}
