@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil, log, log2
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.operators.scale import group_pairs, top_per_group
+from caseweave.operators.components import connected_components
+from caseweave.operators.scale import global_rank, group_pairs, top_per_group
 from caseweave.session import materialise
 
 
@@ -113,78 +116,163 @@ def ego_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def shortest_paths(arcs: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
+def shortest_paths(arcs: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Unweighted shortest path for each (source, target) of a pairs table.
 
-    ``arcs`` (id, other) are directed; pass ``both_ways(edges)`` for an undirected
-    graph. All searches advance together from their targets, one join per hop, until
-    every source is met or nothing new is reached. A reached node keeps its path to
-    the target; among equal paths the one with the smallest next node at each hop.
+    ``arcs`` (id, other) are directed; pass ``both_ways(edges)`` for an undirected graph. Returns
+    (source, target, hops, found), one row per distinct pair, and (source, target, hop, id), the
+    nodes of each path found. Among equal paths the one with the smallest next node at each hop.
+
+    All searches advance together, in turn from the sources and from the targets, until the two
+    sides of a pair meet, so no side goes deeper than half the way. A reached node is a row with at
+    most a pointer to the next node; searches that share an end share their rows. Paths are
+    rebuilt from the places where the sides met: level by level to the nodes that lie between, and
+    then by joining pointers to themselves, each time twice as far.
     """
     pairs = materialise(pairs.select("source", "target").distinct(), "pathpairs")
     known = arcs.select("id").unionByName(arcs.select(F.col("other").alias("id"))).distinct()
-    askable = pairs.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
-    waiting = materialise(askable, "waiting")
-    level = waiting.select("target", F.col("target").alias("id"), F.array("target").alias("path")).distinct()
-    level, visited, answers = materialise(level, "bfs"), None, []
+    waiting = materialise(pairs.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi"), "waiting")
+    ahead = [materialise(waiting.select(F.col("source").alias("root"), F.col("source").alias("id")).distinct(), "ahead")]
+    behind = [materialise(waiting.select(F.col("target").alias("root"), F.col("target").alias("id")).distinct(), "behind")]
+    met: dict[tuple[int, int], DataFrame] = {}
     while True:
-        here = waiting.join(level.withColumnRenamed("id", "source"), ["target", "source"])
-        answers.append(materialise(here.select("source", "target", "path"), "answers"))
-        waiting = materialise(waiting.join(answers[-1], ["source", "target"], "left_anti"), "waiting")
-        hops = len(answers) - 1
+        here = waiting.join(ahead[-1].withColumnRenamed("root", "source"), "source").join(behind[-1].select(F.col("root").alias("target"), "id"), ["target", "id"])
+        here = materialise(here.select("source", "target", "id"), "met")
+        hops = len(ahead) + len(behind) - 2
+        if not here.isEmpty():
+            met[len(ahead) - 1, len(behind) - 1] = here
+            waiting = materialise(waiting.join(here, ["source", "target"], "left_anti"), "waiting")
         if waiting.isEmpty() or (max_hops is not None and hops >= max_hops):
             break
-        seen = level.select("target", "id")
-        visited = seen if visited is None else visited.unionByName(seen)
-        step = (
-            level.join(waiting.select("target").distinct(), "target", "left_semi")
-            .join(arcs.select(F.col("id").alias("prev"), "other"), F.col("id") == F.col("other"))
-            .groupBy("target", "prev").agg(F.min_by("path", "id").alias("path"))
-            .select("target", F.col("prev").alias("id"), F.concat(F.array("prev"), "path").alias("path"))
-        )
-        level = materialise(step.join(visited, ["target", "id"], "left_anti"), "bfs")
-        if level.isEmpty():
+        forward = len(ahead) <= len(behind)
+        levels, end = (ahead, "source") if forward else (behind, "target")
+        level = levels[-1].join(waiting.select(F.col(end).alias("root")).distinct(), "root", "left_semi")
+        step = arcs.select("id", F.col("other").alias("to")) if forward else arcs.select(F.col("other").alias("id"), F.col("id").alias("to"))
+        fresh = level.join(step, "id").groupBy("root", F.col("to").alias("id"))
+        fresh = fresh.agg(F.lit(0).alias("_")).drop("_") if forward else fresh.agg(F.min("id").alias("onward"))
+        for older in levels:
+            fresh = fresh.join(older.select("root", "id"), ["root", "id"], "left_anti")
+        levels.append(materialise(fresh, "ahead" if forward else "behind"))
+        # a search with nothing new has seen all it can reach
+        waiting = materialise(waiting.join(levels[-1].select(F.col("root").alias(end)).distinct(), end, "left_semi"), "waiting")
+        if waiting.isEmpty():
             break
-    found = answers[0]
-    for answer in answers[1:]:
-        found = found.unionByName(answer)
-    found = found.withColumn("hops", F.size("path") - 1)
-    return pairs.join(found, ["source", "target"], "left").select("source", "target", "hops", "path", F.col("hops").isNotNull().alias("found"))
-
-
-def path_hops(paths: DataFrame) -> DataFrame:
-    """(source, target, hop, from_id, to_id): the single hops of each path."""
-    steps = F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("from_id"), F.slice("path", F.lit(2), F.size("path") - 1).alias("to_id"))
-    return paths.where(F.col("hops") > 0).select("source", "target", F.posexplode(steps).alias("hop", "s")).select(
-        "source", "target", "hop", F.col("s.from_id").alias("from_id"), F.col("s.to_id").alias("to_id")
-    )
-
-
-def betweenness(edges: DataFrame, batch: int | None = None) -> DataFrame:
+    key = ["source", "target"]
+    hops = None
+    for (i, j), here in met.items():
+        own = here.select(*key).distinct().withColumn("hops", F.lit(i + j))
+        hops = own if hops is None else hops.unionByName(own)
+    empty = pairs.limit(0)
+    hops = empty.withColumn("hops", F.lit(0)) if hops is None else materialise(hops, "hops")
+    answers = pairs.join(hops, key, "left").select(*key, "hops", F.col("hops").isNotNull().alias("found"))
+    pointers = _pointers(arcs, ahead, behind, met)
+    nodes = hops.select(*key, F.lit(0).alias("hop"), F.col("source").alias("id"))
+    jumps, longest = [pointers], max((i + j for i, j in met), default=0)
+    while pointers is not None and 2 ** len(jumps) <= longest:
+        last = jumps[-1]
+        jumps.append(materialise(last.join(last.select(*key, F.col("onward").alias("to"), F.col("id").alias("onward")), [*key, "onward"]).select(*key, "id", F.col("to").alias("onward")), "jumps"))
+    for k in reversed(range(len(jumps) if pointers is not None else 0)):
+        nodes = materialise(nodes.unionByName(nodes.join(jumps[k], [*key, "id"]).select(*key, (F.col("hop") + 2**k).alias("hop"), F.col("onward").alias("id"))), "pathnodes")
+    return answers, nodes
+
+
+def _pointers(arcs: DataFrame, ahead: list[DataFrame], behind: list[DataFrame], met: dict[tuple[int, int], DataFrame]) -> DataFrame | None:
+    """(source, target, id, onward): the smallest next node of every node that shortest paths of a pair may use."""
+    out, key = None, ["source", "target"]
+    here = None
+    for i in range(max((i for i, _ in met), default=0), 0, -1):
+        for (reached, _), own in met.items():
+            if reached == i:
+                here = own if here is None else here.unionByName(own)
+        back = here.join(arcs.select(F.col("id").alias("before"), F.col("other").alias("id")), "id").join(ahead[i - 1].select(F.col("root").alias("source"), F.col("id").alias("before")), ["source", "before"])
+        step = materialise(back.groupBy(*key, F.col("before").alias("id")).agg(F.min("id").alias("onward")), "pointers")
+        out = step if out is None else out.unionByName(step)
+        here = step.select(*key, "id")
+    here = None
+    for j in range(max((j for _, j in met), default=0), 0, -1):
+        for (_, reached), own in met.items():
+            if reached == j:
+                here = own if here is None else here.unionByName(own)
+        step = materialise(here.distinct().join(behind[j].select(F.col("root").alias("target"), "id", "onward"), ["target", "id"]).select(*key, "id", "onward"), "pointers")
+        out = step if out is None else out.unionByName(step)
+        here = step.select(*key, F.col("onward").alias("id"))
+    return out
+
+
+def path_hops(nodes: DataFrame) -> DataFrame:
+    """(source, target, hop, from_id, to_id): the single hops of the paths whose nodes are given."""
+    key = ["source", "target", "hop"]
+    return nodes.withColumnRenamed("id", "from_id").join(nodes.select("source", "target", (F.col("hop") - 1).alias("hop"), F.col("id").alias("to_id")), key).select(*key, "from_id", "to_id")
+
+
+def path_texts(nodes: DataFrame, separator: str = ">") -> DataFrame:
+    """(source, target, path): the nodes of each path in order, as one text; as long as the path."""
+    listed = nodes.groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("hop", "id"))).alias("nodes"))
+    return listed.select("source", "target", F.array_join(F.transform("nodes", lambda n: n["id"].cast("string")), separator).alias("path"))
+
+
+#: Rows (source and node) that the searches of one batch of sources may hold at a time.
+STATE_ROWS = 200_000_000
+
+
+def betweenness(edges: DataFrame, state_rows: int = STATE_ROWS) -> DataFrame:
     """(id, betweenness): exact unweighted betweenness, normalised by (n-1)(n-2)/2.
 
-    All sources of a batch advance level by level: one join and one aggregation per
+    Sources are worked through in batches, so that the rows for each source and node stay within
+    ``state_rows`` at any size of the graph; each batch adds its dependencies into one table of
+    nodes. All sources of a batch advance level by level: one join and one aggregation per
     level count shortest paths, then the dependencies flow back the same way. A node
     next to level l lies on level l-1, l or l+1, so a new level is only compared
     with the last two. Levels are written to the shared folder.
     """
-    nodes = materialise(node_set(edges), "nodes")
-    arcs = materialise(both_ways(edges), "arcs")
-    n = nodes.count()
+    nodes, arcs, n = _centre_tables(edges)
     if n < 3:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    batches = 1 if batch is None else -(-n // batch)
-    totals = None
+    batches = max(1, -(-n * n // state_rows))
+    sums = nodes.select("id", F.lit(0.0).alias("s"))
     for b in range(batches):
-        sources = nodes if batches == 1 else nodes.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b)
-        part = _dependencies(sources, arcs)
-        totals = part if totals is None else totals.unionByName(part)
-    sums = totals.groupBy("id").agg(F.sum("delta").alias("s"))
-    scale = 1.0 / ((n - 1) * (n - 2))
-    return nodes.join(sums, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("betweenness"))
+        part = _dependencies(nodes.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b), arcs)
+        sums = materialise(sums.unionByName(part.select("id", F.col("delta").alias("s"))).groupBy("id").agg(F.sum("s").alias("s")), "dependency")
+    return sums.select("id", (F.col("s") / ((n - 1) * (n - 2))).alias("betweenness"))
+
+
+def betweenness_sample(edges: DataFrame, error: float = 0.01, failure: float = 0.01, first: int = 64) -> DataFrame:
+    """(id, betweenness, bound, sources): betweenness estimated from a growing sample of sources.
+
+    A source's dependency on a node, divided by n - 2, lies between 0 and 1, and its mean over all
+    sources is the node's betweenness (but for the factor n / (n - 1)). Sources are drawn in the
+    order of a hash, twice as many in all from round to round, until every node's bound is within
+    ``error`` or all sources are used. ``bound`` is the empirical Bernstein bound: with a
+    probability of 1 - ``failure`` no node in any round is further off. 0 when all are used.
+    """
+    nodes, arcs, n = _centre_tables(edges)
+    if n < 3:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("bound"), F.lit(n).alias("sources"))
+    drawn = materialise(global_rank(nodes, [F.xxhash64("id", F.lit(17)), F.col("id")], "place"), "drawn")
+    rounds = max(1, ceil(log2(n / first)) + 1) if n > first else 1
+    share = log(3.0 * n * rounds / failure)
+    sums = nodes.select("id", F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    used, size = 0, min(first, n)
+    while True:
+        part = _dependencies(drawn.where((F.col("place") > used) & (F.col("place") <= size)).select("id"), arcs)
+        sums = materialise(sums.unionByName(part.select("id", F.col("delta").alias("s"), F.col("squares").alias("q"))).groupBy("id").agg(F.sum("s").alias("s"), F.sum("q").alias("q")), "sampled")
+        used = size
+        mean = F.col("s") / (n - 2) / used
+        spread = F.greatest(F.lit(0.0), F.col("q") / (n - 2) ** 2 / used - mean * mean)
+        bound = F.lit(0.0) if used == n else (F.sqrt(2 * spread * share / used) + 3 * share / used) * (n / (n - 1))
+        found = sums.select("id", (mean * (n / (n - 1))).alias("betweenness"), bound.alias("bound"), F.lit(used).alias("sources"))
+        if used == n or found.agg(F.max("bound")).first()[0] <= error:
+            return found
+        size = min(n, 2 * used)
+
+
+def _centre_tables(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    nodes = materialise(node_set(edges), "nodes")
+    return nodes, materialise(both_ways(edges), "arcs"), nodes.count()
 
 
 def _dependencies(sources: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(id, delta, squares): the sums of the sources' dependencies on each node, and of their squares."""
     level = materialise(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")), "sigma")
     levels = [level]
     while True:
@@ -197,7 +285,7 @@ def _dependencies(sources: DataFrame, arcs: DataFrame) -> DataFrame:
         levels.append(level)
     # a node of the last level gets no dependency back
     current = levels[-1].withColumn("delta", F.lit(0.0))
-    summed = []
+    result = levels[0].select("id", F.lit(0.0).alias("delta"), F.lit(0.0).alias("squares"))
     for upper in reversed(levels[:-1]):
         share = current.select("s", F.col("id").alias("below"), ((F.col("delta") + 1) / F.col("sigma")).alias("share"))
         back = (
@@ -207,11 +295,9 @@ def _dependencies(sources: DataFrame, arcs: DataFrame) -> DataFrame:
         current = materialise(
             upper.join(back, ["s", "id"], "left").select("s", "id", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta")), "delta"
         )
-        summed.append(current.where(F.col("s") != F.col("id")).groupBy("id").agg(F.sum("delta").alias("delta")))
-    result = summed[0] if summed else levels[0].select("id", F.lit(0.0).alias("delta"))
-    for frame in summed[1:]:
-        result = result.unionByName(frame)
-    return materialise(result, "dependency")
+        own = current.where(F.col("s") != F.col("id")).groupBy("id").agg(F.sum("delta").alias("delta"), F.sum(F.col("delta") * F.col("delta")).alias("squares"))
+        result = result.unionByName(own)
+    return result.groupBy("id").agg(F.sum("delta").alias("delta"), F.sum("squares").alias("squares"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
@@ -238,8 +324,10 @@ def communities(edges: DataFrame) -> DataFrame:
     Louvain's two phases with synchronous moves: in each round a hash-chosen half of
     the nodes moves to the neighbouring community with the highest gain, then
     communities become nodes. A round or level counts only if it raises modularity, and
-    the search ends when none does. Everything is joins and aggregations; no community
-    or component is ever gathered in one task.
+    the search ends when none does. At last each community is split along its own links:
+    parts without a link between them are communities of their own, which never lowers
+    modularity and leaves every community in one piece. Everything is joins and
+    aggregations; no community or component is ever gathered in one task.
     """
     level_edges = materialise(edges.select("a", "b", F.col("weight").cast("double").alias("weight")), "louvain")
     mapping = materialise(node_set(edges).select("id", F.col("id").alias("community")), "louvainmap")
@@ -262,8 +350,17 @@ def communities(edges: DataFrame) -> DataFrame:
             .groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")),
             "louvain",
         )
-    names = mapping.groupBy("community").agg(F.min("id").alias("name"))
-    return mapping.join(names, "community").select("id", F.col("name").alias("community"))
+    return _connected_parts(edges, mapping)
+
+
+def _connected_parts(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, community): each community split into the parts that its own links connect, named by their smallest node."""
+    inner = (
+        edges.join(labels.select(F.col("id").alias("a"), "community"), "a").join(labels.select(F.col("id").alias("b"), F.col("community").alias("other")), "b")
+        .where(F.col("community") == F.col("other")).select("a", "b")
+    )
+    parts = connected_components(labels.select("id"), inner)
+    return materialise(parts.select("id", F.col("component").alias("community")), "parts")
 
 
 def _local_moves(edges: DataFrame, two_m: float) -> tuple[DataFrame, float]:
@@ -316,6 +413,32 @@ def community_summary(edges: DataFrame, labels: DataFrame, min_size: int = 3) ->
     )
 
 
+def partition_check(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row of what must hold of communities: each node once, all weight inside or between, each community one piece, modularity above that of single nodes."""
+    sizes = labels.groupBy("id").agg(F.count("*").alias("k"))
+    pieces = connected_components(labels.select("id"), edges.join(labels.select(F.col("id").alias("a"), "community"), "a").join(
+        labels.select(F.col("id").alias("b"), F.col("community").alias("other")), "b").where(F.col("community") == F.col("other")).select("a", "b"))
+    split = labels.join(pieces, "id").groupBy("community").agg(F.count_distinct("component").alias("k"))
+    summary = community_summary(edges, labels, 1).agg(F.sum("size").alias("nodes"), F.sum("inner_weight").alias("inner")).first()
+    cut = (
+        edges.join(labels.select(F.col("id").alias("a"), "community"), "a").join(labels.select(F.col("id").alias("b"), F.col("community").alias("other")), "b")
+        .where(F.col("community") != F.col("other")).agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("v")).first()["v"]
+    )
+    whole = edges.agg(F.sum("weight").alias("v")).first()["v"]
+    better = modularity(edges, labels) > modularity(edges, labels.select("id", F.col("id").alias("community")))
+    return sizes.agg(F.count("*").alias("nodes"), F.count_if(F.col("k") > 1).alias("in_several")).select(
+        "nodes", F.lit(whole).cast("bigint").alias("weight"), "in_several", split.agg(F.count_if(F.col("k") > 1).alias("v")).scalar().alias("in_pieces"),
+        F.lit(better).alias("better_than_single_nodes"), (F.lit(summary["inner"] + cut == whole) & (F.lit(summary["nodes"]) == F.col("nodes"))).alias("sums_agree"),
+    )
+
+
+def hub_listing(edges: DataFrame, centrality: DataFrame, people: DataFrame, key: str, rollup: DataFrame, limit: int) -> DataFrame:
+    """The nodes of highest degree, then betweenness, with their name, tier and prior count; ``centrality`` is (id, betweenness, ...)."""
+    named = degrees(edges).select("id", "degree").join(centrality, "id").join(people.withColumnRenamed(key, "id"), "id", "left")
+    listed = named.join(rollup.select(F.col(key).alias("id"), "n_cases", "risk_tier"), "id", "left").withColumn("n_cases", F.coalesce("n_cases", F.lit(0)))
+    return listed.withColumn("risk_tier", F.coalesce("risk_tier", F.lit("LOW"))).orderBy(F.col("degree").desc(), F.col("betweenness").desc(), "id").limit(limit)
+
+
 def community_categories(edges: DataFrame, labels: DataFrame, evidence: DataFrame, group: str, category: str) -> DataFrame:
     """Distinct categories of the shared groups inside each community (evidence: a, b, group, category)."""
     inner = (

@@ -39,11 +39,18 @@ def _(spark, sf):
     return nodes.select("id", "degree", edges.agg(F.count("*").alias("n")).scalar().alias("n_edges"))
 
 
-# seeds: the first part of each brand that has edges; path ends: first and last part of each type
+# seeds: the first part of each brand that has edges; paths: from every 50th part to the last part of its type
 cte("brand_ends", "SELECT p_brand, MIN(p_partkey) AS lo, MAX(p_partkey) AS hi FROM part JOIN (SELECT DISTINCT id FROM arcs) ON id = p_partkey GROUP BY p_brand", "arcs")
 
 
-cte("type_ends", "SELECT p_type, MIN(p_partkey) AS lo, MAX(p_partkey) AS hi FROM part JOIN (SELECT DISTINCT id FROM arcs) ON id = p_partkey GROUP BY p_type", "arcs")
+cte("type_ends", "SELECT p_partkey AS lo, hi FROM part JOIN (SELECT DISTINCT id FROM arcs) ON id = p_partkey JOIN (SELECT p_type, MAX(p_partkey) AS hi FROM part JOIN (SELECT DISTINCT id FROM arcs) ON id = p_partkey GROUP BY p_type) USING (p_type) WHERE p_partkey % 50 = 0", "arcs")
+
+
+def asked_paths(spark, sf, edges):
+    """Every part with a key divisible by 50 to the last part of its type; both have edges."""
+    parts = table(spark, sf, "part").join(gr.node_set(edges), F.col("p_partkey") == F.col("id")).select("p_partkey", "p_type")
+    last = parts.groupBy("p_type").agg(F.max("p_partkey").alias("target"))
+    return parts.where(F.col("p_partkey") % 50 == 0).join(last, "p_type").select(F.col("p_partkey").alias("source"), "target")
 
 
 def ends_by(spark, sf, edges, kind):
@@ -68,12 +75,13 @@ def _(spark, sf):
     return gr.ego_edges(edges, members)
 
 
-# communities are computed and written once per session and table folder
-_COMMUNITIES: dict[tuple[str, str], tuple] = {}
+# communities are computed and written once per session and state of the table's files
+_COMMUNITIES: dict[tuple, tuple] = {}
 
 
 def communities_of(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
+    files = table(spark, sf, "lineitem").select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string").alias("at")).distinct()
+    key = (spark.sparkContext.applicationId, sf, files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first())
     if key not in _COMMUNITIES:
         edges = graph_edges(spark, sf)
         _COMMUNITIES[key] = edges, materialise(gr.communities(edges), "communities")
@@ -86,6 +94,12 @@ def _(spark, sf):
     return gr.community_summary(edges, labels, 3)
 
 
+@query("gr5_partition", "SELECT (SELECT COUNT(DISTINCT id) FROM arcs) AS nodes, (SELECT CAST(SUM(weight) AS BIGINT) FROM edges) AS weight, CAST(0 AS BIGINT) AS in_several, CAST(0 AS BIGINT) AS in_pieces, TRUE AS better_than_single_nodes, TRUE AS sums_agree", ("arcs", "edges"))
+def _(spark, sf):
+    # what holds of any good partition: all nodes once, all weight, every community in one piece
+    return gr.partition_check(*communities_of(spark, sf))
+
+
 @query("gr5_community_categories")
 def _(spark, sf):
     edges, labels = communities_of(spark, sf)
@@ -101,13 +115,36 @@ def _(spark, sf):
     return gr.graph_summary(*communities_of(spark, sf))
 
 
-@query("gr6_hubs")
+# exact betweenness: shortest paths counted level by level from every node, dependencies back the same way
+_BRANDES = """sig(s, id, dist, sigma) USING KEY (s, id) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM dots
+  UNION SELECT b.s, x.other, b.dist + 1, SUM(b.sigma) FROM sig b JOIN arcs x ON x.id = b.id LEFT JOIN recurring.sig r ON r.s = b.s AND r.id = x.other WHERE r.id IS NULL GROUP BY b.s, x.other, b.dist),
+counted AS MATERIALIZED (SELECT * FROM sig),
+back(s, id, dist, sigma, delta) AS (SELECT s, id, dist, sigma, CAST(0 AS DOUBLE) FROM counted WHERE dist = (SELECT MAX(dist) FROM counted)
+  UNION ALL SELECT u.s, u.id, u.dist, u.sigma, u.sigma * COALESCE(d.share, 0) FROM (SELECT * FROM counted WHERE dist = (SELECT MIN(dist) FROM back) - 1) u
+    LEFT JOIN (SELECT b.s, x.other AS id, SUM((1 + b.delta) / b.sigma) AS share FROM back b JOIN arcs x ON x.id = b.id GROUP BY b.s, x.other) d ON d.s = u.s AND d.id = u.id),
+between_(id, score) AS (SELECT id, SUM(delta) FILTER (s <> id) / ((SELECT COUNT(*) FROM dots) - 1) / ((SELECT COUNT(*) FROM dots) - 2) FROM back GROUP BY id)"""
+cte("dots", "SELECT DISTINCT id FROM arcs", "arcs")
+cte("line_rollup", """SELECT l_partkey AS id, COUNT(*) AS n_cases, CASE WHEN COUNT(*) >= 3 OR (COUNT(*) >= 2 AND bool_or(l_quantity > 49)) THEN 'HIGH'
+      WHEN COUNT(*) >= 2 OR bool_or(l_quantity > 49) THEN 'MEDIUM' ELSE 'LOW' END AS risk_tier FROM lineitem GROUP BY l_partkey""")
+
+
+def hubs(spark, sf, edges, centrality):
+    rollup = entity_rollup(table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "id"), "id", "l_linestatus", F.col("l_quantity") > 49)
+    people = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    return gr.hub_listing(edges, centrality, people, "id", rollup, 20)
+
+
+@query("gr6_hubs", """SELECT d.id, p_name, risk_tier, n_cases, degree, ROUND(score, 6) AS betweenness FROM (SELECT id, COUNT(*) AS degree FROM arcs GROUP BY id) d JOIN part ON p_partkey = d.id
+    JOIN between_ b ON b.id = d.id JOIN line_rollup r ON r.id = d.id ORDER BY degree DESC, score DESC, d.id LIMIT 20""", ("arcs", "dots", "line_rollup"), _BRANDES)
 def _(spark, sf):
     edges = graph_edges(spark, sf)
-    ranked = gr.betweenness(edges).join(gr.degrees(edges), "id").join(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name"), "id")
-    return ranked.orderBy(F.col("degree").desc(), F.col("betweenness").desc(), "id").limit(20).select(
-        "id", "p_name", "degree", F.round("betweenness", 6).alias("betweenness")
-    )
+    return hubs(spark, sf, edges, gr.betweenness(edges)).select("id", "p_name", "risk_tier", "n_cases", "degree", F.round("betweenness", 6).alias("betweenness"))
+
+
+@query("gr6_hubs_sampled")
+def _(spark, sf):
+    edges = graph_edges(spark, sf)
+    return hubs(spark, sf, edges, gr.betweenness_sample(edges, error=0.2))
 
 
 _BFS = """bfs(target, id, dist) USING KEY (target, id) AS (SELECT DISTINCT hi, hi, 0 FROM type_ends
@@ -122,9 +159,8 @@ walk(source, target, pos, path) AS (SELECT lo, hi, lo, CAST(lo AS VARCHAR) FROM
        ("type_ends",), _BFS)
 def _(spark, sf):
     edges = graph_edges(spark, sf)
-    ends = ends_by(spark, sf, edges, "p_type").select(F.col("lo").alias("source"), F.col("hi").alias("target"))
-    paths = gr.shortest_paths(materialise(gr.both_ways(edges), "arcs"), ends)
-    return paths.select("source", "target", "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    answers, nodes = gr.shortest_paths(materialise(gr.both_ways(edges), "arcs"), asked_paths(spark, sf, edges))
+    return answers.join(gr.path_texts(nodes), ["source", "target"], "left").select("source", "target", "hops", "path")
 
 
 @query("gr7_path_hops", """SELECT w.source, w.target, CAST(hop AS INT) AS hop, CAST(p[hop + 1] AS BIGINT) AS from_id, CAST(p[hop + 2] AS BIGINT) AS to_id, weight
@@ -132,8 +168,7 @@ def _(spark, sf):
     JOIN edges ON a = least(CAST(p[hop + 1] AS BIGINT), CAST(p[hop + 2] AS BIGINT)) AND b = greatest(CAST(p[hop + 1] AS BIGINT), CAST(p[hop + 2] AS BIGINT))""", ("type_ends", "edges"), _BFS)
 def _(spark, sf):
     edges = graph_edges(spark, sf)
-    ends = ends_by(spark, sf, edges, "p_type").select(F.col("lo").alias("source"), F.col("hi").alias("target"))
-    hops = gr.path_hops(gr.shortest_paths(materialise(gr.both_ways(edges), "arcs"), ends))
+    hops = gr.path_hops(gr.shortest_paths(materialise(gr.both_ways(edges), "arcs"), asked_paths(spark, sf, edges))[1])
     joined = hops.withColumns({"a": F.least("from_id", "to_id"), "b": F.greatest("from_id", "to_id")}).join(edges, ["a", "b"])
     return joined.select("source", "target", "hop", "from_id", "to_id", "weight")
 
@@ -150,7 +185,7 @@ def _(spark, sf):
     arcs = materialise(strong.select(F.col("from_id").alias("id"), F.col("to_id").alias("other")), "arcs")
     first = arcs.agg(F.min("id").alias("v")).scalar()
     pairs = arcs.select("other").distinct().select(first.alias("source"), F.col("other").alias("target"))
-    return gr.shortest_paths(arcs, pairs).select("source", "target", "hops")
+    return gr.shortest_paths(arcs, pairs)[0].select("source", "target", "hops")
 
 
 @query("gr9_vertex_profiles", """SELECT p_partkey AS id, p_name, COALESCE(roles, '') AS roles, COALESCE(n_cases, 0) AS n_cases, risk_tier, COALESCE(degree, 0) AS degree FROM part
@@ -165,7 +200,18 @@ def _(spark, sf):
     return profiles.withColumn("roles", F.array_join("roles", "|"))
 
 
-@query("jn13_entity_greedy")
+# first come, first served: one unit a step, with the founders so far
+cte("arrivals", """SELECT p_type || '|' || p_brand AS block, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS norm, p_size AS y, MIN(p_partkey) AS unit FROM part GROUP BY ALL""")
+cte("waits", """SELECT v.unit, row_number() OVER (ORDER BY v.unit) AS n, (SELECT list(u.unit) FROM arrivals u WHERE u.block = v.block AND u.unit < v.unit AND abs(u.y - v.y) <= 3
+      AND 1 - levenshtein(u.norm, v.norm) / greatest(length(u.norm), length(v.norm)) >= 0.82) AS before FROM arrivals v""", "arrivals")
+_GREEDY = """greedy(n, founders, owner) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT)
+  UNION ALL SELECT w.n, CASE WHEN list_has_any(founders, COALESCE(before, [])) THEN founders ELSE list_append(founders, unit) END,
+    CASE WHEN list_has_any(founders, COALESCE(before, [])) THEN list_min(list_intersect(founders, before)) ELSE unit END FROM greedy g JOIN waits w ON w.n = g.n + 1)"""
+
+
+@query("jn13_entity_greedy", """SELECT p_partkey AS appearance_id, p_type || '|' || p_brand AS block, p_name AS name, p_size AS birth_year, 'ACC-' || lpad(CAST(place AS VARCHAR), 6, '0') AS entity_id
+    FROM part JOIN arrivals a ON a.block = p_type || '|' || p_brand AND a.norm = trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AND a.y = p_size JOIN waits w ON w.unit = a.unit JOIN greedy g ON g.n = w.n
+    JOIN (SELECT owner, row_number() OVER (ORDER BY owner) AS place FROM greedy WHERE owner IS NOT NULL GROUP BY owner) f ON f.owner = g.owner""", ("arrivals", "waits"), _GREEDY)
 def _(spark, sf):
     return resolve_greedy(part_appearances(spark, sf)).select("appearance_id", "block", "name", "birth_year", "entity_id")
 

@@ -51,9 +51,20 @@ def test_betweenness_matches_path_counting(spark):
             if w != s:
                 score[w] += delta[w]
     df = spark.createDataFrame([(a, b, 1) for a, b in edges], "a long, b long, weight long")
-    for batch in (None, 10):
-        got = {r.id: r.betweenness for r in gr.betweenness(df, batch).collect()}
-        assert got == pytest.approx({v: x / ((n - 1) * (n - 2)) for v, x in score.items()})
+    want = {v: x / ((n - 1) * (n - 2)) for v, x in score.items()}
+    for state_rows in (gr.STATE_ROWS, 10 * n):
+        assert {r.id: r.betweenness for r in gr.betweenness(df, state_rows).collect()} == pytest.approx(want)
+    whole = gr.betweenness_sample(df, error=1e-9, first=4).collect()
+    assert {r.id: r.betweenness for r in whole} == pytest.approx(want) and all(r.bound == 0 and r.sources == n for r in whole)
+
+
+def test_sampled_betweenness_stays_within_its_bound(spark):
+    # two stars with a bridge: the centres lie between almost all pairs
+    edges = [(0, i) for i in range(1, 200)] + [(1000, 1000 + i) for i in range(1, 200)] + [(0, 1000)]
+    df = spark.createDataFrame([(a, b, 1) for a, b in edges], "a long, b long, weight long")
+    want = {r.id: r.betweenness for r in gr.betweenness(df).collect()}
+    rough = gr.betweenness_sample(df, error=0.5, first=32).collect()
+    assert rough[0].sources < 400 and all(abs(r.betweenness - want[r.id]) <= r.bound for r in rough)
 
 
 def test_shortest_paths(spark):
@@ -61,7 +72,10 @@ def test_shortest_paths(spark):
     near = _neighbours(edges)
     df = spark.createDataFrame([(a, b, 1) for a, b in edges], "a long, b long, weight long")
     pairs = [(s, t) for s in (0, 3, 100) for t in (5, 9, 102, 999, s) if s in near]
-    got = {(r.source, r.target): r for r in gr.shortest_paths(gr.both_ways(df), spark.createDataFrame(pairs, "source long, target long")).collect()}
+    answers, nodes = gr.shortest_paths(gr.both_ways(df), spark.createDataFrame(pairs, "source long, target long"))
+    got = {(r.source, r.target): r for r in answers.collect()}
+    found = {(r.source, r.target): [int(x) for x in r.path.split(">")] for r in gr.path_texts(nodes).collect()}
+    assert len(got) == len(set(pairs)) == answers.count()
     for s, t in pairs:
         dist, queue = {t: 0}, deque([t] if t in near else [])
         while queue:
@@ -72,12 +86,36 @@ def test_shortest_paths(spark):
                     queue.append(w)
         row = got[(s, t)]
         if t not in near or s not in dist:
-            assert not row.found and row.hops is None
+            assert not row.found and row.hops is None and (s, t) not in found
             continue
         path = [s]
         while path[-1] != t:
             path.append(min(w for w in near[path[-1]] if dist.get(w) == dist[path[-1]] - 1))
-        assert list(row.path) == path and row.hops == len(path) - 1
+        assert found[s, t] == path and row.hops == len(path) - 1
+    hops = {(r.source, r.target, r.hop): (r.from_id, r.to_id) for r in gr.path_hops(nodes).collect()}
+    assert hops == {(s, t, i): (p[i], p[i + 1]) for (s, t), p in found.items() for i in range(len(p) - 1)}
+
+
+def test_long_directed_paths_and_a_limit(spark):
+    arcs = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 0), (5, 30), (30, 7)], "id long, other long")
+    pairs = spark.createDataFrame([(0, 20), (20, 19), (3, 7), (30, 5), (7, 30)], "source long, target long")
+    answers, nodes = gr.shortest_paths(arcs, pairs)
+    assert {(r.source, r.target): r.hops for r in answers.collect()} == {(0, 20): 20, (20, 19): 20, (3, 7): 4, (30, 5): 20, (7, 30): 20}
+    paths = {(r.source, r.target): r.path for r in gr.path_texts(nodes).collect()}
+    assert paths[3, 7] == "3>4>5>6>7" and paths[0, 20] == ">".join(map(str, range(21)))
+    near, _ = gr.shortest_paths(arcs, pairs, max_hops=5)
+    assert {(r.source, r.target): r.hops for r in near.collect()} == {(0, 20): None, (20, 19): None, (3, 7): 4, (30, 5): None, (7, 30): None}
+
+
+def test_communities_are_connected(spark):
+    rng = random.Random(3)
+    edges = sorted({tuple(sorted(rng.sample(range(24), 2))) for _ in range(30)})
+    df = spark.createDataFrame([(a, b, rng.randrange(1, 4)) for a, b in edges], "a long, b long, weight long")
+    row = gr.partition_check(df, gr.communities(df)).first()
+    assert row.in_several == row.in_pieces == 0 and row.sums_agree and row.better_than_single_nodes
+    torn = gr.node_set(df).select("id", F.lit(0).cast("long").alias("community"))
+    lone = spark.createDataFrame([(200, 201, 1)], df.schema)
+    assert gr.partition_check(df.unionByName(lone), torn.unionByName(spark.createDataFrame([(200, 0), (201, 0)], torn.schema))).first().in_pieces == 1
 
 
 def test_communities_cover_and_beat_singletons(spark):
