@@ -33,7 +33,7 @@ from caseweave.session import materialise
 LEAST, TOP, WITHIN = 30, 2_000, 80
 LONGEST = 4
 #: Suffixes in a group (as counted in the corpus, so before equal ones are combined), and words read before equal suffixes are combined.
-GROUP_SUFFIXES, CHUNK_WORDS = 1_500_000, 1_000_000
+GROUP_SUFFIXES, CHUNK_WORDS = 2_500_000, 2_000_000
 #: Bits of the table of frequent words: 8 MB at any size of the corpus.
 TABLE_BITS = 26
 #: Directory entries for each group's worth of suffixes.
