@@ -49,6 +49,6 @@ def test_stages_bear_awkward_rows(spark):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
-    assert {"op4_exact_dedup", "op5_warc"} <= set(entry.oracle_sql())
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+    assert {"op4_exact_dedup", "op5_warc", "op6_substring_dedup", "op7_suffix_array_dedup", "op11_phrase_collocations", "op13_chat_formatting"} <= set(entry.oracle_sql())
     assert exact.SALTS > 1
