@@ -314,7 +314,8 @@ def _(spark, sf):
     return suspicious_edges(transactions(spark, sf), scored_accounts(spark, sf), limit=20_000).withColumn("total_paid", F.round("total_paid", 2))
 
 
-@query("tk9_node_cap", """SELECT e.a, e.b, e.weight FROM edges e JOIN (SELECT id FROM arcs GROUP BY id ORDER BY COUNT(*) DESC, id LIMIT 500) x ON x.id = a JOIN (SELECT id FROM arcs GROUP BY id ORDER BY COUNT(*) DESC, id LIMIT 500) y ON y.id = b""", ("arcs",))
+@query("tk9_node_cap", "SELECT e.a, e.b, e.weight FROM edges e JOIN top_nodes x ON x.id = a JOIN top_nodes y ON y.id = b", ("edges", "arcs"),
+       "top_nodes(id) AS MATERIALIZED (SELECT id FROM arcs GROUP BY id ORDER BY COUNT(*) DESC, id LIMIT 500)")
 def _(spark, sf):
     edges = materialise(part_graph(spark, sf), "edges")
     nodes = table(spark, sf, "part").select("p_partkey", "p_brand")
