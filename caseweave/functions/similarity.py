@@ -24,7 +24,7 @@ def _borders(length: Column, edits: Column, number: Column) -> tuple[Column, Col
     return number * size + F.greatest(F.lit(0), number - short), size + (number >= short).cast("int")
 
 
-def _segments(names: DataFrame, cutoff: float) -> DataFrame:
+def segment_keys(names: DataFrame, cutoff: float) -> DataFrame:
     """(block, text, n, edits, number, segment): the segments of each text, for every number of edits it may be asked for."""
     n = F.length("text")
     wide = names.withColumn("n", n).withColumn(
@@ -35,7 +35,7 @@ def _segments(names: DataFrame, cutoff: float) -> DataFrame:
     return each.withColumn("segment", F.substring(F.col("text"), before + 1, size))
 
 
-def _substrings(names: DataFrame, cutoff: float, strictly: bool) -> DataFrame:
+def substring_keys(names: DataFrame, cutoff: float, strictly: bool = False) -> DataFrame:
     """(block, text, n, edits, number, segment): what a partner of ``n`` characters, not longer than the text, may have as segments.
 
     Of a partner within ``edits`` edits one segment is unchanged, and of the edits at most its
@@ -54,11 +54,22 @@ def _substrings(names: DataFrame, cutoff: float, strictly: bool) -> DataFrame:
     return placed.withColumn("segment", F.substring(F.col("text"), F.col("at") + 1, F.col("size"))).select("block", "text", "n", "edits", "number", "segment").distinct()
 
 
+def masked_keys(text: Column, cutoff: float, most: int = 16) -> Column:
+    """Array of (n, at, before, behind): the text without a window of as many characters as an equally long match may
+    differ by, at up to about ``most`` places. Texts that share an entry have an edit ratio >= cutoff."""
+    n = F.length(text)
+    edits = _edits(n, cutoff)
+    edits = F.when((edits > 0) & (1 - edits / n < cutoff), edits - 1).otherwise(edits)
+    step = F.greatest(F.lit(1), F.ceil((n - edits) / most).cast("int"))
+    return F.transform(F.sequence(n - edits, F.lit(0), -step), lambda at: F.struct(
+        n.alias("n"), at.alias("at"), F.substring(text, F.lit(1), at).alias("before"), F.substring(text, at + edits + 1, n).alias("behind")))
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """(block, a, b): pairs of different texts of a block that hold a common segment where a match may have one."""
     key = ["block", "n", "edits", "number", "segment"]
-    short_left = _segments(left, cutoff).withColumnRenamed("text", "a").join(_substrings(right, cutoff, False).withColumnRenamed("text", "b"), key)
-    short_right = _substrings(left, cutoff, True).withColumnRenamed("text", "a").join(_segments(right, cutoff).withColumnRenamed("text", "b"), key)
+    short_left = segment_keys(left, cutoff).withColumnRenamed("text", "a").join(substring_keys(right, cutoff, False).withColumnRenamed("text", "b"), key)
+    short_right = substring_keys(left, cutoff, True).withColumnRenamed("text", "a").join(segment_keys(right, cutoff).withColumnRenamed("text", "b"), key)
     return short_left.select("block", "a", "b").unionByName(short_right.select("block", "a", "b")).where("a != b").distinct()
 
 

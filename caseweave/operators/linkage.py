@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseweave.functions.similarity import similar_text_pairs
+from caseweave.functions.similarity import edit_ratio, masked_keys, segment_keys, similar_text_pairs, substring_keys
 from caseweave.functions.text import normalise_name
 from caseweave.operators.components import connected_components
 from caseweave.operators.scale import global_rank, top_per_group
@@ -130,16 +131,68 @@ def resolve_components(appearances: DataFrame, cutoff: float = MATCH_CUTOFF, ban
     """Order-free variant: entities are connected components of the similarity links.
 
     The entity is named by the smallest first appearance (year, id) of the component.
+    Not all similar pairs are needed for that: names that agree but for one window of as many
+    characters as they may differ by are linked in the order of their years first, and only
+    names of different components are compared after that.
     """
     units = materialise(_units(appearances), "units")
-    links = _links(units, cutoff, band)
-    labels = connected_components(
-        units.select(F.col("first").alias("id")), links.select(F.col("earlier").alias("a"), F.col("later").alias("b"))
-    )
-    named = units.join(labels, F.col("first") == F.col("id")).select("block", "norm", "birth_year", F.col("component.appearance_id").alias("entity_id"))
+    chained = connected_components(units.select(F.col("first").alias("id")), _chains(units, cutoff, band))
+    joined = materialise(units.join(chained, F.col("first") == F.col("id")).drop("id"), "joined")
+    links = materialise(_links_between(joined, cutoff, band), "links")
+    labels = connected_components(joined.select(F.col("component").alias("id")).distinct(), links).withColumnRenamed("component", "entity")
+    named = joined.join(labels, F.col("component") == F.col("id")).select("block", "norm", "birth_year", F.col("entity.appearance_id").alias("entity_id"))
     return _back_to_rows(appearances, named)
 
 
+def _chains(units: DataFrame, cutoff: float, band: int) -> DataFrame:
+    """(a, b): links that connect all units of a block with names alike but for one window and birth years in reach.
+
+    Names that share a masked key are all similar to each other, so in the order of the years
+    each unit needs a link to the one before it only.
+    """
+    known = units.where(F.col("block").isNotNull() & F.col("norm").isNotNull() & F.col("birth_year").isNotNull())
+    each = known.select("block", "birth_year", "first", F.explode(masked_keys(F.col("norm"), cutoff)).alias("mask"))
+    before = W.partitionBy("block", "mask").orderBy("birth_year", "first")
+    linked = each.select(F.lag("first").over(before).alias("a"), F.col("first").alias("b"), (F.col("birth_year") - F.lag("birth_year").over(before)).alias("years"))
+    return linked.where(F.col("years") <= band).select("a", "b").distinct()
+
+
+def _links_between(units: DataFrame, cutoff: float, band: int) -> DataFrame:
+    """(a, b): components of units (block, norm, birth_year, component) that similar names and close birth years link.
+
+    Names meet on segments as in the similarity join, but only where a segment is held by more
+    than one component, and only with names of another one.
+    """
+    width = band + 1
+    placed = units.select("block", F.col("norm").alias("text"), "component", F.floor(F.col("birth_year") / width).alias("bucket")).distinct()
+    # a birth-year bucket of the band's width meets itself and both neighbours
+    near = placed.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: F.col("bucket") + s)))
+
+    def mixed(rows: DataFrame, key: list[str]) -> DataFrame:
+        return rows.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(*key)
+
+    open_cells = mixed(near, ["block", "bucket"])
+    placed = materialise(placed.join(open_cells, ["block", "bucket"], "left_semi"), "placed")
+    near = materialise(near.join(open_cells, ["block", "bucket"], "left_semi"), "near")
+    key = ["block", "bucket", "n", "edits", "number", "segment"]
+    short = segment_keys(near.select("block", "text").distinct(), cutoff).join(near, ["block", "text"])
+    long = substring_keys(placed.select("block", "text").distinct(), cutoff).join(placed, ["block", "text"])
+    shared = materialise(mixed(short.select(*key, "component").unionByName(long.select(*key, "component")), key), "sharedkeys")
+    short = short.join(shared, key, "left_semi").select(*key, F.col("text").alias("a"), F.col("component").alias("ca"))
+    long = long.join(shared, key, "left_semi").select(*key, F.col("text").alias("b"), F.col("component").alias("cb"))
+    met = short.join(long, key).where(F.col("ca") != F.col("cb")).select("block", "a", "b").distinct()
+    # equal texts of two components have years too far apart
+    alike = met.where(edit_ratio(F.col("a"), F.col("b")) >= cutoff)
+    left = units.select("block", F.col("norm").alias("a"), F.col("birth_year").alias("ly"), F.col("component").alias("ca"))
+    right = units.select("block", F.col("norm").alias("b"), F.col("birth_year").alias("ey"), F.col("component").alias("cb"))
+    left = left.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: F.floor(F.col("ly") / width) + s)))
+    return (
+        alike.join(left, ["block", "a"]).join(right.withColumn("bucket", F.floor(F.col("ey") / width)), ["block", "b", "bucket"])
+        .where((F.abs(F.col("ly") - F.col("ey")) <= band) & (F.col("ca") != F.col("cb")))
+        .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    )
+
+
 def resolution_summary(resolved: DataFrame) -> DataFrame:
     return resolved.agg(F.count("*").alias("appearances"), F.count_distinct("entity_id").alias("entities")).withColumn(
         "relinks", F.col("appearances") - F.col("entities")

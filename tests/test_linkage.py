@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseweave.functions.similarity import candidate_pairs, similar_text_pairs
-from caseweave.operators.linkage import match_names, resolve_greedy
+from caseweave.operators.components import connected_components
+from caseweave.operators.linkage import _chains, _links_between, match_names, resolve_components, resolve_greedy
 
 
 def _names(n, seed):
@@ -101,3 +103,37 @@ def test_flattened_cases_resolve_no_names(spark, monkeypatch):
 
     monkeypatch.setattr(products, "resolve_components", refuse)
     assert products.flattened_cases(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+@pytest.mark.parametrize("cutoff", [0.82, 0.6, 1.0])
+def test_entity_components_equal_all_pairs(spark, cutoff):
+    rng = random.Random(9)
+    names = _names(60, 5)
+    rows = [(i, rng.choice(["k", "l", None]), rng.choice(names + [None]), rng.choice([*range(1950, 1990, 2), None]), 0) for i in range(160)]
+    rows += [(200 + i, "k", f"Supplier#{i * 7919 % 100000:09d}", 1950 + i % 23, 0) for i in range(60)]
+    got = {r.appearance_id: r.entity_id for r in resolve_components(spark.createDataFrame(rows, "appearance_id long, block string, name string, birth_year int, case_year int"), cutoff).collect()}
+    root = {r[0]: r[0] for r in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    norm = {r[0]: " ".join(r[2].lower().split()) if r[2] is not None else None for r in rows}
+    for i, block, _, year, _ in rows:
+        for j, other, _, when, _ in rows[: [r[0] for r in rows].index(i)]:
+            a, b = norm[i], norm[j]
+            known = None not in (block, a, year, other, b, when)
+            same = (block, a, year) == (other, b, when)
+            if same or (known and block == other and abs(year - when) <= 3 and (a == b or 1 - _edit(a, b) / max(len(a), len(b), 1) >= cutoff)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert got == {r[0]: find(r[0]) for r in rows}
+
+
+def test_a_block_of_like_names_is_not_compared_as_a_whole(spark):
+    units = spark.range(3000).select(F.lit("k").alias("block"), F.format_string("supplier#%09d", "id").alias("norm"), (1950 + F.col("id") % 40).cast("int").alias("birth_year"), F.struct(F.lit(0).alias("case_year"), F.col("id").alias("appearance_id")).alias("first"))
+    chains = _chains(units, 0.82, 3)
+    assert chains.count() <= 17 * 3000
+    joined = units.join(connected_components(units.select(F.col("first").alias("id")), chains), F.col("first") == F.col("id")).drop("id")
+    assert joined.select("component").distinct().count() == 1 and _links_between(joined, 0.82, 3).isEmpty()
