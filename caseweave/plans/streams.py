@@ -10,9 +10,11 @@ from caseweave.streaming import audit, dialogue
 
 
 def stream_of(spark, sf: str, name: str):
-    """The table's files as a file stream, one file per trigger."""
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table's files, one or a folder of them, as a file stream whose first trigger takes all there are.
+
+    A pattern names the path, as a plain one has to be a folder.
+    """
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def run(spark, stream, mode: str = "append"):
@@ -23,6 +25,7 @@ def run(spark, stream, mode: str = "append"):
 
 @query("sm1_dialogue_context", "SELECT conv_id, turn, person, place, prev_person, prev_place FROM carried", ("carried",))
 def _(spark, sf):
+    # a session's turns may lie in any of the files: all there are make one trigger
     return run(spark, dialogue.carry_context_stream(mentions(stream_of(spark, sf, "conversations"))))
 
 
