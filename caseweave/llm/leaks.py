@@ -5,10 +5,10 @@ passage meets a query passage only through the query's own rare words: of the wo
 so many must be found that at least ``HITS`` of its rarest ones are among them, whatever the size
 of the corpus; an inverted index from these words to the queries finds the pairs. A passage is
 a TF-IDF vector over the words of the benchmark; pairs whose cosine in the latent space is too
-small are dropped. The latent space comes from a randomised singular value decomposition of a
-hash-chosen sample of ``SAMPLE`` passages (document frequencies count all passages) together with
-the benchmark's own: the products with the passage matrix are summed by Spark in blocks of terms,
-and only term x rank matrices meet on the driver. What is left is checked word by word: the
+small are dropped. The latent space comes from a randomised singular value decomposition of all
+passages of the corpus that do not overlap, together with the benchmark's own: the products with
+the passage matrix are summed by Spark in blocks of terms, and only term x rank matrices meet on
+the driver. What is left is checked word by word: the
 longest common subsequence must cover most of a part of the item, or enough of it plus its
 answer (its last words), which catches paraphrases.
 
@@ -40,8 +40,8 @@ COSINE, WHOLE, PARAPHRASE, ANSWERED = 0.5, 0.8, 0.6, 0.6
 #: A candidate holds HITS of the rarest words of a query, when at least FOUND of its words are in the passage.
 HITS, FOUND = 3, 0.45
 RANK, EXTRA, BLOCK_ITEMS, TERM_BLOCK = 128, 16, 2_000, 256
-#: Passages that the latent space is fitted on, beside the queries.
-SAMPLE = 65_536
+#: Terms up to which a task sums pairs of terms, and passages it works on at a time.
+GRAM, PASSAGES = 4_096, 16_384
 
 
 def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -104,31 +104,51 @@ def judge(part: np.ndarray, region: np.ndarray) -> tuple[int, float, bool]:
     return found, answered, ratio >= WHOLE or (ratio >= PARAPHRASE and answered >= ANSWERED)
 
 
-def _counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
-    """(number of passages, passages that hold each term), over passages that do not overlap."""
-    size = len(vocabulary.hashes)
+def _terms(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(lengths, terms): the terms of all corpus passages that do not overlap, and how many each of them holds; a row for each piece of a batch."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary.hashes)
+    kind = _kind(len(vocabulary.hashes))
 
     def run(batches):
-        own, total, held = np.zeros(size, dtype=np.int64), 0, Vocabulary(shared.value)
+        held = Vocabulary(shared.value)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words, first = word_hashes(piece.column("text"))
                 terms = held.terms(words)
-                n = np.diff(first)
-                counts = -(-n // WIDTH)
-                base = np.cumsum(counts) - counts
-                owner = np.repeat(np.arange(len(n)), n)
-                passage = base[owner] + (np.arange(len(words)) - first[:-1][owner]) // WIDTH
-                known = terms >= 0
-                pairs = np.unique(passage[known] * size + terms[known])
-                own += np.bincount(pairs % size, minlength=size)
-                total += int(counts.sum())
+                _, start, end = passages(first, WIDTH, WIDTH)
+                known = np.concatenate([[0], np.cumsum(terms >= 0)])
+                lengths = (known[end] - known[start]).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([lengths.tobytes()], pa.binary()), pa.array([terms[terms >= 0].astype(kind).tobytes()], pa.binary())], ["lengths", "terms"])
+
+    return docs.select("text").mapInArrow(run, "lengths binary, terms binary")
+
+
+def _kind(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _read(batches, size: int):
+    """(terms, passage of each, number of terms of each passage) of every row of ``_terms``."""
+    for batch in batches:
+        for lengths, terms in zip(batch.column("lengths"), batch.column("terms")):
+            n = np.frombuffer(lengths.as_py(), dtype=np.uint8).astype(np.int64)
+            yield np.frombuffer(terms.as_py(), dtype=_kind(size)).astype(np.int64), np.repeat(np.arange(len(n)), n), n
+
+
+def _counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
+    """(number of passages, passages that hold each term), over passages that do not overlap; of documents or of the rows of ``_terms``."""
+    size = len(vocabulary.hashes)
+    rows = docs if "terms" in docs.columns else _terms(docs, vocabulary)
+
+    def run(batches):
+        own, total = np.zeros(size, dtype=np.int64), 0
+        for terms, passage, n in _read(batches, size):
+            own += np.bincount(np.unique(passage * size + terms) % size, minlength=size)
+            total += len(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, size)), pa.array(np.concatenate([[total], own]))], ["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counted = np.zeros(size + 1, dtype=np.int64)
-    for r in rows:
+    for r in rows.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         counted[r["term"] + 1] = r["n"]
     return int(counted[0]), counted[1:]
 
@@ -146,28 +166,6 @@ def _latent(terms: np.ndarray, start: np.ndarray, end: np.ndarray, basis: np.nda
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
-def _sampled(docs: DataFrame, vocabulary: Vocabulary, total: int, sample: int) -> DataFrame:
-    """(terms) of about ``sample`` corpus passages: documents by the hash of their text, then passages by place."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.hashes)
-    of_documents = min(1.0, 4 * sample / max(total, 1))
-    of_passages = min(1.0, sample / max(total, 1) / of_documents)
-
-    def run(batches):
-        held = Vocabulary(shared.value)
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                words, first = word_hashes(piece.column("text"))
-                terms = held.terms(words)
-                _, start, end = passages(first, WIDTH, WIDTH)
-                known = np.concatenate([[0], np.cumsum(terms >= 0)])
-                mark = words[start] if len(start) else words
-                keep = np.flatnonzero((known[end] - known[start] >= HITS) & ((mark >> np.uint64(11)).astype(np.float64) < of_passages * 2.0**53))
-                yield pa.RecordBatch.from_arrays([pa.array([t[t >= 0].astype("<i4").tobytes() for t in (terms[s:e] for s, e in zip(start[keep], end[keep]))], pa.binary())], ["terms"])
-
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(of_documents * (1 << 20)) + 1
-    return docs.where(chosen).select("text").mapInArrow(run, "terms binary")
-
-
 def _summed(t: np.ndarray, n: np.ndarray, weighted: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
     """Adds the terms' sums of A'(A X) to ``out``, for unit passages A of ``n`` terms each, ``t``, one after the other."""
     heads = np.cumsum(n) - n
@@ -177,19 +175,58 @@ def _summed(t: np.ndarray, n: np.ndarray, weighted: np.ndarray, weights: np.ndar
     out[t[order[first]]] += np.add.reduceat(y[np.repeat(np.arange(len(n)), n)[order]], first, axis=0)
 
 
+def _shared(t: np.ndarray, n: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
+    """Adds to ``out`` how much each two terms have in common in unit passages of ``n`` terms each, ``t``, one after the other.
+    Every pair is added one way only, so the sums are ``out`` and its transpose together."""
+    size = len(weights)
+    heads = np.cumsum(n) - n
+    scale = np.repeat(1.0 / np.add.reduceat(weights[t] ** 2, heads), n)
+    left = np.repeat(heads + n, n) - np.arange(len(t))
+    codes, values = [t * (size + 1)], [scale / 2]
+    for ahead in range(1, int(n.max())):
+        at = np.flatnonzero(left > ahead)
+        codes.append(t[at] * size + t[at + ahead])
+        values.append(scale[at])
+    out += np.bincount(np.concatenate(codes), weights=np.concatenate(values), minlength=size * size).reshape(size, size)
+
+
 def _products(rows: DataFrame, factor: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A'(A X) for the passages A in ``rows``, summed in blocks of terms and two steps."""
+    """A'(A X) for all passages A in ``rows`` that hold ``HITS`` terms, summed in blocks of terms and two steps.
+
+    A task sums what its passages' terms have in common and multiplies once; beyond ``GRAM`` terms, passage by passage.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((factor, idf))
 
     def run(batches):
         x, weights = shared.value
+        size = len(weights)
         out = np.zeros(x.shape)
         weighted = (x * weights[:, None]).astype(np.float32)
-        for batch in batches:
-            blobs = batch.column("terms").to_pylist()
-            for at in range(0, len(blobs), 2000):
-                own = blobs[at : at + 2000]
-                _summed(np.frombuffer(b"".join(own), dtype="<i4"), np.array([len(o) // 4 for o in own]), weighted, weights, out)
+        together = np.zeros((size, size), dtype=np.float32) if size <= GRAM else None
+        waiting, held = [], 0
+
+        def add():
+            t, n = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
+            if together is not None:
+                _shared(t, n, weights, together)
+            else:
+                _summed(t, n, weighted, weights, out)
+
+        for terms, passage, n in _read(batches, size):
+            full = n >= HITS
+            own, many = terms[full[passage]], n[full]
+            for at in range(0, len(many), PASSAGES):
+                low, high = int(many[:at].sum()), int(many[: at + PASSAGES].sum())
+                waiting.append((own[low:high], many[at : at + PASSAGES]))
+                held += len(waiting[-1][1])
+                if held >= PASSAGES:
+                    add()
+                    waiting, held = [], 0
+        if waiting:
+            add()
+        if together is not None:
+            out += together @ weighted
+            out += together.T @ weighted
         out *= weights[:, None]
         blocks = range(0, len(out), TERM_BLOCK)
         yield pa.RecordBatch.from_arrays(
@@ -210,7 +247,7 @@ def _products(rows: DataFrame, factor: np.ndarray, idf: np.ndarray) -> np.ndarra
 
 
 def latent_basis(rows: DataFrame, t: np.ndarray, n: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors of sampled passages and of the queries (``n`` terms each, ``t``), by two products."""
+    """Right singular vectors of the corpus passages and of the queries (``n`` terms each, ``t``), by two products."""
     def product(factor):
         own = np.zeros(factor.shape)
         _summed(t, n, factor * idf[:, None], idf, own)
@@ -354,10 +391,10 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], rank: int) -> DataFram
     if parts:
         vocabulary = Vocabulary(np.unique(np.concatenate([w for _, w in parts])))
         known = vocabulary.hashes
-        total, counted = _counts(docs, vocabulary)
+        rows = materialise(_terms(docs, vocabulary), "passages")
+        total, counted = _counts(rows, vocabulary)
         idf = np.log((total + 1.0) / (counted + 1.0)) + 0.1
         line, part, start, end, rare = _queries(parts, vocabulary, counted)
-        rows = materialise(_sampled(docs, vocabulary, total, SAMPLE), "passages")
         basis = latent_basis(rows, np.concatenate([line[s:e] for s, e in zip(start, end)]), end - start, idf, rank)
         weighted = (basis * idf[:, None]).astype(np.float32)
         order = np.argsort(rare[:, 0], kind="stable")

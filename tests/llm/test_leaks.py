@@ -152,3 +152,29 @@ def test_few_passages_are_looked_at(spark):
     query, begin, _ = queries.candidates(terms, first)
     total = len(leaks.passages(first)[0])
     assert len(np.unique(begin)) < 0.05 * total, (len(np.unique(begin)), len(query), total)
+
+
+def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """Products over all passages of a corpus, by pairs of terms and passage by passage, equal the matrix product."""
+    texts = [prose(60_000 + i, 50 + i % 90, 60) for i in range(120)]
+    held = leaks.word_hashes(leaks.pa.array([prose(1, 200, 60)]))[0]
+    vocabulary = leaks.Vocabulary(np.unique(held)[:40])
+    given = docs(spark, list(enumerate(texts))).repartition(3)
+    rows = leaks._terms(given, vocabulary)
+    total, counted = leaks._counts(given, vocabulary)
+    idf = np.log((total + 1.0) / (counted + 1.0)) + 0.1
+    factor = np.random.Generator(np.random.PCG64(3)).standard_normal((len(idf), 12))
+    want, passages = np.zeros(factor.shape), 0
+    for text in texts:
+        terms = vocabulary.terms(leaks.word_hashes(leaks.pa.array([text]))[0])
+        for at in range(0, len(terms), leaks.WIDTH):
+            own = terms[at : at + leaks.WIDTH]
+            own, passages = own[own >= 0], passages + 1
+            if len(own) >= leaks.HITS:
+                a = np.bincount(own, minlength=len(idf)) * idf
+                want += np.outer(a, a @ factor) / (idf[own] ** 2).sum()
+    assert passages == total
+    assert np.allclose(leaks._products(rows, factor, idf), want, rtol=1e-3, atol=1e-3)
+    monkeypatch.setattr(leaks, "GRAM", 1)
+    monkeypatch.setattr(leaks, "PASSAGES", 7)
+    assert np.allclose(leaks._products(rows, factor, idf), want, rtol=1e-3, atol=1e-3)
