@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.operators.components import connected_components
-from caseweave.operators.scale import global_rank, group_pairs, top_per_group
+from caseweave.operators.scale import dealt, global_rank, group_pairs, top_per_group
 from caseweave.session import materialise
 
 
@@ -20,13 +20,22 @@ def cooccurrence(links: DataFrame, group: str, item: str, min_weight: int = 1, h
     meet in a smaller one. Those groups are added back by membership look-ups for
     the pairs found, so weights stay exact and a hot group is not expanded.
     """
-    members = materialise(links.select(group, item).distinct(), "members")
+    n = links.count()
+    members = materialise(dealt(links.select(group, item), n, group, item).distinct(), "members")
+
+    def sizes(own: DataFrame) -> DataFrame:
+        return dealt(own, n, group).groupBy(group).agg(F.count("*").alias("_size"))
+
+    def weighted(own: DataFrame) -> DataFrame:
+        held = int(sizes(own).agg(F.sum(F.col("_size") * (F.col("_size") - 1) / 2)).first()[0] or 0)
+        return dealt(group_pairs(own, group, item, rows=max(n, held)), held, "a", "b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+
     if min_weight <= 1:
-        return group_pairs(members, group, item).groupBy("a", "b").agg(F.count("*").alias("weight"))
-    big = members.groupBy(group).agg(F.count("*").alias("_size")).where(F.col("_size") > hot)
+        return weighted(members)
+    big = sizes(members).where(F.col("_size") > hot)
     skipped = top_per_group(members.join(big, group), [item], [F.col("_size").desc(), F.col(group)], min_weight - 1, "_rk").select(group, item)
     skipped = materialise(skipped, "hotmembers")
-    pairs = group_pairs(members.join(skipped, [group, item], "left_anti"), group, item).groupBy("a", "b").agg(F.count("*").alias("weight"))
+    pairs = weighted(members.join(skipped, [group, item], "left_anti"))
     if skipped.isEmpty():
         return pairs.where(F.col("weight") >= min_weight)
     pairs = materialise(pairs, "pairs")
@@ -42,10 +51,11 @@ def cooccurrence(links: DataFrame, group: str, item: str, min_weight: int = 1, h
 
 def edge_evidence(edges: DataFrame, links: DataFrame, group: str, item: str) -> DataFrame:
     """(a, b, group): the shared groups behind each edge, in long form."""
-    members = links.select(group, item).distinct()
+    n = links.count()
+    members = materialise(dealt(links.select(group, item), n, group, item).distinct(), "members")
     return (
-        edges.select("a", "b").join(members.withColumnRenamed(item, "a"), "a")
-        .join(members.withColumnRenamed(item, "b"), [group, "b"], "left_semi").select("a", "b", group)
+        edges.select("a", "b").join(dealt(members.withColumnRenamed(item, "a"), n, "a"), "a")
+        .join(dealt(members.withColumnRenamed(item, "b"), n, group, "b"), [group, "b"], "left_semi").select("a", "b", group)
     )
 
 

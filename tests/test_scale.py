@@ -95,3 +95,23 @@ def test_connected_components(spark):
     ids = spark.createDataFrame([(i,) for i in [*range(1, 31), 100, 101, 102, 200, 500]], "id long")
     got = {r.id: r.component for r in connected_components(ids, df).collect()}
     assert all(got[i] == 1 for i in range(1, 31)) and all(got[i] == 100 for i in (100, 101, 102, 200)) and got[500] == 500
+
+
+def test_tasks_of_cooccurrence_grow_with_the_rows(spark, monkeypatch):
+    from caseweave.operators import graph, scale
+
+    rng = random.Random(12)
+    rows = [(rng.randrange(200), rng.randrange(40)) for _ in range(900)] + [(1000, i % 40) for i in range(100)]
+    links = spark.createDataFrame(rows, "g long, i long")
+    want = Counter()
+    for g in {g for g, _ in rows}:
+        own = sorted({i for h, i in rows if h == g})
+        want.update((a, b) for k, a in enumerate(own) for b in own[k + 1 :])
+    monkeypatch.setattr(scale, "TASK_ROWS", 100)
+    for least, hot in ((1, 2000), (2, 2000), (2, 10), (3, 10)):
+        found = graph.cooccurrence(links, "g", "i", least, hot)
+        assert {(r.a, r.b): r.weight for r in found.collect()} == {p: n for p, n in want.items() if n >= least}
+    pairs = scale.group_pairs(links.distinct(), "g", "i", rows=2000)
+    assert pairs.rdd.getNumPartitions() == 20
+    edges = graph.cooccurrence(links, "g", "i", 2)
+    assert graph.edge_evidence(edges, links, "g", "i").count() == sum(n for n in want.values() if n >= 2)
