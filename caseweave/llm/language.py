@@ -19,16 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import held_out
+from caseweave.llm.common import held_out, pieces
 from caseweave.session import materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 GIVE_UP = math.log(0.4)
 UNKNOWN = "und"
-#: Bounds of the model: training rows for each language, words and n-grams for all languages together, and
-#: numbers in either table (so with more than 300 languages each keeps fewer words).
-MAX_ROWS, MAX_WORDS, MAX_GRAMS, MAX_CELLS = 2_000, 120_000, 80_000, 40_000_000
+#: Bounds of the model: words and n-grams for all languages together, and numbers in either table (so with more
+#: than 300 languages each keeps fewer words).
+MAX_WORDS, MAX_GRAMS, MAX_CELLS = 120_000, 80_000, 40_000_000
+#: Distinct words or n-grams a task holds before it passes its counts on.
+TALLY = 200_000
+COUNTS = "lang string, word string, n long"
 #: Words outside the model whose scores a task remembers.
 CACHE = 150_000
 
@@ -122,38 +125,51 @@ class Model:
         return names, scores
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_cells: int = MAX_CELLS) -> Model:
-    """Counts words and n-grams of a bounded, hash-chosen sample of the labelled rows that are not held out.
+def counts(tally: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    """The counts held, as rows of ``COUNTS``; the tally starts anew."""
+    for lang, own in tally.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
+    tally.clear()
 
-    Every label is a language, with at most ``max_rows`` rows (expected) each. All languages share
-    ``max_words`` words and ``max_grams`` n-grams evenly, and neither table holds more than
-    ``max_cells`` numbers. Rows without a text, label or doc_id teach nothing.
+
+def fit(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_cells: int = MAX_CELLS) -> Model:
+    """Counts the words and n-grams of all labelled rows that are not held out.
+
+    Every label is a language. All languages share the ``max_words`` most frequent words and the
+    ``max_grams`` most frequent n-grams evenly, and neither table holds more than ``max_cells``
+    numbers. Rows without a text, label or doc_id teach nothing.
     """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not languages:
         return Model.of_counts([], {}, {})
-    share = F.element_at(F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1.0, max_rows / sizes[lang]))]), F.col("lang"))
-    place = (F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5).cast("double")
-    sample = labelled.where(place < share)
 
     def count_words(batches):
+        tally: dict[str, Counter] = {}
         for batch in batches:
-            tally: dict[str, Counter] = {}
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                tally.setdefault(lang, Counter()).update(words(text))
-            for lang, own in tally.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own)), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
-
-    counted = sample.select("text", "lang").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+            for piece in pieces(batch, "text"):
+                for text, lang in zip(piece.column("text").to_pylist(), piece.column("lang").to_pylist()):
+                    tally.setdefault(lang, Counter()).update(words(text))
+                if sum(map(len, tally.values())) > TALLY:
+                    yield from counts(tally)
+        yield from counts(tally)
+
+    counted = labelled.select("text", "lang").mapInArrow(count_words, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     seen = materialise(counted, "langwords")
-    marked = F.concat(F.lit("\x02"), "word", F.lit("\x03"))
-    cut = F.flatten(F.array(*[
-        F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in ORDERS
-    ]))
-    parts = seen.select("lang", "n", F.explode(cut).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+    def count_grams(batches):
+        tally: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
+                own = tally.setdefault(lang, Counter())
+                for order in ORDERS:
+                    for gram in grams(word, order):
+                        own[gram] += n
+            if sum(map(len, tally.values())) > TALLY:
+                yield from counts(tally)
+        yield from counts(tally)
+
+    parts = materialise(seen.mapInArrow(count_grams, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")), "langgrams")
 
     def largest(counts: DataFrame, most: int) -> dict[str, np.ndarray]:
         keep = min(most, max_cells // len(languages))

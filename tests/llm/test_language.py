@@ -88,3 +88,11 @@ def test_batches_of_any_size_agree(spark, real):
         (name,), (score,) = model.predict_all([t])
         assert name == names[k] and score == pytest.approx(scores[k])
     assert names[-5:-2] == ["und"] * 3
+
+
+def test_every_labelled_row_is_counted(spark):
+    """Each row has a word of its own; all rows that are not held out teach theirs, however many a label has."""
+    rows = [(i, f"word {chr(97 + i % 26)}{'abcdefghij'[i // 26 % 10]}{'klmnopqrst'[i // 260 % 10]}{'uvwxyz'[i // 2600]}", "en") for i in range(9_000)] + [(9_000 + i, f"wort {'ab'[i % 2]}ß", "de") for i in range(40)]
+    given = docs(spark, rows)
+    want = {w for r in given.where(~held_out(given["doc_id"])).select("text").collect() for w in language.words(r["text"])}
+    assert len(want) > 5_000 and set(language.fit(given).word_rows) == want
