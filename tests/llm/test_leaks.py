@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -178,3 +179,19 @@ def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
     monkeypatch.setattr(leaks, "GRAM", 1)
     monkeypatch.setattr(leaks, "PASSAGES", 7)
     assert np.allclose(leaks._products(rows, factor, idf), want, rtol=1e-3, atol=1e-3)
+
+
+def test_pairs_of_terms_need_no_second_table():
+    size, rng = 1_500, np.random.default_rng(5)
+    n = rng.integers(3, 20, 400)
+    t = np.concatenate([rng.choice(size, k, replace=False) for k in n])
+    weights, out = rng.random(size) + 0.1, np.zeros((size, size), dtype=np.float32)
+    tracemalloc.start()
+    leaks._shared(t, n, weights, out)
+    leaks._shared(t, n, weights, out)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < size * size * 8 // 2
+    owner, want = np.repeat(np.arange(len(n)), n), np.zeros((len(n), size))
+    want[owner, t] = 1 / np.sqrt(np.add.reduceat(weights[t] ** 2, np.cumsum(n) - n))[owner]
+    assert np.allclose(out + out.T, 2 * want.T @ want, rtol=1e-4, atol=1e-5)
