@@ -195,3 +195,32 @@ def test_attributions_of_deep_paths(spark):
     one = ml.attribute_rows(x[:1], [ml.pack_tree(both)])[0, 0]
     a, b = (float(lo < x[0][f] <= hi) for f, (lo, hi, _) in both[0][1].items())
     assert one == pytest.approx(0.4 * ((a - 0.5) * 0.25 + (a * b - 0.5 * b)) / 2)
+
+
+def test_training_and_attribution_tasks_hold_few_rows(spark, forest, monkeypatch):
+    """However few bytes a row takes, no task gets many more rows than asked for."""
+    monkeypatch.setattr(ml, "FIT_ROWS", 300, raising=False)
+    monkeypatch.setattr(ml, "EXPLAIN_ROWS", 300, raising=False)
+    rows = spark.range(0, 6_000, 1, 1).select(F.col("id").alias("person"), *[(F.col("id") % (i + 2)).cast("double").alias(f"f{i}") for i in range(4)], (F.col("id") % 3 == 0).cast("int").alias("label"))
+
+    def largest(df):
+        return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+    given = []
+    with monkeypatch.context() as m:
+        m.setattr(ml.Pipeline, "fit", lambda self, df: given.append(df))
+        ml.train_risk_models(rows, ["f0", "f1", "f2", "f3"], "label", "person")
+    assert len(given) == 2 and all(largest(df) < 600 for df in given)
+    explained = ml.attributions(forest[1]["RANDOM_FOREST"], rows, "person")
+    assert explained.count() == 6_000 and largest(explained) < 600
+
+
+def test_rows_a_tree_cannot_tell_apart_are_worked_out_once():
+    rng = np.random.default_rng(4)
+    leaves = [(float(rng.random()), {f: (0.3, 0.7 + f / 1000, 0.4) for f in range(s, 60, 3)}) for s in range(3)]
+    for trees in ([ml.pack_tree(leaves)], [ml.pack_tree([(0.4, {0: (-np.inf, 0.3, 0.5), 3: (0.1, 0.9, 0.25)}), (0.2, {0: (0.3, np.inf, 0.5)})])]):
+        x = rng.choice([0.1, 0.3, 0.5, 0.9, 1.0], (200, 60))
+        first, same = ml.alike(np.concatenate([x, x + 1e-9 * (x == 0.5)]), *trees[0][:3])
+        assert len(first) <= 200 and np.array_equal(same[:200], same[200:])
+        assert np.allclose(ml.attribute_rows(x, trees), np.concatenate([ml.attribute_rows(row[None], trees) for row in x]), rtol=0, atol=1e-15)
+    assert len(first) <= 12
