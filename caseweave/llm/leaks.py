@@ -187,11 +187,8 @@ def _shared(t: np.ndarray, n: np.ndarray, weights: np.ndarray, out: np.ndarray)
         at = np.flatnonzero(left > ahead)
         codes.append(t[at] * size + t[at + ahead])
         values.append(scale[at])
-    together = np.concatenate(codes)
-    order = np.argsort(together)
-    first = np.flatnonzero(np.diff(together[order], prepend=-1))
-    # only the pairs there are, not a second table of all
-    out.ravel()[together[order[first]]] += np.add.reduceat(np.concatenate(values)[order], first)
+    # added in place: a second table of all pairs would take twice the memory of the first
+    np.add.at(out.ravel(), np.concatenate(codes), np.concatenate(values).astype(out.dtype))
 
 
 def _products(rows: DataFrame, factor: np.ndarray, idf: np.ndarray) -> np.ndarray:
