@@ -81,6 +81,13 @@ def passages(first: np.ndarray, width: int = WIDTH, stride: int = STRIDE) -> tup
     return owner, start, np.minimum(start + width, first[1:][owner])
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different values in order, how often each occurs); by sorting, which is faster than ``np.unique`` here."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(values), 1), dtype=bool), values[1:] != values[:-1]]))
+    return values[first], np.diff(first, append=len(values))
+
+
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, by bit rows."""
     places: dict[int, int] = {}
@@ -95,6 +102,12 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def within_reach(part: np.ndarray, region: np.ndarray) -> bool:
+    """False if a region holds too few of a part's words, in whatever order, for ``judge`` to find a leak."""
+    held = set(region.tolist())
+    return sum(w in held for w in part.tolist()) / len(part) >= PARAPHRASE
+
+
 def judge(part: np.ndarray, region: np.ndarray) -> tuple[int, float, bool]:
     """(common words, share of the answer found, leaked) for a benchmark part in a region of a text."""
     found = common_words(part, region)
@@ -143,7 +156,7 @@ def _counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
     def run(batches):
         own, total = np.zeros(size, dtype=np.int64), 0
         for terms, passage, n in _read(batches, size):
-            own += np.bincount(np.unique(passage * size + terms) % size, minlength=size)
+            own += np.bincount(distinct(passage * size + terms)[0] % size, minlength=size)
             total += len(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, size)), pa.array(np.concatenate([[total], own]))], ["term", "n"])
 
@@ -282,24 +295,34 @@ class Queries:
         at = at[self.heads[terms[at] + 1] > self.heads[terms[at]]]
         block = base[owner[at]] + (at - first[:-1][owner[at]]) // STRIDE
         size = len(self.heads) - 1
-        seen = np.unique(block * size + terms[at])
+        seen, _ = distinct(block * size + terms[at])
         block, term = seen // size, seen % size
         many = self.heads[term + 1] - self.heads[term]
         place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.heads[term], many)
         span = int(base[-1] + blocks[-1] + gap) if len(n) else 1
-        keys, hits = np.unique(self.of_term[place].astype(np.int64) * span + np.repeat(block, many), return_counts=True)
+        keys, hits = distinct(self.of_term[place].astype(np.int64) * span + np.repeat(block, many))
         whole = hits.copy()
+        # keys are in order and differ, so of the next ones only as many can be this near
         for ahead in range(1, gap):
-            following = np.searchsorted(keys, keys + ahead)
-            known = following < len(keys)
-            known[known] = keys[following[known]] == keys[known] + ahead
-            whole[known] += hits[following[known]]
+            near = keys[ahead:] - keys[:-ahead] < gap
+            whole[: len(near)][near] += hits[ahead:][near]
         keep = np.flatnonzero(whole >= HITS)
         query, block = keys[keep] // span, keys[keep] % span
         text = np.searchsorted(base, block, side="right") - 1
         start = first[:-1][text] + (block - base[text]) * STRIDE
         return query, start, np.minimum(start + WIDTH, first[1:][text])
 
+    def cosines(self, terms: np.ndarray, query: np.ndarray, start: np.ndarray, end: np.ndarray, space: np.ndarray) -> np.ndarray:
+        """Cosine of each query and passage in the latent space; a passage is placed there once for all its queries."""
+        close = np.zeros(len(query))
+        order = np.argsort(start, kind="stable")
+        for at in range(0, len(order), 20_000):
+            rows = order[at : at + 20_000]
+            fresh = np.diff(start[rows], prepend=-1) > 0
+            placed = _latent(terms, start[rows[fresh]], end[rows[fresh]], space)
+            close[rows] = np.einsum("ij,ij->i", placed[np.cumsum(fresh) - 1], self.vectors[query[rows]])
+        return close
+
 
 def _parts(items: list[tuple[int, str]]) -> tuple[list[tuple[int, np.ndarray]], list[tuple[int, np.ndarray]], list[tuple[int, np.ndarray]]]:
     """(item, words) of the parts to be judged, of the runs that leak as they stand, and of the items too short for either."""
@@ -419,17 +442,17 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], rank: int) -> DataFram
                 if held is not None:
                     terms = held.terms(words)
                     query, start, end = wanted.candidates(terms, first)
-                    close = np.zeros(len(query))
-                    for at in range(0, len(query), 20_000):
-                        rows = slice(at, at + 20_000)
-                        close[rows] = np.einsum("ij,ij->i", _latent(terms, start[rows], end[rows], space), wanted.vectors[query[rows]])
+                    close = wanted.cosines(terms, query, start, end, space)
                     keep = np.flatnonzero(close >= wanted.least[query])
                     text = np.searchsorted(first, start[keep], side="right") - 1
                     for d, q, s, e, cosine in regions(text, wanted.part[query[keep]], start[keep], end[keep], close[keep]):
                         item, part = own_parts[q]
                         # a part that meets a passage lies within its own length around it
                         margin = len(part) + len(part) // 4
-                        found, answered, leaked = judge(part, words[max(int(first[d]), s - margin) : min(int(first[d + 1]), e + margin)])
+                        region = words[max(int(first[d]), s - margin) : min(int(first[d + 1]), e + margin)]
+                        if not within_reach(part, region):
+                            continue
+                        found, answered, leaked = judge(part, region)
                         value = (found / len(part), found, len(part), answered, cosine, s - int(first[d]))
                         if leaked and value > best.get((d, item), (-1.0,)):
                             best[d, item] = value

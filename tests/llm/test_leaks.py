@@ -195,3 +195,29 @@ def test_pairs_of_terms_need_no_second_table():
     owner, want = np.repeat(np.arange(len(n)), n), np.zeros((len(n), size))
     want[owner, t] = 1 / np.sqrt(np.add.reduceat(weights[t] ** 2, np.cumsum(n) - n))[owner]
     assert np.allclose(out + out.T, 2 * want.T @ want, rtol=1e-4, atol=1e-5)
+
+
+def test_far_regions_are_not_judged_and_none_that_leaks_is_lost():
+    rng, leaking = np.random.default_rng(5), 0
+    for _ in range(400):
+        part, region = (rng.integers(0, 120, n).astype(np.uint64) for n in (64, int(rng.integers(64, 200))))
+        kept = int(rng.integers(0, 64))
+        region[:kept] = part[:kept]
+        leaked = leaks.judge(part, region)[2]
+        leaking += leaked
+        assert leaks.within_reach(part, region) or not leaked
+    assert leaking > 50
+    assert not leaks.within_reach(part, np.concatenate([part[:20], np.arange(1000, 1200, dtype=np.uint64)]))
+
+
+def test_a_passage_is_placed_once_for_all_its_queries(monkeypatch):
+    placed, latent = [], leaks._latent
+    monkeypatch.setattr(leaks, "_latent", lambda t, s, e, b: placed.append(len(s)) or latent(t, s, e, b))
+    rng = np.random.default_rng(6)
+    space, vectors = (rng.standard_normal((n, 8)).astype(np.float32) for n in (50, 30))
+    terms, query = rng.integers(-1, 50, 400).astype(np.int32), np.repeat(np.arange(30), 40)
+    start = np.tile(np.arange(40) * 8, 30)
+    queries = leaks.Queries(np.arange(30), np.zeros(30), vectors, np.zeros(51, dtype=np.int64), np.zeros(0, dtype=np.int32))
+    got = queries.cosines(terms, query, start, start + 24, space)
+    assert sum(placed) == 40
+    assert np.allclose(got, np.einsum("ij,ij->i", latent(terms, start, start + 24, space), vectors[query]))
