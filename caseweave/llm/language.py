@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,23 +72,29 @@ class Model:
         self.rows: Rows | None = None
 
     @classmethod
-    def of_counts(cls, languages: list[str], word_counts: dict[str, np.ndarray], gram_counts: dict[str, np.ndarray]) -> Model:
-        def logs(counts: dict) -> np.ndarray:
-            table = np.array(list(counts.values()), dtype=float).reshape(len(counts), len(languages))
+    def of_counts(cls, languages: list[str], known: list[str], word_counts: np.ndarray, parts: list[str], gram_counts: np.ndarray) -> Model:
+        """Of tables of counts: a row for each word or n-gram, a column for each language."""
+        def logs(table: np.ndarray) -> np.ndarray:
             return np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * len(table) + 0.1))
 
+        order_of = np.array([len(g) for g in parts], dtype=np.int64)
         gram_rows: dict[str, int] = {}
         stacked = [np.zeros((0, len(languages)))]
         for order in ORDERS:
-            own = {g: c for g, c in gram_counts.items() if len(g) == order}
+            own = np.flatnonzero(order_of == order)
             base = len(gram_rows)
-            gram_rows.update({g: base + i for i, g in enumerate(own)})
-            stacked.append(logs(own) + GIVE_UP * (ORDERS[0] - order))
-        return cls(languages, {w: i for i, w in enumerate(word_counts)}, logs(word_counts), gram_rows, np.vstack(stacked))
+            gram_rows.update({parts[g]: base + i for i, g in enumerate(own.tolist())})
+            stacked.append(logs(gram_counts[own]) + GIVE_UP * (ORDERS[0] - order))
+        return cls(languages, {w: i for i, w in enumerate(known)}, logs(word_counts), gram_rows, np.vstack(stacked))
 
     def tables(self) -> tuple:
-        """Plain values to ship to the tasks."""
-        return self.languages, self.word_rows, self.word_logs, self.gram_rows, self.gram_logs
+        """Plain values to ship to the tasks; words and n-grams hold no line ends, and their rows are in order."""
+        return self.languages, "\n".join(self.word_rows), self.word_logs, "\n".join(self.gram_rows), self.gram_logs
+
+    @classmethod
+    def of_tables(cls, languages: list[str], known: str, word_logs: np.ndarray, parts: str, gram_logs: np.ndarray) -> Model:
+        rows = ({w: i for i, w in enumerate(names.split("\n")) if w} for names in (known, parts))
+        return cls(languages, next(rows), word_logs, next(rows), gram_logs)
 
     def unseen(self, word: str) -> np.ndarray:
         marked, rows = f"\x02{word}\x03", []
@@ -132,6 +139,16 @@ def counts(tally: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
     tally.clear()
 
 
+def counted_table(found: pa.Table, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """(words in order, a row of counts by language for each) of rows of ``COUNTS``; as columns, not as an object for each row."""
+    known = pa.array(sorted(pc.unique(found.column("word")).to_pylist()), pa.string())
+    out = np.zeros((len(known), len(languages)))
+    for batch in found.to_batches():
+        row, column = pc.index_in(batch.column("word"), known), pc.index_in(batch.column("lang"), pa.array(languages, pa.string()))
+        np.add.at(out, (row.to_numpy(zero_copy_only=False), column.to_numpy(zero_copy_only=False)), batch.column("n").to_numpy(zero_copy_only=False))
+    return known.to_pylist(), out
+
+
 def fit(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_cells: int = MAX_CELLS) -> Model:
     """Counts the words and n-grams of all labelled rows that are not held out.
 
@@ -142,7 +159,7 @@ def fit(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS,
     labelled = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not languages:
-        return Model.of_counts([], {}, {})
+        return Model.of_counts([], [], np.zeros((0, 0)), [], np.zeros((0, 0)))
 
     def count_words(batches):
         tally: dict[str, Counter] = {}
@@ -171,17 +188,13 @@ def fit(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS,
 
     parts = materialise(seen.mapInArrow(count_grams, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")), "langgrams")
 
-    def largest(counts: DataFrame, most: int) -> dict[str, np.ndarray]:
+    def largest(counts: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
         keep = min(most, max_cells // len(languages))
         rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
         top = counts.withColumn("rank", rank).where(F.col("rank") <= max(1, keep // len(languages))).select("word").distinct()
-        out: dict[str, np.ndarray] = {}
-        column = {lang: i for i, lang in enumerate(languages)}
-        for row in counts.join(top, "word").select("lang", "word", "n").collect():
-            out.setdefault(row["word"], np.zeros(len(languages)))[column[row["lang"]]] += row["n"]
-        return dict(sorted(out.items()))
+        return counted_table(counts.join(top, "word").select("lang", "word", "n").toArrow(), languages)
 
-    return Model.of_counts(languages, largest(seen, max_words), largest(parts, max_grams))
+    return Model.of_counts(languages, *largest(seen, max_words), *largest(parts, max_grams))
 
 
 def predictor(spark: SparkSession, model: Model):
@@ -190,7 +203,7 @@ def predictor(spark: SparkSession, model: Model):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Model(*shared.value)
+        own = Model.of_tables(*shared.value)
         for texts in batches:
             # a bounded number of texts at a time, as their words are held together
             parts = [own.predict_all(list(texts[at : at + 256])) for at in range(0, len(texts), 256)]

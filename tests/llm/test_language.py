@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from caseweave.llm import language
@@ -96,3 +98,17 @@ def test_every_labelled_row_is_counted(spark):
     given = docs(spark, rows)
     want = {w for r in given.where(~held_out(given["doc_id"])).select("text").collect() for w in language.words(r["text"])}
     assert len(want) > 5_000 and set(language.fit(given).word_rows) == want
+
+
+def test_counts_meet_on_the_driver_as_columns():
+    names = [f"w{i:06}" for i in range(60_000)]
+    found = pa.table({"lang": ["en", "de"] * 60_000, "word": [w for w in names for _ in range(2)], "n": list(range(120_000))}).slice(1)
+    tracemalloc.start()
+    known, table = language.counted_table(found, ["de", "en", "fr"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert known == names and table[0].tolist() == [1, 0, 0] and table[7].tolist() == [15, 14, 0]
+    assert peak < 20e6
+    model = language.Model.of_counts(["de", "en", "fr"], known, table, ["a", "ab"], np.ones((2, 3)))
+    again = language.Model.of_tables(*model.tables())
+    assert again.word_rows == model.word_rows and again.gram_rows == model.gram_rows and np.array_equal(again.gram_logs, model.gram_logs)
