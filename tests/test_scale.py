@@ -115,3 +115,18 @@ def test_tasks_of_cooccurrence_grow_with_the_rows(spark, monkeypatch):
     assert pairs.rdd.getNumPartitions() == 20
     edges = graph.cooccurrence(links, "g", "i", 2)
     assert graph.edge_evidence(edges, links, "g", "i").count() == sum(n for n in want.values() if n >= 2)
+
+
+def test_rows_are_dealt_whatever_the_number_of_shuffle_partitions(spark, monkeypatch):
+    monkeypatch.setattr(scale, "TASK_ROWS", 500)
+    df = spark.range(20_000).withColumn("k", F.col("id") % 5_000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("2", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            counted = scale.dealt(df, 20_000, "k").groupBy("k").count().withColumn("task", F.spark_partition_id())
+            rows = counted.groupBy("task").agg(F.sum("count").alias("n")).collect()
+            assert len(rows) >= 30 and max(r["n"] for r in rows) <= 1_000 and sum(r["n"] for r in rows) == 20_000
+            assert scale.dealt(df, 400, "k") is df
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
