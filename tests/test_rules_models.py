@@ -224,3 +224,29 @@ def test_rows_a_tree_cannot_tell_apart_are_worked_out_once():
         assert len(first) <= 200 and np.array_equal(same[:200], same[200:])
         assert np.allclose(ml.attribute_rows(x, trees), np.concatenate([ml.attribute_rows(row[None], trees) for row in x]), rtol=0, atol=1e-15)
     assert len(first) <= 12
+
+
+def test_a_forest_draws_units_of_alike_rows_with_all_their_weight(spark, monkeypatch):
+    monkeypatch.setattr(ml, "FOREST_UNITS", 200)
+    kinds = spark.range(50).select((F.col("id") % 7).alias("f0"), "id", F.lit(1).alias("label"), F.lit(2.0).alias("class_weight"), F.when(F.col("id") == 0, 5_000).otherwise(F.col("id")).cast("long").alias("_n"))
+    total = kinds.agg(F.sum("_n")).first()[0]
+    cut = ml.units(kinds, total)
+    got = {r["id"]: r for r in cut.groupBy("id").agg(F.sum("class_weight").alias("w"), F.max("class_weight").alias("m"), F.count("*").alias("k")).collect()}
+    want = {r["id"]: r["_n"] for r in kinds.collect()}
+    assert all(got[i]["w"] == pytest.approx(2.0 * n) for i, n in want.items() if n) and cut.count() <= 250
+    assert max(r["m"] for r in got.values()) <= 2.0 * -(-total // 200) and got[0]["k"] > 100 and got[1]["k"] == 1
+
+
+def test_rows_a_forest_cannot_tell_apart_are_attributed_once(spark, forest, monkeypatch):
+    written, materialise = {}, ml.materialise
+    monkeypatch.setattr(ml, "materialise", lambda df, label: written.setdefault(label, materialise(df, label)))
+    df, models = forest
+    model, names = models["RANDOM_FOREST"], models["RANDOM_FOREST"].stages[0].getInputCols()
+    many = df.limit(40).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("person", F.concat_ws("-", F.col("person").cast("string"), "copy"))
+    explained = ml.attributions(model, many, "person")
+    rows = explained.collect()
+    assert len(rows) == 1_000 and written["kinds"].count() <= 40
+    trees = [ml.pack_tree(leaves) for leaves in ml.forest_leaves(model, spark)[0]]
+    assert np.allclose(ml.attribute_rows(np.array([r["x"] for r in rows]), trees), [r["phi"] for r in rows])
+    direct = {tuple(float(r[c]) for c in names): r["p"] for r in ml.score(model, df.limit(40), "p").collect()}
+    assert all(direct[tuple(r["x"])] == pytest.approx(r["probability"]) for r in rows)
