@@ -250,3 +250,21 @@ def test_rows_a_forest_cannot_tell_apart_are_attributed_once(spark, forest, monk
     assert np.allclose(ml.attribute_rows(np.array([r["x"] for r in rows]), trees), [r["phi"] for r in rows])
     direct = {tuple(float(r[c]) for c in names): r["p"] for r in ml.score(model, df.limit(40), "p").collect()}
     assert all(direct[tuple(r["x"])] == pytest.approx(r["probability"]) for r in rows)
+
+
+def test_alike_rows_are_evaluated_once_and_count_as_often_as_they_occur(spark, forest, monkeypatch):
+    written, materialise = {}, ml.materialise
+    monkeypatch.setattr(ml, "materialise", lambda df, label: written.setdefault(label, materialise(df, label)))
+    df, models = forest
+    models = {"RANDOM_FOREST": models["RANDOM_FOREST"]}
+    many = df.withColumn("prior", F.when(F.col("f0") > 0.5, F.col("label"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("label") * 5 + 1)))
+    got = {r.rule: r for r in ml.evaluate_risk_models(models, many, "label", "person", "prior").collect()}
+    different = df.where(ml.in_test_split(F.col("person"))).count()
+    assert all(held.count() <= different for held in written.values())
+    rows = ml.score(models["RANDOM_FOREST"], many.where(ml.in_test_split(F.col("person")))).select("label", "prior", "probability").collect()
+    for rule, flag in (("RANDOM_FOREST", lambda r: r.probability >= 0.5), ("BASELINE_PRIOR_CASE_RULE", lambda r: r.prior is not None and r.prior >= 1)):
+        flagged = [r.label for r in rows if flag(r)]
+        assert (got[rule].flagged, got[rule].tp) == (len(flagged), sum(flagged))
+    assert got["RANDOM_FOREST"].fn == sum(r.label for r in rows if r.probability < 0.5)
+    good, bad = ([r.probability for r in rows if r.label == v] for v in (1, 0))
+    assert got["RANDOM_FOREST"].roc_auc == pytest.approx(sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / len(good) / len(bad), abs=1e-4)
