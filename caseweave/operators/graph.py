@@ -451,10 +451,10 @@ def hub_listing(edges: DataFrame, centrality: DataFrame, people: DataFrame, key:
 
 def community_categories(edges: DataFrame, labels: DataFrame, evidence: DataFrame, group: str, category: str) -> DataFrame:
     """Distinct categories of the shared groups inside each community (evidence: a, b, group, category)."""
-    inner = (
-        evidence.join(labels.select(F.col("id").alias("a"), "community"), "a")
-        .join(labels.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b").where(F.col("community") == F.col("cb"))
-    )
+    # an edge has as much evidence as weight
+    n = int(edges.agg(F.sum("weight")).first()[0] or 0)
+    at_a = dealt(evidence, n, "a").join(labels.select(F.col("id").alias("a"), "community"), "a")
+    inner = dealt(at_a, n, "b").join(labels.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b").where(F.col("community") == F.col("cb"))
     return inner.select("community", category).distinct().groupBy("community").agg(F.array_sort(F.collect_list(category)).alias("categories"))
 
 

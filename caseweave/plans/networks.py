@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseweave.operators import graph as gr
 from caseweave.operators.aggregates import counts_text, entity_rollup, transaction_edges
 from caseweave.operators.linkage import resolve_greedy
+from caseweave.operators.scale import dealt
 from caseweave.operators.spatial import density_clusters, hotspot_profiles
 from caseweave.plans.base import memberships, part_graph, table, transactions
 from caseweave.plans.registry import cte, query
@@ -103,9 +104,8 @@ def _(spark, sf):
 @query("gr5_community_categories")
 def _(spark, sf):
     edges, labels = communities_of(spark, sf)
-    evidence = gr.edge_evidence(edges, memberships(spark, sf), "grp", "item").join(
-        table(spark, sf, "orders").select(F.col("o_orderkey").alias("grp"), F.col("o_orderpriority").alias("category")), "grp"
-    )
+    groups = table(spark, sf, "orders").select(F.col("o_orderkey").alias("grp"), F.col("o_orderpriority").alias("category"))
+    evidence = gr.edge_evidence(edges, memberships(spark, sf), "grp", "item").join(dealt(groups, groups.count(), "grp"), "grp")
     found = gr.community_categories(edges, labels, evidence, "grp", "category")
     return found.select("community", F.array_join("categories", "|").alias("categories"))
 

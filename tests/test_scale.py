@@ -130,3 +130,22 @@ def test_rows_are_dealt_whatever_the_number_of_shuffle_partitions(spark, monkeyp
             assert scale.dealt(df, 400, "k") is df
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_categories_of_communities_are_dealt_by_their_evidence(spark, monkeypatch):
+    from caseweave.operators import graph
+
+    rng = random.Random(5)
+    links = spark.createDataFrame(sorted({(rng.randrange(60), rng.randrange(30)) for _ in range(400)}), "g long, i long")
+    edges = graph.cooccurrence(links, "g", "i", 2).cache()
+    labels = graph.node_set(edges).select("id", (F.col("id") % 3).alias("community")).cache()
+    evidence = graph.edge_evidence(edges, links, "g", "i").withColumn("kind", F.concat(F.lit("k"), (F.col("g") % 20).cast("string"))).cache()
+    want = {}
+    for r in evidence.collect():
+        if r["a"] % 3 == r["b"] % 3:
+            want.setdefault(r["a"] % 3, set()).add(r["kind"])
+    monkeypatch.setattr(scale, "TASK_ROWS", 50)
+    found = graph.community_categories(edges, labels, evidence, "g", "kind")
+    assert {r["community"]: r["categories"] for r in found.collect()} == {c: sorted(own) for c, own in want.items()}
+    tasks = -(-evidence.count() // 50)
+    assert tasks > 4 and found._jdf.queryExecution().toString().count(f", {tasks}), REPARTITION_BY_NUM") >= 2
