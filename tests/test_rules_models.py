@@ -268,3 +268,17 @@ def test_alike_rows_are_evaluated_once_and_count_as_often_as_they_occur(spark, f
     assert got["RANDOM_FOREST"].fn == sum(r.label for r in rows if r.probability < 0.5)
     good, bad = ([r.probability for r in rows if r.label == v] for v in (1, 0))
     assert got["RANDOM_FOREST"].roc_auc == pytest.approx(sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / len(good) / len(bad), abs=1e-4)
+
+
+def test_a_forest_draws_its_bags_row_by_row_at_any_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(ml, "FOREST_UNITS", 50, raising=False)
+    rows = spark.range(1_000).select(F.col("id").alias("person"), (F.col("id") % 5).cast("double").alias("f0"), (F.col("id") % 2).cast("int").alias("label"))
+    given = []
+    with monkeypatch.context() as m:
+        m.setattr(ml.Pipeline, "fit", lambda self, df: given.append((type(self.getStages()[-1]), df)))
+        ml.train_risk_models(rows, ["f0"], "label", "person")
+    drawn = dict(given)[ml.RandomForestClassifier]
+    train = rows.where(~ml.in_test_split(F.col("person")))
+    count = lambda df: {(r["f0"], r["label"]): r["count"] for r in df.groupBy("f0", "label").count().collect()}
+    assert count(drawn) == count(train)
+    assert drawn.select("label", "class_weight").distinct().count() == 2
