@@ -13,6 +13,7 @@ from caseweave.operators import filters as flt
 from caseweave.operators import history as hs
 from caseweave.operators import learning as ml
 from caseweave.operators import risk, series
+from caseweave.plans import models as plan
 from caseweave.schemas import CONTEXT_ONLY
 from caseweave.sources import readers, sinks
 
@@ -282,3 +283,21 @@ def test_a_forest_draws_its_bags_row_by_row_at_any_number_of_rows(spark, monkeyp
     count = lambda df: {(r["f0"], r["label"]): r["count"] for r in df.groupBy("f0", "label").count().collect()}
     assert count(drawn) == count(train)
     assert drawn.select("label", "class_weight").distinct().count() == 2
+
+
+def test_risk_rows_know_the_segment_and_the_place_of_the_customer(spark, tmp_path):
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "EAST")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "A", 0), (1, "B", 0)]),
+        "customer": ("c_custkey long, c_nationkey int, c_mktsegment string", [(1, 0, "BUILDING"), (2, 1, "MACHINERY"), (3, 0, None)]),
+        "orders": (
+            "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+            [(i, 1 + i % 3, "O", 1.0, dt.datetime(2000, 1 + i, 1), "2-HIGH") for i in range(9)],
+        ),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows, features = plan.risk_rows(spark, str(tmp_path))
+    assert features == [*plan.NUMERIC, "segment_BUILDING", "segment_MACHINERY", "segment_OTHER", "place_A", "place_B", "place_OTHER"]
+    got = {r["entity_id"]: tuple(r[f] for f in features[len(plan.NUMERIC):]) for r in rows.collect()}
+    assert rows.count() == 9 and got == {1: (1, 0, 0, 1, 0, 0), 2: (0, 1, 0, 0, 1, 0), 3: (0, 0, 1, 1, 0, 0)}
